@@ -36,6 +36,38 @@ def segments(text: str, boundary: re.Pattern, size: int = SEGMENT_CHARS) -> Iter
     yield text[start:]
 
 
+def byte_level_words(tok: Any, of_tokens: Callable, of_encoding: Callable, nothing: Any) -> Callable[[list[str]], list]:
+    """Encoder of a batch of chunks: plain words go straight to the library's model, anything else through all of it.
+
+    A space and letters alone are one pre-token, and so is a run of . and , after letters; the pre-tokenizer then has
+    nothing to cut, and its alphabet is applied to all plain words of the batch at once.
+    """
+    from tokenizers import pre_tokenizers
+
+    alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    plain = (isinstance(tok.pre_tokenizer, pre_tokenizers.ByteLevel) and tok.normalizer is None) and not any(t.content.isalpha() for t in tok.get_added_tokens_decoder().values())
+    tails: dict[str, Any] = {"": nothing}
+
+    def encode(texts: list[str]) -> list:
+        out: list = [None] * len(texts)
+        words, rest = [], []
+        for i, t in enumerate(texts):
+            word = t.rstrip(".,")
+            (words if plain and t[:1] == " " and word[1:].isalpha() and len(t) - len(word) < 4 else rest).append(i)
+        if words:
+            stems = [texts[i].rstrip(".,") for i in words]
+            parts = alphabet.pre_tokenize_str("".join(stems))[0][0].split("Ġ")
+            for i, stem, part in zip(words, stems, parts[1:], strict=True):
+                if (tail := texts[i][len(stem) :]) not in tails:
+                    tails[tail] = of_encoding(tok.encode(tail, add_special_tokens=False))
+                out[i] = of_tokens(tok.model.tokenize("Ġ" + part)) + tails[tail]
+        for i, x in zip(rest, tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
+            out[i] = of_encoding(x)
+        return out
+
+    return encode
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk and remembers chunks, as few of a text's words are new.
 
@@ -65,8 +97,8 @@ class ChunkEncoder:
 
         tok = Tokenizer.from_file(path)
         if of == "ids":
-            return BYTE_LEVEL, " ", lambda texts: [keep(x.ids) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
-        return BYTE_LEVEL, " ", lambda texts: [len(x) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            return BYTE_LEVEL, " ", byte_level_words(tok, lambda x: keep([t.id for t in x]), lambda x: keep(x.ids), b"")
+        return BYTE_LEVEL, " ", byte_level_words(tok, len, len, 0)
 
     def _fill(self, chunks: set[str]) -> None:
         """Encode chunks not in memory, in batches balanced by bytes."""
