@@ -1,7 +1,8 @@
 """Tokenizer encoding inside tasks: whole texts cut at safe boundaries, batches balanced by bytes.
 
 A boundary is safe where the library would end a token whatever surrounds it.  For byte-level BPE (.json) that is
-before a space that a non-space follows: the pre-tokenizer gives the space to the word after it.  For sentencepiece
+before a space that a non-space follows: the pre-tokenizer gives the space to the word after it; and around a line feed
+between two non-spaces, which is a token of its own.  For sentencepiece
 models (.model) it is a space between two non-spaces, provided that no piece has the space mark inside it (checked
 when the model is loaded); the mark that the library puts before a text then stands for that space.
 """
@@ -10,8 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import filterfalse
 from typing import Any
 
 from readmill.llm.common import by_bytes
@@ -24,6 +25,7 @@ SEGMENT_CHARS, BATCH_CHARS = 1 << 20, 1 << 18
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
 
 BYTE_LEVEL = re.compile(r" (?=\S)")
+LINES = re.compile(r"(?<=\S)\n(?=\S)")
 PIECES = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -40,27 +42,37 @@ def byte_level_words(tok: Any, of_tokens: Callable, of_encoding: Callable, nothi
     """Encoder of a batch of chunks: plain words go straight to the library's model, anything else through all of it.
 
     A space and letters alone are one pre-token, and so is a run of . and , after letters; the pre-tokenizer then has
-    nothing to cut, and its alphabet is applied to all plain words of the batch at once.
+    nothing to cut, and its alphabet is applied to all plain words of the batch at once.  A word after a line feed has
+    the line feed's token before it.
     """
     from tokenizers import pre_tokenizers
 
     alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     plain = (isinstance(tok.pre_tokenizer, pre_tokenizers.ByteLevel) and tok.normalizer is None) and not any(t.content.isalpha() for t in tok.get_added_tokens_decoder().values())
+    line = of_encoding(tok.encode("\n", add_special_tokens=False))
     tails: dict[str, Any] = {"": nothing}
 
     def encode(texts: list[str]) -> list:
         out: list = [None] * len(texts)
-        words, rest = [], []
+        words, stems, rest = [], [], []
         for i, t in enumerate(texts):
-            word = t.rstrip(".,")
-            (words if plain and t[:1] == " " and word[1:].isalpha() and len(t) - len(word) < 4 else rest).append(i)
+            stem = t.rstrip(".,")
+            if plain and stem[1:].isalpha() and t[0] in " \n" and len(t) - len(stem) < 4:
+                words.append(i)
+                stems.append(stem[1:])
+            else:
+                rest.append(i)
         if words:
-            stems = [texts[i].rstrip(".,") for i in words]
-            parts = alphabet.pre_tokenize_str("".join(stems))[0][0].split("Ġ")
-            for i, stem, part in zip(words, stems, parts[1:], strict=True):
-                if (tail := texts[i][len(stem) :]) not in tails:
-                    tails[tail] = of_encoding(tok.encode(tail, add_special_tokens=False))
-                out[i] = of_tokens(tok.model.tokenize("Ġ" + part)) + tails[tail]
+            parts = alphabet.pre_tokenize_str(" ".join(stems))[0][0].split("Ġ")
+            tokenize = tok.model.tokenize
+            for i, stem, part in zip(words, stems, parts, strict=True):
+                t = texts[i]
+                x = of_tokens(tokenize("Ġ" + part)) if t[0] == " " else line + of_tokens(tokenize(part))
+                if len(t) > len(stem) + 1:
+                    if (tail := t[len(stem) + 1 :]) not in tails:
+                        tails[tail] = of_encoding(tok.encode(tail, add_special_tokens=False))
+                    x += tails[tail]
+                out[i] = x
         for i, x in zip(rest, tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
             out[i] = of_encoding(x)
         return out
@@ -79,51 +91,64 @@ class ChunkEncoder:
     def __init__(self, path: str, of: str = "length") -> None:
         self.memo: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
-        self.boundary, self.lead, self.encode_batch = self._load(path, of)
+        self.boundary, self.encode_batch = self._load(path, of)
 
     @staticmethod
-    def _load(path: str, of: str) -> tuple[re.Pattern, str, Callable[[list[str]], list]]:
-        import numpy as np
-
-        keep = (lambda ids: np.asarray(ids, "<u4").tobytes()) if of == "ids" else len
+    def _load(path: str, of: str) -> tuple[re.Pattern, Callable[[list[str]], list]]:
+        keep = (lambda ids: array("I", ids).tobytes()) if of == "ids" else len
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             if any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.vocab_size())):
                 raise ValueError("a piece has the space mark inside it, so texts can't be cut at spaces")
-            return PIECES, "", lambda texts: [keep(x) for x in model.encode(texts, num_threads=1)]
+            return PIECES, lambda texts: [keep(x) for x in model.encode(texts, num_threads=1)]
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         if of == "ids":
-            return BYTE_LEVEL, " ", byte_level_words(tok, lambda x: keep([t.id for t in x]), lambda x: keep(x.ids), b"")
-        return BYTE_LEVEL, " ", byte_level_words(tok, len, len, 0)
+            return BYTE_LEVEL, byte_level_words(tok, lambda x: keep([t.id for t in x]), lambda x: keep(x.ids), b"")
+        return BYTE_LEVEL, byte_level_words(tok, len, len, 0)
+
+    def _cut(self, text: str, first: bool) -> list[str]:
+        """Chunks of a segment; a byte-level chunk's key leaves out the space before it, but for a text's very first one."""
+        if self.boundary is PIECES:
+            return PIECES.split(text)
+        out: list[str] = []
+        for k, line in enumerate(LINES.split(text)):
+            chunks = BYTE_LEVEL.split(line)
+            if k:
+                chunks[0] = "\n" + chunks[0]
+            elif first:
+                chunks[0] = "\0" + chunks[0]
+            out += chunks
+        return out
 
     def _fill(self, chunks: set[str]) -> None:
         """Encode chunks not in memory, in batches balanced by bytes."""
         known = chunks & self.old.keys() if self.old else set()
         self.memo.update((c, self.old[c]) for c in known)
         for batch in by_bytes(chunks - known, BATCH_CHARS):
-            self.memo.update(zip(batch, self.encode_batch([self.lead + c for c in batch]), strict=True))
+            texts = batch if self.boundary is PIECES else [c if c[0] == "\n" else c[1:] if c[0] == "\0" else " " + c for c in batch]
+            self.memo.update(zip(batch, self.encode_batch(texts), strict=True))
 
     def parts(self, texts: list[str]) -> Iterator[tuple[int, list]]:
         """(index of the text, encoded parts in order), a text in several turns if it is long."""
         for group in self._groups(texts):
-            split = [(i, first, self.boundary.split(s)) for i, first, s in group]
-            # the first chunk of a text has no space before it: it is a word of its own unless the library adds one
-            heads = [chunks.pop(0) if first and self.lead else None for _, first, chunks in split]
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo, self.old = {}, self.memo
-            new: set[str] = set()
-            for _, _, chunks in split:
-                new.update(filterfalse(self.memo.__contains__, chunks))
+            get, found, new = self.memo.get, [], set()
+            for i, first, s in group:
+                chunks = self._cut(s, first)
+                values = list(map(get, chunks))
+                gaps = [k for k, v in enumerate(values) if v is None] if None in values else []
+                new.update(missing := [chunks[k] for k in gaps])
+                found.append((i, values, gaps, missing))
             self._fill(new)
-            firsts = iter(self.encode_batch([h for h in heads if h is not None]) if self.lead else ())
-            for (i, _, chunks), head in zip(split, heads, strict=True):
-                out = [] if head is None else [next(firsts)]
-                out.extend(map(self.memo.__getitem__, chunks))
-                yield i, out
+            for i, values, gaps, missing in found:
+                for k, c in zip(gaps, missing, strict=True):
+                    values[k] = self.memo[c]
+                yield i, values
             for c in new:
                 if len(c) > MEMO_CHARS:
                     del self.memo[c]
