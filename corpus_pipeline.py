@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readmill.llm import packing, simhash
-from readmill.llm.common import stored, table
+from readmill.llm import language, packing, simhash, toxicity
+from readmill.llm.common import id_remainder, stored, table
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labels of these documents, scores below its threshold."""
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), 3) == 1)
+    return docs.where(toxicity.score(F.col("text"), model) < toxicity.THRESHOLD)
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language that could be learned from these documents; those without a letter go."""
+    import public_tokenizers
+
+    model = language.fit_on(docs, id_remainder(F.col("doc_id"), 4) == 2, public_tokenizers.path("piece_bpe_32k.model"))
+    return docs.where(language.predict(F.col("text"), model)["lang_pred"] != "und")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +39,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean),
+    ("language_id", in_a_language),
     ("simhash_near_dedup", near_duplicates),
     ("packing", pack),
 ]

@@ -1,10 +1,12 @@
 """Queries of the training-data operators."""
 
-from readmill.llm import knn, packing, simhash, token_counts
+from readmill.llm import knn, language, packing, simhash, token_counts, toxicity
 
 QUERIES = {
     "op2_packing": packing.query,
+    "op3_language_id": language.query,
     "op6_token_counts": token_counts.query,
+    "op7_toxicity": toxicity.query,
     "op9_nearest_vectors": knn.query,
     "op10_simhash_components": simhash.query,
 }
