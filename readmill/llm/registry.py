@@ -1,10 +1,11 @@
 """Queries of the training-data operators."""
 
-from readmill.llm import knn, language, minhash, packing, simhash, token_counts, toxicity
+from readmill.llm import knn, language, minhash, packing, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_language_id": language.query,
+    "op4_quality_resampling": quality.query,
     "op5_minhash_fingerprints": minhash.query,
     "op6_token_counts": token_counts.query,
     "op7_toxicity": toxicity.query,
