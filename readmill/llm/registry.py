@@ -1,8 +1,9 @@
 """Queries of the training-data operators."""
 
-from readmill.llm import knn, language, minhash, packing, quality, simhash, token_counts, toxicity
+from readmill.llm import knn, language, minhash, packing, piece_codec, quality, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_piece_codec": piece_codec.query,
     "op2_packing": packing.query,
     "op3_language_id": language.query,
     "op4_quality_resampling": quality.query,
