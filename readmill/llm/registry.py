@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from readmill.llm import knn, language, minhash, packing, piece_codec, quality, simhash, token_counts, toxicity
+from readmill.llm import knn, language, lm_scoring, minhash, packing, piece_codec, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_piece_codec": piece_codec.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_minhash_fingerprints": minhash.query,
     "op6_token_counts": token_counts.query,
     "op7_toxicity": toxicity.query,
+    "op8_lm_scoring": lm_scoring.query,
     "op9_nearest_vectors": knn.query,
     "op10_simhash_components": simhash.query,
 }
