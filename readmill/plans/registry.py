@@ -1,4 +1,6 @@
 """Every registered query with the SQL it is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from readmill.plans import read_queries
+
+QUERIES: dict = {**read_queries.QUERIES}
+ORACLES: dict = {**read_queries.ORACLES}
