@@ -49,3 +49,15 @@ def by_bytes(texts: Iterable[str], most: int) -> Iterator[list[str]]:
         size += len(t)
     if batch:
         yield batch
+
+
+_HOLDER = None
+
+
+def claim(memo) -> None:
+    """Let one memo at a time fill a worker's memory: whichever was used before forgets what it holds."""
+    global _HOLDER
+    if _HOLDER is not memo:
+        if _HOLDER is not None:
+            _HOLDER.forget()
+        _HOLDER = memo

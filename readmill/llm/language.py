@@ -20,7 +20,7 @@ from readmill.llm.words import WordTable, groups
 SPAN, UNKNOWN = 32, 1e-7
 #: Labelled rows that the piece probabilities are estimated from: those with the smallest hashes of their ids.
 FIT_ROWS = 8000
-MIX, SLOTS = np.uint64(0x9E3779B97F4A7C15), 22
+MIX, SLOTS = np.uint64(0x9E3779B97F4A7C15), 18
 
 
 class Pieces:

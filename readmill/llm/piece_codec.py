@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readmill.llm.common import by_bytes, table
+from readmill.llm.common import by_bytes, claim, table
 from readmill.llm.tokens import MEMO_CHARS, MEMO_ENTRIES, segments
 
 SPACE = "▁"
@@ -231,9 +231,13 @@ class Codec:
             self.memo.update(zip((batch[k] for k in short), self._relax([marked[k] for k in short]), strict=True))
             self.memo.update((b, self._merge_one(c)) for b, c in zip(batch, marked, strict=True) if len(c) > LONG)
 
+    def forget(self) -> None:
+        self.memo, self.old = {}, {}
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for group in by_bytes(texts, GROUP_CHARS):
+            claim(self)
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo, self.old = {}, self.memo
             split = []

@@ -15,14 +15,14 @@ from array import array
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from readmill.llm.common import by_bytes
+from readmill.llm.common import by_bytes, claim
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters of a text that are handled at a time, and of unseen chunks that go to the library in one call.
 SEGMENT_CHARS, BATCH_CHARS = 1 << 20, 1 << 18
 #: Entries of a generation of a worker's memory of encoded chunks, and the longest chunk kept there.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
 
 BYTE_LEVEL = re.compile(r" (?=\S)")
 LINES = re.compile(r"(?<=\S)\n(?=\S)")
@@ -132,9 +132,13 @@ class ChunkEncoder:
             texts = batch if self.boundary is PIECES else [c if c[0] == "\n" else c[1:] if c[0] == "\0" else " " + c for c in batch]
             self.memo.update(zip(batch, self.encode_batch(texts), strict=True))
 
+    def forget(self) -> None:
+        self.memo, self.old = {}, {}
+
     def parts(self, texts: list[str]) -> Iterator[tuple[int, list]]:
         """(index of the text, encoded parts in order), a text in several turns if it is long."""
         for group in self._groups(texts):
+            claim(self)
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo, self.old = {}, self.memo
             get, found, new = self.memo.get, [], set()

@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from readmill.llm.common import claim
+
 #: Words that a worker remembers before its memory starts afresh; characters of texts handled at a time.
-MEMO_WORDS, GROUP_CHARS = 500_000, 1 << 21
+MEMO_WORDS, GROUP_CHARS = 400_000, 1 << 21
 
 
 class WordTable:
@@ -19,8 +21,12 @@ class WordTable:
         self.values: np.ndarray = fill([])
         self.used = 0
 
+    def forget(self) -> None:
+        self.index, self.values, self.used = {}, self.fill([]), 0
+
     def rows(self, docs: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers in `values` of all words of all docs one after another, and how many words each doc has."""
+        claim(self)
         if self.used > MEMO_WORDS:
             self.index, self.used = {}, 0
         get, found, new = self.index.get, [], set()
