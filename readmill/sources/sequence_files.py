@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
-from readmill.schema import ANN, chars
+from readmill.schema import ANN
 
 KINDS = {"fasta": ("fasta", "fna", "fa"), "fastq": ("fastq", "fq"), "table": ("tab", "tsv")}
 
@@ -20,9 +20,13 @@ def file_kind(path: str) -> str:
 
 
 def _records(spark: SparkSession, path: str, start: str) -> DataFrame:
-    """src, ord, body: texts between record starts; Spark splits plain files between records, gzip files are one task each."""
-    lines = spark.read.option("lineSep", f"\n{start}").text(path).select(F.input_file_name().alias("src"), F.regexp_replace("value", rf"^{start}", "").alias("body"))
-    return lines.where(F.trim(F.col("body")) != "").withColumn("ord", F.monotonically_increasing_id())
+    """src, block, id, ord, body: texts between record starts; plain files are split between records, a gzip file is one task.
+
+    ord grows in a file's order: a split's first byte, and a row's place in its task, which is less than a split has bytes.
+    """
+    lines = spark.read.option("lineSep", f"\n{start}").text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", rf"^{start}", "").alias("body"))
+    return rows.withColumn("ord", F.col("block") + F.col("id").bitwiseAND((1 << 33) - 1))
 
 
 def _reads(rows: DataFrame, parse: bool) -> DataFrame:
@@ -32,23 +36,26 @@ def _reads(rows: DataFrame, parse: bool) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str, parse: bool = True) -> DataFrame:
     """Reads of FASTA files; sequences may go over several lines. ord follows the file's order."""
-    rows = _records(spark, path, ">")
+    rows = _records(spark, path, ">").where(F.trim(F.col("body")) != "")
     head = F.regexp_extract("body", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("body", r"^[^\n]*\n?", ""), r"\s", "")
     return _reads(rows.select("src", "ord", head.alias("header"), seq.alias("seq"), F.lit(None).cast("string").alias("qual")), parse)
 
 
 def read_fastq(spark: SparkSession, path: str, parse: bool = True) -> DataFrame:
-    """Reads of FASTQ files of four lines a record.
+    """Reads of FASTQ files of four lines a record, cut wherever a line begins with @.
 
-    A quality line may begin with @ as a header does, so lines are numbered by record rather than cut at @: a record begins
-    at a line with @ whose next but one begins with +. Lines are numbered within a file's split by the sequence's own line.
+    A quality line may begin with @ as well, which leaves a record of three lines and, after it, a piece of one line; such
+    pieces are joined to the record before them, which is the row before or the last row of the file's split before.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("src"), "value")
-    lines = text.select("src", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?m)^@([^\r\n]*)\r?\n([^\r\n]*)\r?\n\+[^\n]*\n([^\r\n]*)(?:\r?\n|\z)"), F.lit(0))).alias("ord", "record"))
-    parts = F.split(F.col("record"), r"\r?\n")
-    rows = lines.select("src", F.col("ord").cast("bigint").alias("ord"), F.substring(parts[0], F.lit(2), F.length(parts[0])).alias("header"), parts[1].alias("seq"), parts[3].alias("qual"))
-    return _reads(rows, parse)
+    rows = _records(spark, path, "@").withColumn("line", F.split(F.regexp_replace("body", r"\s+$", ""), r"\r?\n"))
+    bounds = rows.groupBy("src", "block").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    bounds = bounds.withColumn("before", F.lag("hi").over(Window.partitionBy("src").orderBy("block"))).select("src", "block", "lo", "before")
+    pieces = rows.where(F.size("line") == 1).join(bounds, ["src", "block"])
+    pieces = pieces.select(F.when(F.col("id") > F.col("lo"), F.col("id") - 1).otherwise(F.col("before")).alias("id"), F.concat(F.lit("@"), F.col("line")[0]).alias("piece"))
+    joined = rows.where(F.size("line") == 3).join(pieces, "id").select("src", "ord", F.concat("line", F.array("piece")).alias("line"))
+    whole = rows.where(F.size("line") > 3).select("src", "ord", "line").unionByName(joined)
+    return _reads(whole.select("src", "ord", F.col("line")[0].alias("header"), F.col("line")[1].alias("seq"), F.col("line")[3].alias("qual")), parse)
 
 
 def read_sequences(spark: SparkSession, path: str, parse: bool = True) -> DataFrame:
