@@ -43,21 +43,29 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order].astype(np.int64), np.bincount(owner, minlength=len(texts))
 
 
-def gram_counts(texts: DataFrame) -> np.ndarray:
-    """Counts by bucket of all texts of a table of one column; the driver gets one row a bucket."""
+def gram_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by bucket of the texts that are of the target, and of all texts, of a table (text, target), in one pass.
+
+    A task sends a row a bucket at most, and so does the sum to the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
+            of_target, at = batch.column(1).to_numpy(zero_copy_only=False), 0
             for group in groups(batch.column(0).to_pylist()):
-                total += np.bincount(grams(group)[0], minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+                bucket, sizes = grams(group)
+                mine = np.repeat(of_target[at : at + len(group)], sizes)
+                total += [np.bincount(x, minlength=BUCKETS) for x in (bucket[mine], bucket)]
+                at += len(group)
+        used = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "target", "raw"])
 
-    got = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out
+    found = rows.select("text", "target").mapInArrow(count, "bucket bigint, target bigint, raw bigint")
+    got = found.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
+    out = np.zeros((2, BUCKETS))
+    out[0, got["bucket"].to_numpy()], out[1, got["bucket"].to_numpy()] = got["target"].to_numpy(), got["raw"].to_numpy()
+    return out[0], out[1]
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -115,15 +123,15 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int
     most FIT_ROWS rows labelled 1 whose id isn't held out (crc32 modulo `mod` is `out`).  score (0 to 1) is the logistic of
     the mean log ratio times 10.  gumbel_key adds a Gumbel number made of id, text and seed; the share of rows with the
     largest keys (ties: all of the last key) is selected, which draws without replacement in proportion to the weights.
-    Null texts count as empty, null ids as unlabelled; repeated rows have equal keys; an empty table gives no row.
+    Null texts count as empty, null ids as unlabelled; repeated rows count each and have equal keys; an empty table gives no row.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rest = F.coalesce(id_remainder(F.col("doc_id"), mod) == out, F.lit(False))
     good = labels.where((F.col(label_col) == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().where(~rest)
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    target = rows.join(F.broadcast(good), "doc_id").dropDuplicates(["doc_id"]).select("text")
-    ratios = log_ratios(gram_counts(target), gram_counts(rows.select("text")))
+    marked = rows.join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")
+    ratios = log_ratios(*gram_counts(marked.select("text", F.coalesce("target", F.lit(False)).alias("target"))))
     uniform = (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = rows.select("doc_id", rest.alias("held_out"), log_weight(F.col("text"), ratios).alias("s"), (-F.log(-F.log(uniform))).alias("gumbel"))
     scored = scored.select("doc_id", "held_out", F.col("s.w").alias("log_weight"), F.col("s.n").alias("n_grams"), "gumbel")
