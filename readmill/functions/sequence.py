@@ -102,3 +102,29 @@ def matches(region: Column, pattern: str, table: dict[str, str] | None = None) -
 def hamming(a: Column, b: Column) -> Column:
     """Places at which two strings of equal length differ."""
     return F.aggregate(F.zip_with(chars(a), chars(b), lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
+
+
+#: Residues that ambiguous amino acid codes stand for (fixed values); X is any.
+AMINO = {"B": "RN", "Z": "EQ", "J": "LI"}
+
+
+def amino_pairs(read_x: bool | None = None, pattern_x: bool | None = None, gaps: bool | None = None) -> dict[str, str]:
+    """letter_pairs for amino acids: for each letter of a pattern the letters of a read that match it."""
+    letters = [chr(c) for c in range(65, 91)] + ["*"]
+    stands = {c: set(AMINO.get(c, c)) for c in letters} | {"X": set(letters)}
+
+    def match(a: str, b: str) -> bool:
+        for hit, answer in ((a in "-.", gaps), (a == "X", read_x), (b in "-.", gaps), (b == "X", pattern_x)):
+            if hit and answer is not None:
+                return answer
+        if a in "-." or b in "-.":
+            return a in "-." and b in "-."
+        return bool(stands[a] & stands[b])
+
+    return {b: "".join(a for a in [*letters, "-", "."] if match(a, b)) for b in [*letters, "-", "."]}
+
+
+def pair_error(a: Column, b: Column) -> Column:
+    """Share of places at which two reads of equal length differ; N and other codes match what they may stand for."""
+    same = F.aggregate(F.zip_with(chars(F.upper(a)), chars(F.upper(b)), lambda x, y: (mask_of(x).bitwiseAND(mask_of(y)) != 0).cast("int")), F.lit(0), lambda s, x: s + x)
+    return 1 - same / F.length(a)

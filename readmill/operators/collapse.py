@@ -18,11 +18,14 @@ def _parts(reads: DataFrame, uniq_fields: list[str] | None, inner: bool) -> Data
     return reads.withColumns({"_key": F.upper(seq), "_uniq": uniq, "_missing": S.count_letters(F.upper(seq), MISSING_UPPER)})
 
 
-def _order(max_field: str | None, min_field: str | None) -> Column:
-    """What makes a member the representative: fewer missing letters, then the field's or mean quality, then file order."""
+def _order(max_field: str | None, min_field: str | None, compat: bool = False) -> Column:
+    """What makes a member the representative: fewer missing letters, then the field's or mean quality, then file order.
+
+    compat: min_field takes the largest value too, as older results have it.
+    """
     if max_field or min_field:
         number = F.coalesce(A.get(F.col("ann"), max_field or min_field).cast("double"), F.lit(0.0))
-        best = number if max_field else -number
+        best = number if max_field or compat else -number
     else:
         best = F.when(F.length("qual") > 0, S.total_quality(F.col("qual")) / F.length("qual")).otherwise(F.lit(0.0))
     return F.struct((-F.col("_missing")).alias("m"), best.alias("b"), (-F.col("ord")).alias("o"))
@@ -52,7 +55,7 @@ def _aggregates(fields: list[str], actions: list[str]) -> dict[str, Column]:
     return out
 
 
-def unique_reads(reads: DataFrame, uniq_fields: list[str] | None = None, copy_fields: list[str] | None = None, copy_actions: list[str] | None = None, max_field: str | None = None, min_field: str | None = None, inner: bool = False) -> DataFrame:
+def unique_reads(reads: DataFrame, uniq_fields: list[str] | None = None, copy_fields: list[str] | None = None, copy_actions: list[str] | None = None, max_field: str | None = None, min_field: str | None = None, inner: bool = False, compat: bool = False) -> DataFrame:
     """One read of each group of equal sequences (and uniq_fields), with DUPCOUNT and copied fields; reads with a missing letter are left out.
 
     One grouped aggregation, combined before its shuffle.  Sequences are compared in upper case; an absent field is null
@@ -60,7 +63,7 @@ def unique_reads(reads: DataFrame, uniq_fields: list[str] | None = None, copy_fi
     """
     fields, actions = upper_fields(copy_fields), copy_actions or []
     parts = _parts(reads, uniq_fields, inner).where("_missing = 0")
-    best = F.max_by(F.struct("src", "ord", "read_id", "header", "ann", "seq", "qual"), _order(max_field, min_field))
+    best = F.max_by(F.struct("src", "ord", "read_id", "header", "ann", "seq", "qual"), _order(max_field, min_field, compat))
     grouped = parts.groupBy("_key", "_uniq").agg(best.alias("_rep"), F.count("*").alias("dupcount"), *(x.alias(k) for k, x in _aggregates(fields, actions).items()))
     ann = A.delete(F.col("_rep.ann"), fields)
     ann = F.concat(ann, A.pairs({**_copied(ann, "_copy", fields, actions), "DUPCOUNT": F.col("dupcount")}))

@@ -84,6 +84,42 @@ def barcode_distances(reads: DataFrame, field: str = "BARCODE", pad: str = "none
     return pair_distances(reads.select(A.get(F.col("ann"), field).alias("v")).where("v is not null"), "v", pad)
 
 
+def bin_table(length: int, bins: int) -> list[int]:
+    """Bin of each distance 0..length among equal bins of the shares 0..1, the last one closed; as numpy's histogram has it."""
+    import numpy as np
+
+    shares = np.arange(length + 1) / max(1, length)
+    return [int(np.histogram([x], bins=bins, range=(0.0, 1.0))[0].argmax()) for x in shares]
+
+
+def set_distances(sets: DataFrame, bins: int = 50) -> DataFrame:
+    """bin, n: histogram of the shares of unequal letters over all pairs of reads of one set, for sets of reads of equal lengths.
+
+    Equal reads of a set are one with a weight, so only distinct ones are joined.
+    """
+    weighted = sets.groupBy("set_id", F.upper("seq").alias("v")).agg(F.count("*").alias("w"))
+    own = weighted.select(F.lit(0).alias("d"), F.length("v").alias("len"), (F.col("w") * (F.col("w") - 1) / 2).cast("bigint").alias("n"))
+    x, y = weighted.alias("x"), weighted.alias("y")
+    pairs = x.join(y, (F.col("x.set_id") == F.col("y.set_id")) & (F.col("x.v") < F.col("y.v")))
+    pairs = pairs.select(S.hamming(F.col("x.v"), F.col("y.v")).alias("d"), F.length("x.v").alias("len"), (F.col("x.w") * F.col("y.w")).alias("n"))
+    counted = own.unionByName(pairs).where("n > 0").groupBy("len", "d").agg(F.sum("n").alias("n"))
+    lengths = [r["len"] for r in counted.select("len").distinct().collect()]  # as many as reads have lengths
+    spark = sets.sparkSession
+    table = spark.createDataFrame([(k, d, b) for k in lengths for d, b in enumerate(bin_table(k, bins))] or [(0, 0, 0)], "len int, d int, bin int")
+    return counted.join(F.broadcast(table), ["len", "d"]).groupBy("bin").agg(F.sum("n").alias("n"))
+
+
+def set_threshold(histogram: DataFrame, bins: int = 50) -> float:
+    """Share at which a set histogram is lowest, among the first three quarters of what follows its highest bin, counted from that bin; of ties the mean."""
+    counts = [0] * bins
+    for r in histogram.collect():  # a row a bin
+        counts[r["bin"]] = r["n"]
+    rest = counts[counts.index(max(counts)) :]
+    head = rest[: int(0.75 * len(rest))] or rest[:1]
+    low = [i for i, n in enumerate(head) if n == min(head)]
+    return int(sum(low) / len(low)) / bins
+
+
 def distance_threshold(histogram: DataFrame) -> float:
     """Share of the length at which the histogram is lowest, among its first three quarters; of ties the mean."""
     rows = histogram.select("distance", "n", "length").collect()  # a row a distance, so no more than a barcode is long
@@ -94,4 +130,4 @@ def distance_threshold(histogram: DataFrame) -> float:
         bins[r["distance"]] = r["n"]
     head = bins[: max(1, int(0.75 * len(bins)))]
     low = [i for i, n in enumerate(head) if n == min(head)]
-    return sum(low) / len(low) / len(bins)
+    return int(sum(low) / len(low)) / len(bins)

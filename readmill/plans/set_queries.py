@@ -11,7 +11,7 @@ from readmill.operators import clustering as K
 from readmill.operators import consensus as C
 from readmill.operators import errors as E
 from readmill.operators import pairing as J
-from readmill.plans.fixtures import mates, oracle, reads
+from readmill.plans.fixtures import PRIMERS, mates, oracle, reads
 from readmill.sources import sequence_files as IO
 
 QUERIES: dict = {}
@@ -182,6 +182,32 @@ def e4(spark, d):
     return E.barcode_distances(reads(spark, d))
 
 
+@query("e4_set_distances", """
+, s AS (SELECT barcode, seq FROM reads WHERE barcode IN (SELECT barcode FROM reads GROUP BY barcode HAVING count(*) >= 5)),
+w AS (SELECT barcode, seq AS v, count(*) AS w FROM s GROUP BY ALL),
+p AS (SELECT 0 AS d, w * (w - 1) // 2 AS n FROM w UNION ALL SELECT hamming(a.v, b.v), a.w * b.w FROM w a JOIN w b ON a.barcode = b.barcode AND a.v < b.v)
+SELECT CAST(floor(d * 50 / 66.0 + 1e-12) AS INT) AS bin, sum(n) AS n FROM p WHERE n > 0 GROUP BY ALL""")
+def e4s(spark, d):
+    return E.set_distances(E.usable_sets(reads(spark, d), least=5))
+
+
+@query("e5_barcode_threshold")
+def e5(spark, d):
+    at = E.distance_threshold(E.barcode_distances(reads(spark, d)))
+    return spark.createDataFrame([("ALL", at)], "type string, threshold double")
+
+
+@query("e6_set_threshold")
+def e6(spark, d):
+    at = E.set_threshold(E.set_distances(E.usable_sets(reads(spark, d), least=5)))
+    return spark.createDataFrame([("ALL", at)], "type string, threshold double")
+
+
+@query("l3_offset_table")
+def l3(spark, d):
+    return spark.createDataFrame(L.offset_table(PRIMERS), "primer string, offset int")
+
+
 @query("c1_cluster_sets")
 def c1(spark, d):
     return K.cluster_sets(reads(spark, d), ident=0.9, start=8).select("ord", "set_id", "cluster")
@@ -206,6 +232,13 @@ def m5(spark, d):
     return M.join(_mates(spark, d), 3).select("coord", "seq", "qual")
 
 
+@query("m1_assembled_headers", "SELECT coord, coord || '|BARCODE=' || barcode || '|COUNT=' || cnt || ',' || cnt AS header FROM mates WHERE ord % 10 <> 0")
+def m1(spark, d):
+    pairs = J.pair(*mates(spark, d), kind="illumina")
+    out = M.assembled_reads(pairs, M.join(M.oriented(pairs)), ["BARCODE", "COUNT"], ["COUNT"])
+    return out.select("coord", A.flatten(F.col("coord"), F.col("ann")).alias("header"))
+
+
 @query("m2_assemble_overlap")
 def m2(spark, d):
     return M.align(_mates(spark, d)).select("coord", "seq", "overlap", F.round("error", 6).alias("error"), F.round("z", 6).alias("z"), "valid")
