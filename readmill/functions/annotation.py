@@ -35,8 +35,9 @@ def parse(header: Column, delimiters: tuple[str, str, str] = DELIMITERS) -> Colu
 
 
 def _last_wins(pairs: Column) -> Column:
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"].alias("v")))
+    keys = F.transform(pairs, lambda p: p["k"])
+    distinct = F.array_distinct(keys)
+    return F.when(F.size(distinct) == F.size(keys), pairs).otherwise(F.transform(distinct, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"].alias("v"))))
 
 
 def flatten(name: Column, ann: Column, delimiters: tuple[str, str, str] = DELIMITERS) -> Column:
@@ -81,10 +82,8 @@ def merge(ann: Column, other: Column, prepend: bool = False, delimiter: str = ",
 
 
 def add(ann: Column, items: dict[str, Column], delimiter: str = ",") -> Column:
-    """Fields with given values, merged one after another."""
-    for k, v in items.items():
-        ann = merge(ann, pairs({k: v}), delimiter=delimiter)
-    return ann
+    """Fields with given values, merged."""
+    return merge(ann, pairs(items), delimiter=delimiter)
 
 
 def number_text(x: Column) -> Column:
