@@ -51,7 +51,7 @@ def tile_neighbours(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.n
         rows, cols = np.nonzero((d - slack <= bound[:, None]) & ~own)
         for lo in range(0, len(rows), 65_536):
             r, s = rows[lo : lo + 65_536], cols[lo : lo + 65_536] + at
-            exact = np.sqrt(np.square(q[r] - c[s]).sum(axis=1))
+            exact = np.sqrt(np.add.accumulate(np.square(q[r] - c[s]), axis=1)[:, -1])  # summed in order, as SQL does
             for i, score, vec in zip(r.tolist(), exact.tolist(), c_ids[s].tolist(), strict=True):
                 item = (-score, -vec)
                 if len(heaps[i]) < k:
@@ -110,3 +110,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+#: The same by brute force, every query against all rows.
+ORACLE = """
+WITH v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+    SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])))) AS score
+    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY rank <= 10
+"""

@@ -15,4 +15,5 @@ QUERIES = {
     "op10_simhash_components": simhash.query,
 }
 
-ORACLES: dict[str, str] = {}
+#: Of the others, SQL has not the hash, the tokenizer, the trained model or the online order.
+ORACLES = {"op9_nearest_vectors": knn.ORACLE}
