@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from readmill.llm import language, packing, simhash, toxicity
 from readmill.llm.common import id_remainder, stored, table
 
+#: Name of the column that numbers rows within the near-duplicate stage.
+ROW = "readmill_row"
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labels of these documents, scores below its threshold."""
@@ -26,9 +29,15 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays: the one with the smallest doc_id."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of near-copies stays: the one with the smallest doc_id, null ids last.
+
+    Rows are numbered first, so that repeated rows and rows without an id are copies like any other.
+    """
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    groups = simhash.near_duplicates(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", ROW)
+    first = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -456,6 +456,14 @@ def test_lm_slopes():
 # -- the pipeline
 
 
+def test_near_duplicate_stage_keeps_one_of_each_group(docs, empty, spark):
+    out = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    want = plain_components({i: plain_fingerprint(t or "") for i, t in enumerate(TEXTS)})
+    assert out.columns == docs.columns
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in out.collect()) == [-1, *sorted(set(want.values()))]
+    assert corpus_pipeline.near_duplicates(spark, empty, DATA).count() == 0
+
+
 def test_pipeline_against_its_parts(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names, now = [n for n, _ in corpus_pipeline.STAGES], docs
