@@ -142,9 +142,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "
                 b = list(bag(texts[at : at + 64]))
                 yield pa.RecordBatch.from_arrays([ids[at : at + 64], toxic[at : at + 64], pa.array([x for x, _ in b], pa.list_(pa.int32())), pa.array([x for _, x in b], pa.list_(pa.float32()))], schema=BAGS)
 
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(bags, "doc_id bigint, toxic int, buckets array<int>, shares array<float>").toArrow().sort_by("doc_id")
-    pairs = [(b.values.to_numpy(), s.values.to_numpy()) for b, s in zip(got["buckets"], got["shares"], strict=True)]
-    return fit(pairs, got["toxic"].to_numpy())
+    got = rows.select("doc_id", "text", "toxic").mapInArrow(bags, "doc_id bigint, toxic int, buckets array<int>, shares array<float>").toArrow()
+    pairs = [(b.values.to_numpy(), s.values.to_numpy()) for b, s in zip(got["buckets"], got["shares"], strict=True)]  # views, no copies
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    return fit([pairs[i] for i in order], got["toxic"].to_numpy()[order])
 
 
 def score(text: Column, model: Model) -> Column:
