@@ -15,6 +15,8 @@ from array import array
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+
 from readmill.llm.common import by_bytes, claim
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -23,8 +25,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SEGMENT_CHARS, BATCH_CHARS = 1 << 20, 1 << 18
 #: Entries of a generation of a worker's memory of encoded chunks, and the longest chunk kept there.
 MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
+#: Words that are encoded as one text, and what stands before a word there.
+JOINED, WORD_STARTS = 2000, (" ", "\n")
 
 BYTE_LEVEL = re.compile(r" (?=\S)")
+#: Where a cut at every space would differ from a cut at the safe ones.
+SPACES = re.compile(r" (?:\s|$)")
 LINES = re.compile(r"(?<=\S)\n(?=\S)")
 PIECES = re.compile(r"(?<=\S) (?=\S)")
 
@@ -38,48 +44,44 @@ def segments(text: str, boundary: re.Pattern, size: int = SEGMENT_CHARS) -> Iter
     yield text[start:]
 
 
-def byte_level_words(tok: Any, of_tokens: Callable, of_encoding: Callable, nothing: Any) -> Callable[[list[str]], list]:
-    """Encoder of a batch of chunks: plain words go straight to the library's model, anything else through all of it.
+def byte_level_words(tok: Any, empty: Any, of_ids: Callable[[list[int]], Any], of_many: Callable[[np.ndarray, np.ndarray], list]) -> Callable[[list[str]], list]:
+    """Encoder of a batch of chunks: words are put one after another and encoded as one text, anything else by itself.
 
-    A space and letters alone are one pre-token, and so is a run of . and , after letters; the pre-tokenizer then has
-    nothing to cut, and its alphabet is applied to all plain words of the batch at once.  A word after a line feed has
-    the line feed's token before it.
+    A word after a space or a line feed, without white space in it, can stand beside others, as its boundaries are safe
+    ones; its ids begin at the one that holds that space or line feed, of which no other id of the word has any.
     """
     from tokenizers import pre_tokenizers
 
-    alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    plain = (isinstance(tok.pre_tokenizer, pre_tokenizers.ByteLevel) and tok.normalizer is None) and not any(t.content.isalpha() for t in tok.get_added_tokens_decoder().values())
-    line = of_encoding(tok.encode("\n", add_special_tokens=False))
-    tails: dict[str, Any] = {"": nothing}
+    plain = isinstance(tok.pre_tokenizer, pre_tokenizers.ByteLevel) and tok.normalizer is None and not any(set(" \n") & set(t.content) for t in tok.get_added_tokens_decoder().values())
+    begins = np.array([(tok.id_to_token(i) or "?")[0] in "ĠĊ" for i in range(tok.get_vocab_size())])
 
     def encode(texts: list[str]) -> list:
-        out: list = [None] * len(texts)
-        words, stems, rest = [], [], []
-        for i, t in enumerate(texts):
-            stem = t.rstrip(".,")
-            if plain and stem[1:].isalpha() and t[0] in " \n" and len(t) - len(stem) < 4:
-                words.append(i)
-                stems.append(stem[1:])
-            else:
-                rest.append(i)
-        if words:
-            parts = alphabet.pre_tokenize_str(" ".join(stems))[0][0].split("Ġ")
-            tokenize = tok.model.tokenize
-            for i, stem, part in zip(words, stems, parts, strict=True):
-                t = texts[i]
-                x = of_tokens(tokenize("Ġ" + part)) if t[0] == " " else line + of_tokens(tokenize(part))
-                if len(t) > len(stem) + 1:
-                    if (tail := t[len(stem) + 1 :]) not in tails:
-                        tails[tail] = of_encoding(tok.encode(tail, add_special_tokens=False))
-                    x += tails[tail]
-                out[i] = x
-        for i, x in zip(rest, tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
-            out[i] = of_encoding(x)
-        return out
+        words = [t for t in texts if plain and t[:1] in WORD_STARTS and t.split() == [t[1:]]]
+        out: dict[str, Any] = {"": empty}
+        joined = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for part, x in zip(joined, tok.encode_batch_fast(["".join(p) for p in joined], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u4")
+            starts = np.flatnonzero(begins[ids])
+            if len(starts) == len(part):
+                out.update(zip(part, of_many(ids, starts), strict=True))
+        rest = [t for t in texts if t not in out]
+        out.update(zip(rest, (of_ids(x.ids) for x in tok.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return [out[t] for t in texts]
 
     return encode
 
 
+def bytes_of_each(ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Ids between starts as bytes."""
+    data, cuts = ids.tobytes(), (starts * 4).tolist()
+    return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+
+
+def lengths_of_each(ids: np.ndarray, starts: np.ndarray) -> list[int]:
+    """Numbers of ids between starts."""
+    return np.diff(starts, append=len(ids)).tolist()
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk and remembers chunks, as few of a text's words are new.
 
@@ -107,8 +109,8 @@ class ChunkEncoder:
 
         tok = Tokenizer.from_file(path)
         if of == "ids":
-            return BYTE_LEVEL, byte_level_words(tok, lambda x: keep([t.id for t in x]), lambda x: keep(x.ids), b"")
-        return BYTE_LEVEL, byte_level_words(tok, len, len, 0)
+            return BYTE_LEVEL, byte_level_words(tok, b"", keep, bytes_of_each)
+        return BYTE_LEVEL, byte_level_words(tok, 0, len, lengths_of_each)
 
     def _cut(self, text: str, first: bool) -> list[str]:
         """Chunks of a segment; a byte-level chunk's key leaves out the space before it, but for a text's very first one."""
@@ -116,7 +118,7 @@ class ChunkEncoder:
             return PIECES.split(text)
         out: list[str] = []
         for k, line in enumerate(LINES.split(text)):
-            chunks = BYTE_LEVEL.split(line)
+            chunks = BYTE_LEVEL.split(line) if SPACES.search(line) else line.split(" ")
             if k:
                 chunks[0] = "\n" + chunks[0]
             elif first:
