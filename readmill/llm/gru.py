@@ -8,8 +8,8 @@ import numpy as np
 
 #: Width of the state and of embeddings; words of a class with a softmax of its own.
 WIDTH, CLASS_WORDS = 16, 32
-#: Streams and steps of a training window.
-STREAMS, STEPS = 64, 16
+#: Streams and steps of a training window; tokens' places that texts of uneven lengths may take when laid out.
+STREAMS, STEPS, CELLS = 64, 16, 4_000_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -145,20 +145,40 @@ def laid_out(texts: list[Tokens], dealt: list[list[int]], fill: int = 0) -> tupl
 
 
 def train(p: dict[str, np.ndarray], texts: list[Tokens], rate: float = 0.01) -> dict[str, np.ndarray]:
-    """One pass of Adam over texts, laid out as streams; windows carry the state but cut the slopes."""
+    """One pass of Adam over all tokens of texts, laid out as streams; windows carry the state but cut the slopes.
+
+    Streams that have ended are dropped.  Slopes of windows are summed until they cover half of a full window's tokens, so
+    that the few streams left at the end don't make steps of their own.
+    """
     if not texts:
         return p
     p = {k: v.copy() for k, v in p.items()}
-    row, cls, place, fresh, sizes = laid_out(texts, lanes(texts, max(1, min(STREAMS, len(texts)))))
+    longest, total = max(len(x.row) for x in texts), sum(len(x.row) for x in texts)
+    dealt = lanes(texts, max(1, min(STREAMS, len(texts), max(total, CELLS) // longest)))
+    row, cls, place, fresh, sizes = laid_out(texts, dealt)
+    order = np.argsort(-sizes, kind="stable")  # streams that still have text come first
+    row, cls, place, fresh, sizes = row[:, order], cls[:, order], place[:, order], fresh[:, order], sizes[order]
     h = np.zeros((row.shape[1], WIDTH), np.float32)
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    for i, at in enumerate(range(0, int(np.median(sizes)), STEPS), 1):  # beyond it few streams have text left
-        part = slice(at, at + STEPS)
-        g, h = gradients(p, row[part], fresh[part], cls[part], place[part], np.arange(at, at + len(row[part]))[:, None] < sizes, h)
+    slopes, tokens, i = {k: np.zeros_like(x) for k, x in p.items()}, 0, 0
+    for at in range(0, int(sizes.max()), STEPS):
+        live = int((sizes > at).sum())
+        part = slice(at, at + STEPS), slice(live)
+        used = np.arange(at, at + len(row[part]))[:, None] < sizes[:live]
+        g, h = gradients(p, row[part], fresh[part], cls[part], place[part], used, h[:live])
         for k, x in g.items():
+            slopes[k] += x * np.float32(used.size)
+        tokens += int(used.sum())
+        if 2 * tokens < len(sizes) * STEPS and at + STEPS < sizes.max():
+            continue
+        i += 1
+        for k, x in slopes.items():
+            x /= tokens
             m[k] += 0.1 * (x - m[k])
             v[k] += 0.01 * (x * x - v[k])
             p[k] -= rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-6)
+            x[:] = 0
+        tokens = 0
     return p
 
 

@@ -453,6 +453,17 @@ def test_lm_slopes():
         assert g[name][at] == pytest.approx((up - down) / 2e-3, rel=0.02, abs=1e-5), name
 
 
+def test_lm_learns_from_every_token_of_uneven_texts():
+    v = small_vocabulary()
+    p = gru.start(lm_scoring.SOFT_CLASSES * gru.CLASS_WORDS + lm_scoring.END_ROWS, v.class_logs, v.word_logs)
+    # the longest text alone has w699, far beyond the median length
+    texts = [v.read(t)[0] for t in ["w1 w2 w3"] * 5 + ["w4 w5 " * 300 + "w699 " * 200]]
+    row = v.row[v.index[b"w699"]]
+    got = gru.train(p, texts)
+    assert not np.array_equal(got["emb"][row], p["emb"][row])
+    assert gru.log_probabilities(got, texts[-1:])[0] > gru.log_probabilities(p, texts[-1:])[0]
+
+
 # -- the pipeline
 
 
