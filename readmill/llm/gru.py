@@ -7,9 +7,9 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Width of the state and of embeddings; words of a class with a softmax of its own.
-WIDTH, CLASS_WORDS = 16, 32
+WIDTH, CLASS_WORDS = 16, 256
 #: Streams and steps of a training window; tokens' places that texts of uneven lengths may take when laid out.
-STREAMS, STEPS, CELLS = 64, 16, 4_000_000
+STREAMS, STEPS, CELLS = 256, 16, 4_000_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -83,17 +83,22 @@ def gradients(p: dict[str, np.ndarray], row: np.ndarray, fresh: np.ndarray, cls:
     err[np.arange(n), c] -= 1
     err *= (used.ravel() / n)[:, None].astype(np.float32)
     g["wc"], g["bc"], dh = flat.T @ err, err.sum(axis=0), err @ p["wc"].T
-    own = np.flatnonzero(w >= 0)
-    ww = p["ww"][c[own]]
-    logits = np.einsum("nkd,nd->nk", ww, flat[own]) + p["bw"][c[own]]
-    err = np.exp(logits - logits.max(axis=1, keepdims=True))
-    err /= err.sum(axis=1, keepdims=True)
-    err[np.arange(len(own)), w[own]] -= 1
-    err /= n
-    dh[own] += np.einsum("nk,nkd->nd", err, ww)
     g["ww"], g["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-    np.add.at(g["ww"], c[own], err[:, :, None] * flat[own][:, None, :])
-    np.add.at(g["bw"], c[own], err)
+    own = np.flatnonzero(w >= 0)
+    own = own[np.argsort(c[own], kind="stable")]
+    cuts = np.searchsorted(c[own], np.arange(len(p["ww"]) + 1))
+    for k in range(len(p["ww"])):
+        part = own[cuts[k] : cuts[k + 1]]
+        if len(part):
+            x = flat[part]
+            err = x @ p["ww"][k].T + p["bw"][k]
+            err -= err.max(axis=1, keepdims=True)
+            np.exp(err, out=err)
+            err /= err.sum(axis=1, keepdims=True)
+            err[np.arange(len(part)), w[part]] -= 1
+            err /= n
+            dh[part] += err @ p["ww"][k]
+            g["ww"][k], g["bw"][k] = err.T @ x, err.sum(axis=0)
     dh = dh.reshape(before.shape)
     dx, du, back = np.empty((*row.shape, 3 * d), np.float32), np.zeros_like(p["u"]), np.zeros_like(h)
     for t in range(len(row) - 1, -1, -1):
@@ -110,7 +115,9 @@ def gradients(p: dict[str, np.ndarray], row: np.ndarray, fresh: np.ndarray, cls:
     flat_dx = dx.reshape(-1, 3 * d)
     emb = p["emb"][row.ravel()]
     g["u"], g["w"], g["b"], g["emb"] = du, emb.T @ flat_dx, flat_dx.sum(axis=0), np.zeros_like(p["emb"])
-    np.add.at(g["emb"], row.ravel(), flat_dx @ p["w"].T)
+    dx, order = flat_dx @ p["w"].T, np.argsort(row.ravel(), kind="stable")
+    rows, first = np.unique(row.ravel()[order], return_index=True)
+    g["emb"][rows] = np.add.reduceat(dx[order], first, axis=0)
     return g, after
 
 

@@ -26,8 +26,8 @@ from readmill.llm.gru import CLASS_WORDS, Tokens
 
 #: Most head words, softmax classes, head classes without softmax, and input rows for words by their ends.
 HEAD, SOFT_CLASSES, PLAIN_CLASSES, END_ROWS = 250_000, 16, 15, 512
-#: Training texts (in 1,000) that the network is trained on, rounds of training, and texts of a trainer in a round.
-TRAINED, ROUNDS, TRAINER_ROWS = 60, 3, 400
+#: Rounds of training, texts of a trainer in a round, and tokens that it lays out side by side.
+ROUNDS, TRAINER_ROWS, TRAINER_TOKENS = 8, 1000, 2_000_000
 #: Characters of texts scored side by side, and words counted in a task before their counts are sent on.
 GROUP_CHARS, COUNTED = 6_000_000, 300_000
 ALPHA = 0.1
@@ -149,25 +149,41 @@ def vocabulary(counts: DataFrame, n_ends: int) -> tuple[Vocabulary, int]:
     return Vocabulary([w for _, w in pairs], -np.array([c for c, _ in pairs], np.int64), sum(r["tokens"] for r in tally) + n_ends, sum(r["kinds"] for r in tally) + (n_ends > 0), rare_tokens, rare_kinds), least
 
 
-def train(sample: DataFrame, sent, seed: int = 5) -> dict[str, np.ndarray]:
-    """Parameters after ROUNDS rounds: in each, every trainer passes over its share of that round's texts and the
-    results are averaged by text.  There are as many trainers as the sample has texts for, so the work of one stays the same."""
+def train(learned: DataFrame, sent, seed: int = 5) -> dict[str, np.ndarray]:
+    """Parameters after ROUNDS rounds over all texts, each of which is in one round: in a round, every trainer passes over
+    its share of that round's texts and the results are averaged by text.  There are as many trainers as there are texts
+    for, so the work of one stays the same."""
     v: Vocabulary = sent.value
     p = gru.start(SOFT_CLASSES * CLASS_WORDS + END_ROWS, v.class_logs, v.word_logs, seed)
     names, shapes = list(p), [x.shape for x in p.values()]
-    trainers = max(1, math.ceil(sample.count() / TRAINER_ROWS / ROUNDS))
-    spark = sample.sparkSession
+    trainers = max(1, math.ceil(learned.count() / TRAINER_ROWS / ROUNDS))
+    spark = learned.sparkSession
+    dealt = stored(learned.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(ROUNDS)).cast("int").alias("round")), "round")
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(p)
 
         def pass_over(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            texts = [sent.value.read(t)[0] for b in batches for t in b.column("text").to_pylist()]
-            if texts:
-                flat = np.concatenate([x.ravel() for x in gru.train(now.value, texts).values()]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * len(texts)), pa.array(np.full(len(flat), len(texts), np.int64))], ["k", "x", "n"])
-
-        part = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ROUNDS)) == k)
-        part = part.repartition(trainers, "doc_id").sortWithinPartitions("doc_id", "text").select("text")
+            p, texts, n, tokens, own = now.value, [], 0, 0, None
+
+            def emit() -> pa.RecordBatch:
+                flat = np.concatenate([x.ravel() for x in gru.train(p, texts).values()]).astype(np.float64)
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n, np.int64))], ["k", "x", "n"])
+
+            for b in batches:
+                for trainer, t in zip(b.column("trainer").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    if n and trainer != own:
+                        yield emit()
+                        p, texts, n, tokens = now.value, [], 0, 0
+                    own = trainer
+                    texts.append(sent.value.read(t)[0])
+                    n, tokens = n + 1, tokens + len(texts[-1].row)
+                    if tokens >= TRAINER_TOKENS:
+                        p, texts, tokens = gru.train(p, texts), [], 0
+            if n:
+                yield emit()
+
+        part = dealt.where(F.col("round") == k).withColumn("trainer", F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(trainers)))
+        part = part.repartition(trainers, "trainer").sortWithinPartitions("trainer", "doc_id", "text").select("trainer", "text")
         got = part.mapInArrow(pass_over, "k bigint, x double, n bigint").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
         if len(got):
             flat = np.empty(len(got), np.float32)
@@ -186,8 +202,7 @@ def scores(docs: DataFrame, mod: int = 10, out: int = 0) -> DataFrame:
 
     Texts are learned from unless their id's crc32 modulo `mod` is `out`; null texts count as empty (their end is a token),
     rows with a null id are learned from; repeated rows are counted and scored each; an empty table gives no row.
-    The network is trained on TRAINED of 1,000 training texts, chosen by their ids' hashes, so this part grows with the
-    input; counts cover all of them.  base_score and score are log10 probabilities of the whole text.
+    Counts and the network's training cover all texts that are learned from.  base_score and score are log10 probabilities of the whole text.
     """
     spark = docs.sparkSession
     held = F.coalesce(id_remainder(F.col("doc_id"), mod) == out, F.lit(False))
@@ -196,8 +211,7 @@ def scores(docs: DataFrame, mod: int = 10, out: int = 0) -> DataFrame:
     counts = stored(word_counts(learned.select("text")))
     v, least = vocabulary(counts, learned.count())
     sent = spark.sparkContext.broadcast(v)
-    sample = stored(learned.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1000)) < TRAINED).select("doc_id", "text"))
-    network = spark.sparkContext.broadcast(train(sample, sent))
+    network = spark.sparkContext.broadcast(train(learned, sent))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -464,6 +464,27 @@ def test_lm_learns_from_every_token_of_uneven_texts():
     assert gru.log_probabilities(got, texts[-1:])[0] > gru.log_probabilities(p, texts[-1:])[0]
 
 
+def test_lm_network_learns_from_every_training_text(spark, monkeypatch):
+    v, seen, given, train = small_vocabulary(), spark.sparkContext.accumulator(0), [], lm_scoring.train
+
+    class Counted:
+        class_logs, word_logs = v.class_logs, v.word_logs
+
+        def read(self, text):
+            seen.add(1)
+            return v.read(text)
+
+    class Sent:
+        value = Counted()
+
+    monkeypatch.setattr(lm_scoring, "train", lambda texts, sent: given.append(texts.count()) or train(texts, Sent))
+    rows = [(i if i else None, prose(i, 20), "en", "s", 0, 1.0, "x", 7) for i in range(80)]
+    lm_scoring.scores(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    learned = sum(not i or zlib.crc32(str(i).encode()) % 10 > 0 for i in range(80))
+    assert given == [learned] and seen.value == learned
+    assert lm_scoring.SOFT_CLASSES * gru.CLASS_WORDS >= 4096
+
+
 # -- the pipeline
 
 
