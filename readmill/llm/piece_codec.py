@@ -28,8 +28,10 @@ from readmill.llm.tokens import MEMO_CHARS, MEMO_ENTRIES, segments
 SPACE = "▁"
 #: Where a text may be cut: at a single space between others, and before a line feed, of which no piece has any.
 CUT = re.compile(r"(?<=\S) (?=\S)|(?=\n)")
-#: Characters of texts handled together and of chunks indexed together; longer chunks are merged one by one.
-GROUP_CHARS, INDEX_CHARS, LONG = 1 << 20, 1 << 18, 128
+#: Characters of texts handled together, and of chunks indexed together (longer chunks are indexed in overlapping slices).
+GROUP_CHARS, INDEX_CHARS = 1 << 20, 1 << 18
+#: Characters of a stretch that relaxes in step with others; a longer one has a queue of its own edges.
+IN_STEP = 128
 
 
 class Codec:
@@ -64,7 +66,6 @@ class Codec:
     # -- the vocabulary as packed keys
 
     def _index_pieces(self, pieces: list[tuple[str, int, float]]) -> None:
-        self.ids = {p: i for p, i, _ in pieces}
         self.depth = max(len(p) for p, _, _ in pieces)
         letters = sorted({c for p, _, _ in pieces for c in p})
         self.bits = len(letters).bit_length()
@@ -123,7 +124,15 @@ class Codec:
         return lo
 
     def edges(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, number of the piece) of every occurrence of every piece, by position."""
+        """(position, number of the piece) of every occurrence of every piece, by position.
+
+        Slices overlap by one letter less than the longest piece has, and each gives the edges that begin in it.
+        """
+        found = [self._slice_edges(letters[at : at + INDEX_CHARS + self.depth - 1], at) for at in range(0, len(letters), INDEX_CHARS)]
+        where, piece = ([x[k] for x in found] for k in (0, 1))
+        return np.concatenate([np.empty(0, np.int64), *where]), np.concatenate([np.empty(0, np.int64), *piece])
+
+    def _slice_edges(self, letters: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
         order, keys = self.suffixes(letters)
         if not len(order):
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -131,13 +140,20 @@ class Codec:
         n = hi - lo
         piece = np.repeat(np.arange(len(n)), n)
         where = order[np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        where, piece = where[own := where < INDEX_CHARS], piece[own]
         by = np.argsort(where, kind="stable")
-        return where[by], piece[by]
+        return where[by] + offset, piece[by]
 
     # -- relaxation
 
     def _relax(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks (with space marks) by best merges, one a chunk and round, over all chunks at once."""
+        """Ids of chunks (with space marks) by best merges.
+
+        A place that no edge goes over is a boundary whatever is merged, so a chunk is relaxed in the stretches between
+        such places: short stretches one merge a stretch and round, all of them at once, and long ones by a queue.
+        """
+        if not chunks:
+            return []
         chars = np.frombuffer("\0".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").copy()
         lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
         starts = np.cumsum(lens + 1) - lens - 1
@@ -147,9 +163,19 @@ class Codec:
         none = np.int32(len(self.piece_id))
         spanned = np.full((len(chars) + 1, self.depth + 1), none, np.int32)  # best piece by position and length
         spanned[where, self.piece_len[piece]] = piece
-        at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, lens, strict=True)]) if len(chunks) else np.empty(0, np.int64)
-        owner, size = np.repeat(np.arange(len(chunks)), lens), np.ones(len(at), np.int64)
-        done_at, done_size = [], []
+        over = np.bincount(where + 1, minlength=len(chars) + 2) - np.bincount(where + self.piece_len[piece], minlength=len(chars) + 2)
+        at = np.delete(np.arange(len(chars)), starts[1:] - 1)
+        begins = np.cumsum(over)[at] == 0  # no edge goes over the place before this character
+        begins[np.searchsorted(at, starts[lens > 0])] = True
+        owner, size = np.cumsum(begins), np.ones(len(at), np.int64)
+        done_at, done_size, sizes = [], [], np.bincount(owner)
+        if len(long := np.flatnonzero(sizes > IN_STEP)):
+            for a, n in zip(at[begins][long - 1].tolist(), sizes[long].tolist(), strict=True):
+                got = self._merged(spanned, a, a + n)
+                done_at.append(np.array(got[0], np.int64))
+                done_size.append(np.array(got[1], np.int64))
+            short = sizes[owner] <= IN_STEP
+            at, owner, size = at[short], owner[short], size[short]
         while len(at):
             both = size[:-1] + size[1:]
             best = np.full(len(at), none, np.int32)
@@ -187,38 +213,32 @@ class Codec:
                 out.append(part.tobytes())
         return out
 
-    def _merge_one(self, chunk: str) -> bytes:
-        """The same for one long chunk, with a heap of merges."""
-        n = len(chunk)
-        end, prev, rank = list(range(1, n + 1)), list(range(-1, n - 1)), self.rank
+    def _merged(self, spanned: np.ndarray, first: int, stop: int) -> tuple[list[int], list[int]]:
+        """(positions, sizes) of the symbols of one long stretch, whose edges wait in a queue, best (then leftmost) first."""
+        n, none, table = stop - first, len(self.piece_id), spanned[first:stop]
+        end, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
             j = end[i]
-            if j < n and end[j] - i <= self.depth and (r := rank.get(chunk[i : end[j]])) is not None:
+            if j < n and end[j] - i <= self.depth and (r := int(table[i, end[j] - i])) < none:
                 heapq.heappush(heap, (r, i, end[j]))
 
-        alive = [True] * n
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] >= n or end[end[i]] != stop or end[i] == stop:
+            _, i, to = heapq.heappop(heap)
+            if not alive[i] or end[i] >= n or end[i] == to or end[end[i]] != to:
                 continue
-            j = end[i]
-            alive[j] = False
-            end[i] = stop
-            if stop < n:
-                prev[stop] = i
+            alive[end[i]] = False
+            end[i] = to
+            if to < n:
+                prev[to] = i
             offer(i)
             if prev[i] >= 0:
                 offer(prev[i])
-        out, i = array("I"), 0
-        while i < n:
-            p = chunk[i : end[i]]
-            out.extend([self.ids[p]] if p in self.ids else [self.byte_ids[x] for x in p.encode()])
-            i = end[i]
-        return out.tobytes()
+        left = [i for i in range(n) if alive[i]]
+        return [first + i for i in left], [end[i] - i for i in left]
 
     # -- texts
 
@@ -227,9 +247,7 @@ class Codec:
         self.memo.update((c, self.old[c]) for c in known)
         for batch in by_bytes(chunks - known, INDEX_CHARS):
             marked = [c if c[:1] == "\n" else SPACE + c for c in (c.replace(" ", SPACE) for c in batch)]
-            short = [k for k, c in enumerate(marked) if len(c) <= LONG]
-            self.memo.update(zip((batch[k] for k in short), self._relax([marked[k] for k in short]), strict=True))
-            self.memo.update((b, self._merge_one(c)) for b, c in zip(batch, marked, strict=True) if len(c) > LONG)
+            self.memo.update(zip(batch, self._relax(marked), strict=True))
 
     def forget(self) -> None:
         self.memo, self.old = {}, {}

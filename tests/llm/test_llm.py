@@ -144,6 +144,20 @@ def test_pieces_are_what_the_library_gives():
     assert [codec.decode(np.array(x, "<u4").tobytes()) for x in got] == model.decode(got)
 
 
+@pytest.mark.parametrize("index_chars", [1 << 18, 40])
+def test_long_chunks_go_through_the_suffix_array(monkeypatch, index_chars):
+    monkeypatch.setattr(piece_codec, "INDEX_CHARS", index_chars)
+    model, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_codec.Codec(MODEL)
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDE0123456789/+=é中文的")
+    junk = ["".join(rng.choice(letters, n)) for n in (129, 700, 5000)]
+    longs = ["x" * 300, "the" * 200, "中文的" * 150, " " * 400, "internationalization" * 30, *junk]
+    want = model.encode(longs)
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(longs)] == want  # a batch of long chunks alone
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode([" ".join(longs)])] == model.encode([" ".join(longs)])
+    assert list(codec.encode([])) == [] and list(codec.encode(["", ""])) == [b"", b""]
+
+
 def test_edges_are_all_occurrences():
     codec = piece_codec.Codec(MODEL)
     text = "▁the▁there▁in\0▁inner▁▁▁▁x"
