@@ -10,30 +10,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readmill.llm.common import table
+from readmill.llm.common import stored, table
 from readmill.llm.tokens import encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
-#: Windows that may be partly filled at a time in a task; beyond it their contents are cut into full windows.
-MAX_OPEN = 1024
+#: Fill levels of a window, and tasks whose last open windows are packed together by one task.
+LEVELS, TASKS = 32, 16
 
 
 class SumOfSquares:
     """Online packer of one task.
 
-    A document's full windows are emitted at once.  Its rest, of r tokens, goes to the fill level h (0: a new window)
-    that makes the sum over levels of squared counts of partly filled windows smallest; ties go to the fullest level.
-    `count[h]` is the level array, `open[h]` the windows at that level.  Pieces of a partly filled window are held until
-    it is full.  flush() cuts what is held into full windows, and at the end into windows of powers of two, so that
-    nothing is padded.
+    A document's full windows are emitted at once.  Its rest, of r tokens, goes to a window at the fill level (or to a new
+    one) that makes the sum over levels of squared counts of partly filled windows smallest; ties go to the fullest level.
+    A level is a range of `grain` fills: `count` is the level array, `open` holds a level's windows as [fill, pieces].  A
+    window may also be filled by a piece that is up to a grain too long: the piece is cut, and what is over is placed
+    anew.  So there are never many more open windows than levels, and each window has at most one cut.
     """
 
     def __init__(self, window: int, first_id: int) -> None:
-        self.window, self.next_id = window, first_id
-        self.count = np.zeros(window + 1, np.int64)
-        self.open: list[list[list]] = [[] for _ in range(window)]
-        self.n_open = 0
+        self.window, self.next_id, self.grain = window, first_id, max(1, window // LEVELS)
+        self.count = [0] * (window // self.grain + 1)
+        self.open: list[list[list]] = [[] for _ in self.count]
         self.rows: list[tuple] = []
 
     def _emit(self, pieces: list[tuple]) -> None:
@@ -50,44 +49,53 @@ class SumOfSquares:
         for at in range(0, full, step):
             self._emit([(doc, at // 4, ids[at : at + step], total)])
         if full < len(ids):
-            self._place((doc, full // 4, ids[full:], total))
-
-    def _place(self, piece: tuple) -> None:
-        w, r, n = self.window, len(piece[2]) // 4, self.count
-        # the change of the sum if the piece goes to level h = 1 .. w - r; level w holds no partly filled windows
-        rise = 2 * n[r + 1 : w + 1] - 2 * n[1 : w - r + 1] + 2
-        rise[-1:] -= 1
-        rise[n[1 : w - r + 1] == 0] = np.iinfo(np.int64).max
-        level, best = 0, 2 * n[r] + 1
-        if len(rise):
-            h = len(rise) - int(np.argmin(rise[::-1]))
-            if rise[h - 1] <= best:
-                level = h
-        if level:
-            pieces = self.open[level].pop()
-            n[level] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        if level + r == w:
-            self._emit(pieces)
-        else:
-            self.open[level + r].append(pieces)
-            n[level + r] += 1
-            self.n_open += 1
-            if self.n_open > MAX_OPEN:
-                self.flush(last=False)
-
-    def flush(self, last: bool) -> None:
-        """Cut held pieces into full windows; what is over stays open, or at the end fills windows of powers of two."""
-        held = [p for level in reversed(self.open) for pieces in level for p in pieces]
-        left = sum(len(p[2]) for p in held) // 4
-        self.count[:] = 0
-        self.open = [[] for _ in range(self.window)]
-        self.n_open = 0
-        queue, at = iter(held), None
-        while left and (last or left >= self.window):
+            self.place((doc, full // 4, ids[full:], total))
+
+    def level_for(self, r: int) -> int:
+        """The level whose last window a piece of r tokens goes to; -1: a new window."""
+        count, grain, window = self.count, self.grain, self.window
+        best, rise = -1, 2 * count[r // grain] + 1
+        found = None
+        for k in range(len(count) - 1, -1, -1):
+            if not count[k]:
+                continue
+            total = self.open[k][-1][0] + r
+            if total >= window + grain:
+                continue
+            to = len(count) if total >= window else total // grain
+            change = 0 if to == k else 1 - 2 * count[k] if total >= window else 2 * (count[to] - count[k]) + 2
+            if found is None or change < found:
+                best, found = k, change
+        return best if found is not None and found <= rise else -1
+
+    def place(self, piece: tuple) -> None:
+        doc, start, ids, total = piece
+        while ids:
+            r = len(ids) // 4
+            k = self.level_for(r)
+            fill, pieces = self.open[k].pop() if k >= 0 else (0, [])
+            if k >= 0:
+                self.count[k] -= 1
+            take = min(r, self.window - fill)
+            pieces.append((doc, start, ids[: take * 4], total))
+            if fill + take == self.window:
+                self._emit(pieces)
+            else:
+                to = (fill + take) // self.grain
+                self.open[to].append([fill + take, pieces])
+                self.count[to] += 1
+            start, ids = start + take, ids[take * 4 :]
+
+    def left(self) -> list[tuple]:
+        """Pieces of the windows that are still open, fullest windows first."""
+        return [p for level in reversed(self.open) for _, pieces in level for p in pieces]
+
+    def finish(self) -> int:
+        """Cut what is left into full windows, and the last one into windows of powers of two; how many windows that gives."""
+        queue, at, before = iter(self.left()), None, self.next_id
+        left = sum(len(p[2]) for p in self.left()) // 4
+        self.count, self.open = [0] * len(self.count), [[] for _ in self.count]
+        while left:
             room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
             left -= room
             pieces = []
@@ -98,42 +106,66 @@ class SumOfSquares:
                 room -= take
                 at = (doc, start + take, ids[take * 4 :], total) if take * 4 < len(ids) else None
             self._emit(pieces)
-        if left:
-            self.open[left].append(([at] if at else []) + list(queue))
-            self.count[left] = self.n_open = 1
+        return self.next_id - before
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece of a document: which of its ids (start, length, ids_crc32) lie where (sequence_id, offset).
 
-    A document is its text's ids and then end_id; a null or empty text is end_id alone.  Each task packs what it reads,
-    so nothing is shuffled: the sequence id is the partition's number and a count.  Every id of every row lies in one
-    piece; repeated rows are packed each; null ids stay null; an empty table gives no piece.  A task holds at most
-    MAX_OPEN partly filled windows and one document's ids.
+    A document is its text's ids and then end_id; a null or empty text is end_id alone.  Each task packs what it reads and
+    writes its pieces to the shared folder; the pieces of its last open windows, which are about as many as there are
+    levels, go with their ids to a second stage, where a task packs those of TASKS tasks in the same way and cuts only
+    what is still open then.  Every id of every row lies in one piece; repeated rows are packed each; null ids stay null;
+    an empty table gives no piece.  A task holds its open windows and one document's ids.
     """
+    wide = pa.schema([*ARROW, ("tail", pa.binary()), ("task", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer, "ids")
-        packer = SumOfSquares(window, TaskContext.get().partitionId() << 40)
+        enc, task = encoder(tokenizer, "ids"), TaskContext.get().partitionId()
+        packer = SumOfSquares(window, task << 40)
         end = np.array([end_id], "<u4").tobytes()
 
-        def take() -> pa.RecordBatch:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), wide.types, strict=True)], schema=wide)
+
+        def done() -> pa.RecordBatch:
             rows, packer.rows = packer.rows, []
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=ARROW)
+            return batch_of([(*r, None, task) for r in rows])
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, tokens in zip(ids, enc.ids(texts), strict=True):
                 packer.add(doc, tokens + end)
                 if len(packer.rows) >= 20_000:
-                    yield take()
-        packer.flush(last=True)
+                    yield done()
         if packer.rows:
-            yield take()
+            yield done()
+        if left := packer.left():
+            yield batch_of([(doc, start, None, None, total, None, None, ids, task) for doc, start, ids, total in left])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    def pack_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, group = None, None
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if packer is not None:
+                packer.finish()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*packer.rows, strict=True)], schema=ARROW)
+
+        for batch in batches:
+            for g, doc, start, ids, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    yield from finished()
+                    group, packer = g, SumOfSquares(window, 1 << 62 | g << 40)
+                packer.place((doc, start, ids, total))
+        yield from finished()
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    first = stored(rows.mapInArrow(run, f"{SCHEMA}, tail binary, task bigint"))
+    tails = first.where("tail is not null").select(F.floor(F.col("task") / TASKS).alias("group"), "doc_id", "start", "tail", "doc_tokens", "task")
+    tails = tails.repartition("group").sortWithinPartitions("group", "task", "doc_id", "start").select("group", "doc_id", "start", "tail", "doc_tokens")
+    return first.where("tail is null").select(*ARROW.names).unionByName(tails.mapInArrow(pack_tails, SCHEMA))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

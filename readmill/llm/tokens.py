@@ -1,9 +1,9 @@
 """Tokenizer encoding inside tasks: whole texts cut at safe boundaries, batches balanced by bytes.
 
 A boundary is safe where the library would end a token whatever surrounds it.  For byte-level BPE (.json) that is
-before a space that a non-space follows: the pre-tokenizer gives the space to the word after it; and around a line feed
-between two non-spaces, which is a token of its own.  For sentencepiece
-models (.model) it is a space between two non-spaces, provided that no piece has the space mark inside it (checked
+before a space that a non-space follows: the pre-tokenizer gives the space to the word after it; around a line feed
+between two non-spaces, which is a token of its own; and between a letter and a full stop or comma.  A .json file with
+another pre-tokenizer or with a normalizer gets whole texts.  For sentencepiece models (.model) it is a space between two non-spaces, provided that no piece has the space mark inside it (checked
 when the model is loaded); the mark that the library puts before a text then stands for that space.
 """
 
@@ -28,10 +28,13 @@ MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
 #: Words that are encoded as one text, and what stands before a word there.
 JOINED, WORD_STARTS = 2000, (" ", "\n")
 
+#: What may be taken off a word's end.
+TAILS = (".", ",")
+
 BYTE_LEVEL = re.compile(r" (?=\S)")
 #: Where a cut at every space would differ from a cut at the safe ones.
 SPACES = re.compile(r" (?:\s|$)")
-LINES = re.compile(r"(?<=\S)\n(?=\S)")
+NOWHERE = re.compile(r"(?!)")
 PIECES = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -44,19 +47,38 @@ def segments(text: str, boundary: re.Pattern, size: int = SEGMENT_CHARS) -> Iter
     yield text[start:]
 
 
+def lines_of(text: str) -> list[str]:
+    """text cut at the line feeds that lie between two non-spaces."""
+    out = text.split("\n")
+    if len(out) > 1 and not all(x and not x[:1].isspace() and not x[-1:].isspace() for x in out):
+        lines, out = out, out[:1]
+        for x in lines[1:]:
+            if x and out[-1] and not x[:1].isspace() and not out[-1][-1:].isspace():
+                out.append(x)
+            else:
+                out[-1] += "\n" + x
+    return out
+
+
+def is_byte_level(tok: Any) -> bool:
+    """Whether the library cuts texts where the module says, whatever its added tokens are."""
+    from tokenizers import pre_tokenizers
+
+    pre, added = tok.pre_tokenizer, tok.get_added_tokens_decoder().values()
+    plain = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space and tok.normalizer is None
+    return plain and not any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() or c in TAILS for c in t.content) for t in added)
+
+
 def byte_level_words(tok: Any, empty: Any, of_ids: Callable[[list[int]], Any], of_many: Callable[[np.ndarray, np.ndarray], list]) -> Callable[[list[str]], list]:
     """Encoder of a batch of chunks: words are put one after another and encoded as one text, anything else by itself.
 
     A word after a space or a line feed, without white space in it, can stand beside others, as its boundaries are safe
     ones; its ids begin at the one that holds that space or line feed, of which no other id of the word has any.
     """
-    from tokenizers import pre_tokenizers
-
-    plain = isinstance(tok.pre_tokenizer, pre_tokenizers.ByteLevel) and tok.normalizer is None and not any(set(" \n") & set(t.content) for t in tok.get_added_tokens_decoder().values())
     begins = np.array([(tok.id_to_token(i) or "?")[0] in "ĠĊ" for i in range(tok.get_vocab_size())])
 
     def encode(texts: list[str]) -> list:
-        words = [t for t in texts if plain and t[:1] in WORD_STARTS and t.split() == [t[1:]]]
+        words = [t for t in texts if t[:1] in WORD_STARTS and t.split() == [t[1:]]]
         out: dict[str, Any] = {"": empty}
         joined = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
         for part, x in zip(joined, tok.encode_batch_fast(["".join(p) for p in joined], add_special_tokens=False), strict=True):
@@ -94,6 +116,7 @@ class ChunkEncoder:
         self.memo: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
         self.boundary, self.encode_batch = self._load(path, of)
+        self.tails = dict(zip(TAILS, self.encode_batch(list(TAILS)), strict=True)) if self.boundary is BYTE_LEVEL else {}
 
     @staticmethod
     def _load(path: str, of: str) -> tuple[re.Pattern, Callable[[list[str]], list]]:
@@ -108,16 +131,20 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        if not is_byte_level(tok):
+            return NOWHERE, lambda texts: [keep(x.ids) for x in tok.encode_batch(texts, add_special_tokens=False)]
         if of == "ids":
             return BYTE_LEVEL, byte_level_words(tok, b"", keep, bytes_of_each)
         return BYTE_LEVEL, byte_level_words(tok, 0, len, lengths_of_each)
 
     def _cut(self, text: str, first: bool) -> list[str]:
         """Chunks of a segment; a byte-level chunk's key leaves out the space before it, but for a text's very first one."""
-        if self.boundary is PIECES:
-            return PIECES.split(text)
+        if self.boundary is not BYTE_LEVEL:
+            return self.boundary.split(text)
         out: list[str] = []
-        for k, line in enumerate(LINES.split(text)):
+        for k, line in enumerate(lines_of(text)):
             chunks = BYTE_LEVEL.split(line) if SPACES.search(line) else line.split(" ")
             if k:
                 chunks[0] = "\n" + chunks[0]
@@ -127,12 +154,21 @@ class ChunkEncoder:
         return out
 
     def _fill(self, chunks: set[str]) -> None:
-        """Encode chunks not in memory, in batches balanced by bytes."""
+        """Encode chunks not in memory, in batches balanced by bytes; a word with a tail is the word and its tail."""
         known = chunks & self.old.keys() if self.old else set()
         self.memo.update((c, self.old[c]) for c in known)
-        for batch in by_bytes(chunks - known, BATCH_CHARS):
-            texts = batch if self.boundary is PIECES else [c if c[0] == "\n" else c[1:] if c[0] == "\0" else " " + c for c in batch]
+        new = chunks - known
+        if self.tails:
+            tailed = [c for c in new if c[-1:] in self.tails and len(c) <= MEMO_CHARS and (x := c[-2:-1]).isascii() and x.isalpha()]
+            new.difference_update(tailed)
+            stems = {c[:-1] for c in tailed} - self.memo.keys() - new
+            self.memo.update((c, self.old[c]) for c in (stems & self.old.keys()))
+            new |= stems - self.old.keys()
+        for batch in by_bytes(new, BATCH_CHARS):
+            texts = [c if c[0] == "\n" else c[1:] if c[0] == "\0" else " " + c for c in batch] if self.boundary is BYTE_LEVEL else batch
             self.memo.update(zip(batch, self.encode_batch(texts), strict=True))
+        if self.tails:
+            self.memo.update((c, self.memo[c[:-1]] + self.tails[c[-1]]) for c in tailed)
 
     def forget(self) -> None:
         self.memo, self.old = {}, {}

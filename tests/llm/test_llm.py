@@ -63,6 +63,23 @@ def test_chunks_are_what_the_library_gives(tokenizer):
     assert ChunkEncoder(MODEL, "length").lengths(texts) == [len(model.encode(t)) for t in texts]
 
 
+def test_other_json_files_get_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [t or "" for t in TEXTS] + ["hello world, and  more.\nnext"]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ChunkEncoder(path, "ids").ids(texts)] == want
+    assert ChunkEncoder(path, "length").lengths(texts) == list(map(len, want))
+
+
+def test_words_with_tails_and_lines(tokenizer):
+    texts = ["One, two.\nthree,\n\nfour. 5. six., ., . don't, é, ñ.\n x\ny \nz.", "a.", "a. a. a, a", ",", "\n.\n", "a.<|endoftext|>. b.", "x\n", "\r\nq.\r\nr,", "word." * 40 + " w."]
+    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    one = ChunkEncoder(JSON, "ids")
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in one.ids(texts)] == want
+    assert ChunkEncoder(JSON, "length").lengths(texts) == list(map(len, want))
+
+
 def test_long_texts_are_cut_safely(tokenizer, monkeypatch):
     monkeypatch.setattr("readmill.llm.tokens.SEGMENT_CHARS", 50)
     monkeypatch.setattr("readmill.llm.tokens.segments.__defaults__", (50,))
@@ -105,32 +122,40 @@ def test_packing_places_every_id_once(docs, empty, tokenizer, window):
 
 def test_sum_of_squares_takes_the_best_level():
     rng = np.random.default_rng(0)
-    p = packing.SumOfSquares(32, 0)
-    for k in range(400):
-        r = int(rng.integers(1, 32))
-        before = p.count.copy()
+    p = packing.SumOfSquares(256, 0)
+    assert p.grain == 8
+    for k in range(600):
+        r = int(rng.integers(1, 256))
+        before = Counter({i: n for i, n in enumerate(p.count) if n})
+        tops = {-1: 0} | {i: level[-1][0] for i, level in enumerate(p.open) if level}
         costs = {}
-        for h in range(0, 33 - r):
-            if h and not before[h]:
-                continue
+        for level, fill in tops.items():
             after = before.copy()
-            after[h] -= h > 0
-            after[h + r] += h + r < 32
-            costs[h] = int((after[1:] ** 2).sum())
+            after[level] -= level >= 0
+            if fill + r < 256:
+                after[(fill + r) // 8] += 1
+            elif fill + r >= 256 + 8:
+                continue
+            costs[level] = sum(n * n for n in after.values())
+        got = p.level_for(r)
+        assert costs[got] == min(costs.values()) and got == max(i for i, c in costs.items() if c == costs[got])
         p.add(k, np.zeros(r, "<u4").tobytes())
-        assert int((p.count[1:] ** 2).sum()) == min(costs.values())
-
-
-def test_full_tasks_are_cut(monkeypatch):
-    monkeypatch.setattr(packing, "MAX_OPEN", 4)
-    p, rng, total = packing.SumOfSquares(32, 0), np.random.default_rng(1), 0
-    for k in range(200):
-        n = int(rng.integers(17, 32))
-        total += n
-        p.add(k, np.zeros(n, "<u4").tobytes())
-        assert p.n_open <= 5
-    p.flush(last=True)
-    assert sum(r[2] for r in p.rows) == total
+        assert p.count == [len(level) for level in p.open]
+
+
+def test_nearly_all_windows_come_from_the_level_array(spark):
+    lengths = [r[0] for r in token_counts.token_counts(real(spark, "documents"), JSON).select("n_tokens").collect()]
+    last, flushed, tails = 0, 0, []
+    for task in range(8):
+        p = packing.SumOfSquares(2048, last)
+        for n in lengths[task::8]:
+            p.add(0, bytes(4 * (n + 1)))
+        last, tails = p.next_id, tails + p.left()
+    p = packing.SumOfSquares(2048, last)
+    for piece in tails:
+        p.place(piece)
+    flushed = p.finish()
+    assert flushed < 0.01 * p.next_id and sum(lengths) + len(lengths) <= 2048 * p.next_id
 
 
 # -- 1, pieces
