@@ -25,7 +25,8 @@ def parse(header: Column, delimiters: tuple[str, str, str] = DELIMITERS) -> Colu
     A field without a value separator raises an error when it is read.
     """
     sep, eq, _ = delimiters
-    fields = F.slice(F.split(header, _quoted(sep)), 2, 10_000)
+    parts = F.split(header, _quoted(sep))
+    fields = F.slice(parts, F.lit(2), F.size(parts))
 
     def pair(x: Column) -> Column:
         parts = F.split(x, _quoted(eq))

@@ -31,7 +31,7 @@ def genbank(header: Column) -> Column:
     """ID, GI, SOURCE and DESC of five parts between bars, else ID and DESC."""
     old, new = F.split(header, r"\|"), F.split(header, " ")
     is_old = F.size(old) == 5
-    desc = F.when(is_old, _squeezed(F.trim(F.get(old, F.lit(4))), "=,")).otherwise(_squeezed(F.array_join(F.slice(new, 2, 10_000), "_"), "=,"))
+    desc = F.when(is_old, _squeezed(F.trim(F.get(old, F.lit(4))), "=,")).otherwise(_squeezed(F.array_join(F.slice(new, F.lit(2), F.size(new)), "_"), "=,"))
     part = lambda i: F.when(is_old, F.get(old, F.lit(i)))
     return _made(header.isNotNull(), F.coalesce(part(3), new[0]), {"GI": part(1), "SOURCE": part(2), "DESC": desc})
 

@@ -57,7 +57,7 @@ def quality_consensus(sets: DataFrame, least_quality: int = 0, least_freq: float
     share of letters gives N.  In a set of one read only the quality counts.
     """
     known = ~F.col("ch").isin(*MISSING)
-    num = F.col("max_q") * F.col("sum_q") if dependent else F.col("sum_q") * F.col("sum_q")
+    num = F.col("sum_q").cast("double") * F.col("max_q" if dependent else "sum_q")
     total = letter_sums(sets).groupBy("set_id", "pos").agg(
         F.sum("sum_q").alias("all_q"), F.sum(F.when(known, F.col("n"))).alias("all_n"),
         F.collect_list(F.when(known, F.struct("ch", "n", num.alias("num")))).alias("letters"),
@@ -93,16 +93,26 @@ def assembled(places: DataFrame, quality: bool = True) -> DataFrame:
     return out.select("set_id", F.array_join(F.transform("x", lambda v: v["ch"]), "").alias("seq"), qual.alias("qual"))
 
 
+def by_set(places: DataFrame) -> DataFrame:
+    """set_id, refs: consensus letters as an array by place, null where there is none."""
+    known = F.map_from_entries(F.collect_list(F.struct("pos", "ch")))
+    out = places.groupBy("set_id").agg(known.alias("_at"), F.max("pos").alias("_last"))
+    return out.select("set_id", F.transform(F.sequence(F.lit(0), "_last"), lambda i: F.element_at("_at", i)).alias("refs"))
+
+
 def set_error(sets: DataFrame, consensus: DataFrame) -> DataFrame:
-    """set_id, error: one less the share of letters that agree with the consensus, among places where both have one; 1 if there is none, 0 in sets of one read."""
-    ignored = F.col("x.ch").isin("n", "N") | F.col("y.ch").isin("n", "N")
-    both = positions(sets).alias("x").join(consensus.alias("y"), ["set_id", "pos"])
-    agree = (S.mask_of(F.col("x.ch")).bitwiseAND(S.mask_of(F.col("y.ch"))) != 0) & ~ignored
+    """set_id, error: one less the share of letters that agree with the consensus, among places where both have one; 1 if there is none, 0 in sets of one read.
+
+    A set's consensus meets each of its reads as one array, and reads' counts are summed before they are shuffled.
+    """
+    joined = sets.join(by_set(consensus), "set_id")
+    both = F.filter(F.arrays_zip(chars(F.upper("seq")).alias("a"), F.col("refs").alias("b")), lambda x: x["a"].isNotNull() & x["b"].isNotNull() & (x["a"] != "N"))
+    agree = lambda x: (x["b"] != "N") & ((x["a"] == x["b"]) | (S.mask_of(x["a"]).bitwiseAND(S.mask_of(x["b"])) != 0))
     # a read counts as long as the fewer of its own and the consensus's letters that aren't ignored
-    per_read = both.groupBy("set_id", "ord").agg(F.sum(agree.cast("int")).alias("same"), F.sum((~F.col("x.ch").isin("n", "N")).cast("int")).alias("a"))
-    ref = consensus.groupBy("set_id").agg(F.sum((~F.col("ch").isin("n", "N")).cast("int")).alias("b"))
-    joined = per_read.join(ref, "set_id").groupBy("set_id").agg(F.sum("same").alias("same"), F.sum(F.least("a", "b")).alias("total"), F.count("*").alias("n"))
-    return joined.select("set_id", F.when(F.col("n") < 2, 0.0).when(F.col("total") == 0, 1.0).otherwise(1 - F.col("same") / F.col("total")).alias("error"))
+    per_read = joined.select("set_id", both.alias("both"), F.size(F.filter("refs", lambda c: ~c.isin("n", "N"))).alias("b"))
+    per_read = per_read.select("set_id", F.size(F.filter("both", agree)).alias("same"), F.least(F.size("both"), F.col("b")).alias("total"))
+    sums = per_read.groupBy("set_id").agg(F.sum("same").alias("same"), F.sum("total").alias("total"), F.count("*").alias("n"))
+    return sums.select("set_id", F.when(F.col("n") < 2, 0.0).when(F.col("total") == 0, 1.0).otherwise(1 - F.col("same") / F.col("total")).alias("error"))
 
 
 def diversity(sets: DataFrame) -> DataFrame:

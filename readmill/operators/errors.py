@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
 from readmill.functions import sequence as S
 from readmill.operators import consensus as C
-from readmill.schema import MISSING
+from readmill.schema import MISSING, chars
 
 
 def usable_sets(reads: DataFrame, field: str = "BARCODE", least: int = 20, most_diversity: float | None = None) -> DataFrame:
@@ -22,11 +26,16 @@ def usable_sets(reads: DataFrame, field: str = "BARCODE", least: int = 20, most_
 
 
 def compared(sets: DataFrame, consensus: DataFrame) -> DataFrame:
-    """pos, obs, ref, q, set_n, wrong: one row a letter, where neither it nor the consensus is missing; N and gaps never differ."""
-    letters = C.positions(sets).join(sets.select("set_id", "ord", "set_n"), ["set_id", "ord"])
-    both = letters.join(consensus.select("set_id", "pos", F.col("ch").alias("ref")), ["set_id", "pos"])
-    both = both.where(~F.col("ch").isin(*MISSING) & ~F.col("ref").isin(*MISSING))
-    return both.select("set_id", "pos", F.col("ch").alias("obs"), "ref", "q", "set_n", (S.mask_of(F.col("ch")).bitwiseAND(S.mask_of(F.col("ref"))) == 0).alias("wrong"))
+    """pos, obs, ref, q, set_n, wrong: one row a letter, where neither it nor the consensus is missing; N and gaps never differ.
+
+    A set's consensus meets each of its reads as one array, so letters are never shuffled.
+    """
+    joined = sets.join(C.by_set(consensus), "set_id")
+    each = F.arrays_zip(chars(F.upper("seq")).alias("ch"), S.phred(F.coalesce("qual", F.lit(""))).alias("q"), F.col("refs").alias("ref"))
+    letters = joined.select("set_id", "set_n", F.posexplode(each).alias("pos", "x")).select("set_id", "pos", F.col("x.ch").alias("obs"), F.col("x.ref").alias("ref"), F.coalesce("x.q", F.lit(0)).alias("q"), "set_n")
+    known = letters.where(~F.col("obs").isin(*MISSING) & ~F.col("ref").isin(*MISSING))
+    differ = S.mask_of(F.col("obs")).bitwiseAND(S.mask_of(F.col("ref"))) == 0
+    return known.withColumn("wrong", F.when(F.col("obs") == F.col("ref"), False).otherwise(differ))
 
 
 def _rates(counts: DataFrame, *keys: str) -> DataFrame:
@@ -48,12 +57,16 @@ def nucleotide_table(letters: DataFrame) -> DataFrame:
     return out.withColumn("error", F.col("error") * 3).withColumn("empirical_q", -10 * F.log10("error"))
 
 
+#: Longest values whose pairs are counted by subsets of places, and values of a block of longer ones.
+SUBSET_LENGTH, BLOCK_ROWS = 12, 2000
+
+
 def pair_distances(values: DataFrame, value: str, pad: str = "none") -> DataFrame:
     """distance, length and n of all pairs of values of a table (repeats count as often as they occur).
 
-    Equal values are joined into one with a weight, so pairs are those of distinct values; `pad` none leaves out values
-    shorter than the longest, head and tail fill them with N.  Pairs of distinct values are a join of the table with
-    itself by blocks (see _blocks), whose results are summed before they are shuffled.
+    Equal values are joined into one with a weight; `pad` none leaves out values shorter than the longest, head and tail
+    fill them with N.  Values of up to SUBSET_LENGTH letters are never paired: see _by_subsets.  Longer ones are compared
+    in blocks.
     """
     longest = values.agg(F.max(F.length(value))).first()[0] or 0
     text = F.col(value)
@@ -62,21 +75,58 @@ def pair_distances(values: DataFrame, value: str, pad: str = "none") -> DataFram
     else:
         text = (F.lpad if pad == "head" else F.rpad)(text, longest, "N")
     weighted = values.select(text.alias("v")).groupBy("v").agg(F.count("*").alias("w"))
-    own = weighted.select(F.lit(0).alias("distance"), (F.col("w") * (F.col("w") - 1) / 2).cast("bigint").alias("n"))
-    x, y = _blocks(weighted)
-    different = x.join(y, "cell").where(F.col("a") < F.col("b")).select(S.hamming(F.col("a"), F.col("b")).alias("distance"), (F.col("wa") * F.col("wb")).alias("n"))
-    return own.unionByName(different).groupBy("distance").agg(F.sum("n").alias("n")).where("n > 0").withColumn("length", F.lit(longest))
+    if longest <= SUBSET_LENGTH:
+        out = _by_subsets(weighted, longest)
+    else:
+        own = weighted.select(F.lit(0).alias("distance"), (F.col("w") * (F.col("w") - 1) / 2).cast("bigint").alias("n"))
+        blocks = max(1, -(-weighted.count() // BLOCK_ROWS))
+        out = own.unionByName(_by_blocks(weighted.select(F.lit("").alias("set_id"), "v", "w", F.lit(blocks).alias("blocks"))).select("distance", "n"))
+    return out.groupBy("distance").agg(F.sum("n").alias("n")).where("n > 0").withColumn("length", F.lit(longest))
 
 
-def _blocks(weighted: DataFrame, rows: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """The two sides of a block join of a table with itself: each row goes to every cell of its block's row or column."""
-    n = max(1, -(-weighted.count() // rows))
-    numbers = F.sequence(F.lit(0), F.lit(n - 1))
-    block = F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
-    return (
-        weighted.select(F.col("v").alias("a"), F.col("w").alias("wa"), block.alias("k"), F.explode(numbers).alias("j")).select("a", "wa", (F.col("k") * n + F.col("j")).alias("cell")),
-        weighted.select(F.col("v").alias("b"), F.col("w").alias("wb"), block.alias("k"), F.explode(numbers).alias("j")).select("b", "wb", (F.col("j") * n + F.col("k")).alias("cell")),
-    )
+def _by_subsets(weighted: DataFrame, length: int) -> DataFrame:
+    """distance, n of all pairs of values, which all have `length` letters, by grouped sums alone.
+
+    Values are grouped by their letters at every subset of places, which gives the pairs that agree at these places at
+    least; taking subsets of equal size together, pairs that agree at exactly k places follow by inclusion and exclusion.
+    Work grows with the number of values and not with that of pairs.
+    """
+    subset = weighted.select("v", "w", F.explode(F.sequence(F.lit(0), F.lit((1 << length) - 1))).alias("m"))
+    letters = [F.when(F.col("m").bitwiseAND(1 << i) != 0, F.substring("v", i + 1, 1)).otherwise(F.lit("")) for i in range(length)]
+    grouped = subset.groupBy("m", F.concat_ws("\t", *letters).alias("key")).agg(F.sum("w").alias("w"))
+    weight = F.col("w").cast("decimal(19,0)")
+    agreeing = grouped.groupBy(F.bit_count("m").alias("size")).agg(F.sum((weight * (weight - 1) / 2).cast("decimal(38,0)")).alias("pairs"))
+    factors = [(j, length - k, (-1) ** (j - k) * math.comb(j, k)) for j in range(length + 1) for k in range(j + 1)]
+    table = weighted.sparkSession.createDataFrame(factors, "size int, distance int, factor bigint")
+    return agreeing.join(F.broadcast(table), "size").groupBy("distance").agg(F.sum(F.col("pairs") * F.col("factor")).cast("bigint").alias("n"))
+
+
+def _by_blocks(weighted: DataFrame) -> DataFrame:
+    """set_id, length, distance, n of pairs of different values within each set, from rows set_id, v, w, blocks.
+
+    A set's values are dealt into blocks; every pair of blocks, and every block with itself, is a cell that one task
+    compares in numpy, and only sums by distance leave it.
+    """
+    k = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+    dealt = weighted.select("set_id", "v", "w", k.alias("k"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
+    cells = dealt.select("set_id", "v", "w", "k", F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b"))
+
+    def count(cell: pa.Table) -> pa.Table:
+        block, values = cell["k"].to_numpy(), cell["v"].to_pylist()
+        length, weight = len(values[0]), cell["w"].to_numpy().astype(object)  # whole numbers of any size
+        codes = np.frombuffer("".join(values).encode("utf-32-le"), "<u4").reshape(-1, length)
+        low = block == cell["a"][0].as_py()
+        sides = [np.flatnonzero(low), np.flatnonzero(~low)] if not low.all() else [np.arange(len(values))] * 2
+        total = [0] * (length + 1)
+        for row, i in enumerate(sides[0].tolist()):
+            others = sides[1] if not low.all() else sides[1][row + 1 :]
+            far = (codes[others] != codes[i]).sum(axis=1)
+            for d in np.unique(far).tolist():
+                total[d] += int(weight[i]) * int(weight[others[far == d]].sum())
+        used = [d for d, n in enumerate(total) if n]
+        return pa.table({"set_id": pa.array([cell["set_id"][0].as_py()] * len(used), pa.string()), "length": pa.array([length] * len(used), pa.int32()), "distance": pa.array(used, pa.int32()), "n": pa.array([total[d] for d in used], pa.int64())})
+
+    return cells.groupBy("set_id", "a", "b").applyInArrow(count, "set_id string, length int, distance int, n bigint")
 
 
 def barcode_distances(reads: DataFrame, field: str = "BARCODE", pad: str = "none") -> DataFrame:
@@ -86,8 +136,6 @@ def barcode_distances(reads: DataFrame, field: str = "BARCODE", pad: str = "none
 
 def bin_table(length: int, bins: int) -> list[int]:
     """Bin of each distance 0..length among equal bins of the shares 0..1, the last one closed; as numpy's histogram has it."""
-    import numpy as np
-
     shares = np.arange(length + 1) / max(1, length)
     return [int(np.histogram([x], bins=bins, range=(0.0, 1.0))[0].argmax()) for x in shares]
 
@@ -95,13 +143,18 @@ def bin_table(length: int, bins: int) -> list[int]:
 def set_distances(sets: DataFrame, bins: int = 50) -> DataFrame:
     """bin, n: histogram of the shares of unequal letters over all pairs of reads of one set, for sets of reads of equal lengths.
 
-    Equal reads of a set are one with a weight, so only distinct ones are joined.
+    Equal reads of a set are one with a weight, so only distinct ones are compared: by a join in sets of up to BLOCK_ROWS of
+    them, in blocks in larger sets.
     """
     weighted = sets.groupBy("set_id", F.upper("seq").alias("v")).agg(F.count("*").alias("w"))
     own = weighted.select(F.lit(0).alias("d"), F.length("v").alias("len"), (F.col("w") * (F.col("w") - 1) / 2).cast("bigint").alias("n"))
-    x, y = weighted.alias("x"), weighted.alias("y")
+    sizes = weighted.groupBy("set_id").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    weighted = weighted.join(sizes, "set_id")
+    x, y = (weighted.where("blocks = 1").alias(k) for k in "xy")
     pairs = x.join(y, (F.col("x.set_id") == F.col("y.set_id")) & (F.col("x.v") < F.col("y.v")))
     pairs = pairs.select(S.hamming(F.col("x.v"), F.col("y.v")).alias("d"), F.length("x.v").alias("len"), (F.col("x.w") * F.col("y.w")).alias("n"))
+    crowded = _by_blocks(weighted.where("blocks > 1")).select(F.col("distance").alias("d"), F.col("length").alias("len"), "n")
+    pairs = pairs.unionByName(crowded)
     counted = own.unionByName(pairs).where("n > 0").groupBy("len", "d").agg(F.sum("n").alias("n"))
     lengths = [r["len"] for r in counted.select("len").distinct().collect()]  # as many as reads have lengths
     spark = sets.sparkSession

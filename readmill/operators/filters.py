@@ -45,16 +45,15 @@ def trim_quality(reads: DataFrame, least: int = 20, window: int = 10, reverse: b
     A last short window is judged by its own length.  reverse: from the other end.
     """
     qual = F.reverse("qual") if reverse else F.col("qual")
-    scores = S.phred(qual)
     starts = F.when(F.length("qual") > 0, F.sequence(F.lit(0), F.length("qual") - 1, F.lit(window))).otherwise(F.array().cast("array<int>"))
 
     def low(start: Column) -> Column:
-        part = F.slice(scores, start + 1, window)
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x) < F.lit(least) * F.size(part)
+        part = F.substring(qual, start + 1, F.lit(window))
+        return S.total_quality(part) < F.lit(least) * F.length(part)
 
     keep = F.coalesce(F.get(F.filter(starts, low), F.lit(0)), F.length("qual"))
+    out = reads.select(*reads.columns, F.explode(F.array(keep)).alias("_keep"))  # sought once, however often it is used
     at = (F.length("qual") - F.col("_keep") + 1) if reverse else F.lit(1)
-    out = reads.withColumn("_keep", keep)
     return out.withColumns({"seq": F.substring(F.col("seq"), at, F.col("_keep")), "qual": F.substring(F.col("qual"), at, F.col("_keep")), "valid": F.col("_keep") > 0}).drop("_keep")
 
 

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from readmill import result, streaming
+from readmill.functions import annotation as A
+from readmill.functions import headers as H
 from readmill.operators import filters
 from readmill.sources import sequence_files as IO
 
@@ -75,3 +77,21 @@ def test_fastq_qualities_that_look_like_headers(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [(r["header"], r["seq"], r["qual"]) for r in got] == want
+
+
+def test_fastq_empty_sequences_and_odd_lines(spark, tmp_path):
+    (tmp_path / "a.fastq").write_text("@a\nAC\n+\nII\n@b\n\n+\n\n@c\nA\n+\n@\n@d\r\nACG\r\n+\r\n@@I\r\n@e\n\n+\n\n\n")
+    got = [(r["header"], r["seq"], r["qual"]) for r in IO.read_fastq(spark, str(tmp_path / "a.fastq")).orderBy("ord").collect()]
+    assert got == [("a", "AC", "II"), ("b", "", ""), ("c", "A", "@"), ("d", "ACG", "@@I"), ("e", "", "")]
+    (tmp_path / "e.fastq").write_text("@b\n\n+\n")
+    assert IO.read_fastq(spark, str(tmp_path / "e.fastq")).first()["seq"] == ""
+    for k, text in enumerate(("@a\nAC\n", "@a\nAC\n+\nI\n", "@a\nAC\n+\nII\nACG\n", "@a\nAC\n+\n", "IIII\n")):
+        (tmp_path / f"{k}.fastq").write_text(text)
+        with pytest.raises(Exception, match="FASTQ|differ|without"):
+            IO.read_fastq(spark, str(tmp_path / f"{k}.fastq")).collect()
+
+
+def test_headers_of_very_many_fields(spark):
+    text = "X|" + "|".join(f"F{i}={i}" for i in range(10_050))
+    got = spark.createDataFrame([(text,)], "h string").select(F.size(A.parse(F.col("h"))).alias("n"), F.length(H.genbank(F.lit("x " * 10_050 + "x"))["ann"][0]["v"]).alias("m")).first()
+    assert (got["n"], got["m"]) == (10_050, 10_050 * 2 - 1)
