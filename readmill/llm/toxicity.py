@@ -13,13 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readmill.llm.common import id_remainder, table
+from readmill.llm.common import id_remainder, stored, table
 from readmill.llm.words import WordTable, groups, ngram_buckets, segment_sums
 
 #: Hash buckets (2**BITS) of subwords, sizes of character n-grams, width of an embedding.
 BITS, SIZES, WIDTH = 17, (3, 4, 5), 8
-#: Labelled rows that the model is fitted on: at most so many of each label, those with the smallest hashes of their ids.
-FIT_ROWS = 2500
+#: Labelled rows that the model is fitted on: at most so many of each label, those with the smallest hashes of their ids;
+#: and of these as many as have so many distinct subwords in all, which bounds what the driver gets (8 bytes each).
+FIT_ROWS, FIT_SUBWORDS = 2500, 8_000_000
 THRESHOLD = 0.7
 #: Neutral subwords that every text is taken to have besides its own, so that a few odd words alone decide little.
 PRIOR = 200
@@ -124,10 +125,12 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
 BAGS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
+def fit_on(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_subwords: int = FIT_SUBWORDS) -> Model:
     """Model of labelled rows whose id isn't held out, at most fit_rows of each label (the smallest hashes of ids).
 
-    The bound on labelled rows bounds what is broadcast (ids and labels) and what the driver gets (hashed bags).
+    The bound on labelled rows bounds what is broadcast (ids and labels).  Their hashed bags are written to the shared
+    folder; the driver takes them label by turns in order of the hashes, as long as they have fit_subwords entries in all
+    (a bag that would go beyond that is left out).  An id with labels of both kinds counts as labelled 1.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out)
@@ -142,7 +145,20 @@ def fit_on(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "
                 b = list(bag(texts[at : at + 64]))
                 yield pa.RecordBatch.from_arrays([ids[at : at + 64], toxic[at : at + 64], pa.array([x for x, _ in b], pa.list_(pa.int32())), pa.array([x for _, x in b], pa.list_(pa.float32()))], schema=BAGS)
 
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(bags, "doc_id bigint, toxic int, buckets array<int>, shares array<float>").toArrow()
+    made = stored(rows.select("doc_id", "text", "toxic").mapInArrow(bags, "doc_id bigint, toxic int, buckets array<int>, shares array<float>"))
+    sizes = made.select("doc_id", "toxic", F.size("buckets").alias("n"), F.xxhash64("doc_id").alias("h")).collect()  # 2 fit_rows rows at most
+    turn: dict[int, int] = {0: 0, 1: 0}
+    queue = []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        queue.append((turn[r["toxic"]], r["toxic"], r["doc_id"], r["n"]))
+        turn[r["toxic"]] += 1
+    taken, left = [], fit_subwords
+    for _, _, doc_id, n in sorted(queue):
+        if n <= left:
+            taken.append((doc_id,))
+            left -= n
+    chosen = docs.sparkSession.createDataFrame(taken, "doc_id bigint")
+    got = made.join(F.broadcast(chosen), "doc_id", "left_semi").toArrow()
     pairs = [(b.values.to_numpy(), s.values.to_numpy()) for b, s in zip(got["buckets"], got["shares"], strict=True)]  # views, no copies
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     return fit([pairs[i] for i in order], got["toxic"].to_numpy()[order])
@@ -166,7 +182,8 @@ def score(text: Column, model: Model) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 3, out: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; ids whose crc32 modulo `mod` is `out` are held out of the fit.
 
-    Null texts count as empty, null ids are not held out and have no label, repeated rows are scored each.  Without both
+    Null texts count as empty, null ids are not held out and have no label, repeated rows are scored each, repeated labels
+    of an id count as the largest.  Without both
     labels among the fitted rows every score is low.  An empty table gives no row.
     """
     rest = id_remainder(F.col("doc_id"), mod) == out

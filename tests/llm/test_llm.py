@@ -330,7 +330,49 @@ def test_toxicity_held_out(spark):
     rank = rows["score"].rank()
     pos = rows["toxic"] == 1
     auc = (rank[pos].mean() - (pos.sum() + 1) / 2) / (~pos).sum()
-    assert auc > 0.93 and (rows["predicted"][~pos]).mean() < 0.03
+    assert auc > 0.93 and (rows["predicted"][~pos]).mean() < 0.03 and rows["predicted"][pos].mean() > 0.5
+
+
+def plain_buckets(word):
+    """Buckets of a word's subwords, one by one."""
+    full = (1 << 64) - 1
+    mixed = []
+    for c in f"<{word}>":
+        x = (ord(c) + 1) * 0x9E3779B97F4A7C15 & full
+        mixed.append(x ^ x >> 29)
+    whole = sum(x * (k + 1) ** 3 for k, x in enumerate(mixed)) & full
+    out = [(whole * 0xD6E8FEB86659FD93 & full) >> 64 - toxicity.BITS]
+    for n in toxicity.SIZES:
+        for i in range(len(mixed) - n + 1):
+            h = 0
+            for x in mixed[i : i + n]:
+                h = (h * 0x100000001B3 + x) & full
+            out.append(((h + n) * 0xD6E8FEB86659FD93 & full) >> 64 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_scores_against_plain_loops(spark, docs):
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), -0.3)
+    texts = [*TEXTS, "bad, BAD (bad) worse!", "bad " * 400_000]  # the last one is longer than a group
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in rows.select("doc_id", toxicity.score(F.col("text"), model).alias("s")).collect():
+        words = dict.fromkeys((texts[r["doc_id"]] or "").lower().split())
+        buckets = [b for w in words for b in plain_buckets(toxicity.EDGE.sub("", w))]
+        x = sum(float(model.weight[b]) for b in buckets) / (len(buckets) + toxicity.PRIOR) + model.bias
+        assert r["s"] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-6)
+
+
+def test_toxicity_fit_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, labels: seen.append((bags, labels)) or toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), 0.0))
+    rows = spark.createDataFrame([(i, prose(i, 20 + i)) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(60)] + [(3, 0)], "doc_id bigint, toxic int")
+    toxicity.fit_on(rows, labels, F.lit(False), fit_rows=15, fit_subwords=1500)
+    toxicity.fit_on(rows, labels, F.lit(False), fit_rows=15, fit_subwords=10**6)
+    (few, of_few), (bags, of_all) = seen
+    assert sum(len(b) for b, _ in few) <= 1500 and abs(int(of_few.sum()) * 2 - len(few)) <= 2
+    assert len(bags) == 30 and of_all.sum() == 15
 
 
 def test_toxicity_edges(docs, empty, spark):
