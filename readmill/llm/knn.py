@@ -25,12 +25,26 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, summed in order as SQL does; where squares leave the range of doubles, by scaled differences."""
+    out = np.sqrt(np.add.accumulate(np.square(a - b), axis=1)[:, -1])
+    odd = np.flatnonzero(~(np.isfinite(out) & (out > 1e-140)))
+    if len(odd):
+        quarter = a[odd] / 4 - b[odd] / 4  # differences themselves may be too large
+        most = np.abs(quarter).max(axis=1)
+        with np.errstate(over="ignore"):
+            out[odd] = most * np.sqrt(np.square(quarter / np.where(most > 0, most, 1)[:, None]).sum(axis=1)) * 4
+    return out
+
+
+@np.errstate(over="ignore", invalid="ignore")
 def tile_neighbours(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """The k nearest candidates in this tile of each query, exact.
 
     Code products are whole numbers below 2**24 for up to 1040 dimensions, so float32 matrix products give them exactly;
     wider vectors use float64.  |d(x, y) - d(x', y')| is at most the two left-out lengths, so a candidate whose lower
-    bound exceeds the k-th smallest upper bound can't be among the k; the rest get their distance from the originals.
+    bound exceeds the k-th smallest upper bound can't be among the k; the rest get their distance from the originals, and so
+    do pairs whose bounds aren't finite.
     """
     kind = np.float32 if q.shape[1] <= 1040 else np.float64
     (qc, qs, qe), (cc, cs, ce) = quantised(q), quantised(c)
@@ -43,15 +57,16 @@ def tile_neighbours(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.n
         part = slice(at, at + STEP)
         dots = (left @ cc[part].astype(kind).T).astype(np.float64)
         d = np.sqrt(np.maximum(qn[:, None] + cn[None, part] - 2 * qs[:, None] * cs[None, part] * dots, 0))
-        slack = qe[:, None] + ce[None, part] + 1e-7 * (q_len[:, None] + c_len[None, part])  # and what rounding may do
+        slack = qe[:, None] + ce[None, part] + 1e-7 * (q_len[:, None] + c_len[None, part]) + 1e-140  # and what rounding may do
+        finite = np.isfinite(d) & np.isfinite(slack)
         own = q_ids[:, None] == c_ids[None, part]
-        upper = np.where(own, np.inf, d + slack)
+        upper = np.where(own | ~finite, np.inf, d + slack)
         if upper.shape[1] > k:
             bound = np.minimum(bound, np.partition(upper, k - 1, axis=1)[:, k - 1])
-        rows, cols = np.nonzero((d - slack <= bound[:, None]) & ~own)
+        rows, cols = np.nonzero(((d - slack <= bound[:, None]) | ~finite) & ~own)
         for lo in range(0, len(rows), 65_536):
             r, s = rows[lo : lo + 65_536], cols[lo : lo + 65_536] + at
-            exact = np.sqrt(np.add.accumulate(np.square(q[r] - c[s]), axis=1)[:, -1])  # summed in order, as SQL does
+            exact = distances(q[r], c[s])
             for i, score, vec in zip(r.tolist(), exact.tolist(), c_ids[s].tolist(), strict=True):
                 item = (-score, -vec)
                 if len(heaps[i]) < k:

@@ -18,8 +18,8 @@ from readmill.llm.words import WordTable, groups
 
 #: Characters of a word that are segmented together (longer words are cut), and probability of a character without a piece.
 SPAN, UNKNOWN = 32, 1e-7
-#: Labelled rows that the piece probabilities are estimated from: those with the smallest hashes of their ids.
-FIT_ROWS = 8000
+#: Labelled rows of each language, about, that the piece probabilities are estimated from: those with the smallest hashes of their ids.
+FIT_ROWS = 2500
 MIX, SLOTS = np.uint64(0x9E3779B97F4A7C15), 18
 
 
@@ -170,13 +170,18 @@ PREDICTED = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 def fit_on(docs: DataFrame, held_out: Column, path: str, fit_rows: int = FIT_ROWS) -> Model:
-    """Piece probabilities of each language among at most fit_rows rows with text and lang that aren't held out.
+    """Piece probabilities of each language among rows with text and lang that aren't held out.
 
-    The bound on rows bounds what is broadcast (ids); the driver gets counts by piece and language, bounded by the vocabulary.
+    Of a language's rows those are taken whose id has a hash below a share of all hashes, so that about fit_rows are taken
+    of each language, or all if it has fewer, without a sort.  The driver gets numbers of rows by language, and counts by
+    piece and language, bounded by the vocabulary.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out)
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).distinct()
-    rows = rows.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    many = {r["lang"]: fit_rows / r["count"] for r in rows.groupBy("lang").count().collect() if r["count"] > fit_rows}
+    if many:
+        share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in many.items() for x in kv)), F.col("lang")), F.lit(1.0))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) < share * (1 << 52))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, words = pieces(path), {}
@@ -195,7 +200,7 @@ def fit_on(docs: DataFrame, held_out: Column, path: str, fit_rows: int = FIT_ROW
                     yield from emit()
         yield from emit()
 
-    found = rows.mapInArrow(count, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("text", "lang").mapInArrow(count, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(found["lang"].to_pylist()))
     size = len(pieces(path).prior)
     n = np.zeros((size, len(languages)))

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -318,6 +319,21 @@ def test_nearest_against_brute_force(spark):
     assert knn.nearest(none, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_huge_and_tiny_values(spark):
+    rng = np.random.default_rng(5)
+    x = [rng.normal(size=6) * scale for scale in (1e200, 1e307, 1.0, 1e-200) for _ in range(40)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in knn.nearest(rows, F.col("vec_id") % 10 == 0, 10).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
+    assert sorted(got) == list(range(0, 160, 10))
+    for i, near in got.items():
+        want = sorted((math.dist(x[i], v), j) for j, v in enumerate(x) if j != i)[:10]
+        assert [near[k + 1][0] for k in range(10)] == pytest.approx([d for d, _ in want], rel=1e-12, abs=0)
+        if i < 80 or i >= 120:
+            assert [near[k + 1][1] for k in range(10)] == [j for _, j in want]
+
+
 # -- 7, toxicity; 3, language; 4, quality
 
 
@@ -398,6 +414,20 @@ def test_language_edges(docs, empty):
     assert language.languages(empty, MODEL).count() == 0
 
 
+def test_language_is_learned_of_rare_ones_and_in_groups(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = lambda letters: "".join(rng.choice(list(letters), 6))
+    rows = [(i, " ".join(word("aeiounrst" if i % 100 else "wxyzkjqv") for _ in range(20)), "xx" if i % 100 else "yy") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit_on(docs, F.lit(False), MODEL, fit_rows=50)
+    assert model.languages == ["xx", "yy"]
+    found = lambda: {r["doc_id"]: r["p"] for r in docs.select("doc_id", language.predict(F.col("text"), model).alias("p")).collect()}
+    whole = found()
+    assert all(whole[i]["lang_pred"] == lang for i, _, lang in rows)
+    monkeypatch.setattr("readmill.llm.words.groups.__defaults__", (100,))
+    assert {i: (p["lang_pred"], round(p["score"], 6)) for i, p in found().items()} == {i: (p["lang_pred"], round(p["score"], 6)) for i, p in whole.items()}
+
+
 def test_forward_sums_all_segmentations():
     vocabulary = language.pieces(MODEL)
     number = {"t": 0, "h": 1, "e": 2}
@@ -577,6 +607,21 @@ def test_near_duplicate_stage_keeps_one_of_each_group(docs, empty, spark):
     assert corpus_pipeline.near_duplicates(spark, empty, DATA).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(docs, empty, spark):
+    for stage in (corpus_pipeline.clean, corpus_pipeline.in_a_language, corpus_pipeline.near_duplicates):
+        assert stage(spark, docs, DATA).columns == docs.columns and stage(spark, empty, DATA).count() == 0
+    assert corpus_pipeline.clean(spark, docs, DATA).count() > len(TEXTS) / 2
+    letters = {i for i, t in enumerate(TEXTS) if any(map(str.isalpha, t or ""))}
+    assert {r["doc_id"] for r in corpus_pipeline.in_a_language(spark, docs, DATA).collect()} == letters | {None}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in corpus_pipeline.in_a_language(spark, unlabelled, DATA).collect()} == letters | {None}
+    named = docs.withColumn("row_number", F.lit("mine"))
+    out = corpus_pipeline.near_duplicates(spark, named, DATA)
+    assert out.columns == named.columns and {r["row_number"] for r in out.collect()} == {"mine"}
+    assert corpus_pipeline.pack(spark, docs, DATA).select("doc_id").distinct().count() == len(TEXTS) + 1
+    assert corpus_pipeline.pack(spark, empty, DATA).count() == 0
+
+
 def test_pipeline_against_its_parts(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names, now = [n for n, _ in corpus_pipeline.STAGES], docs
