@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from readmill.llm import language, packing, simhash, toxicity
 from readmill.llm.common import id_remainder, stored, table
 
-#: Name of the column that numbers rows within the near-duplicate stage.
-ROW = "readmill_row"
+#: Least share that the best language's likelihood has among all languages' for a document to stay.
+LEAST_SCORE = 0.5
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,18 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language that could be learned from these documents; those without a letter go."""
+    """Documents whose text has a letter and is in one of the languages learned from these documents.
+
+    A document of which no language has LEAST_SCORE of the likelihood goes, as it could be in several.  Where no language
+    can be learned, because no row has one, every document with a letter stays.
+    """
     import public_tokenizers
 
     model = language.fit_on(docs, id_remainder(F.col("doc_id"), 4) == 2, public_tokenizers.path("piece_bpe_32k.model"))
-    return docs.where(language.predict(F.col("text"), model)["lang_pred"] != "und")
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    found = language.predict(F.col("text"), model)
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= LEAST_SCORE))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +40,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are numbered first, so that repeated rows and rows without an id are copies like any other.
     """
-    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    groups = simhash.near_duplicates(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", ROW)
-    first = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(docs.columns)
+    row = "row_number"
+    while row.lower() in map(str.lower, docs.columns):
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = simhash.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", row)
+    first = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
