@@ -9,13 +9,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readmill.llm.common import stored, table
+from readmill.llm.components import components
 
-#: Words of a shingle, permutations, and permutations of a band.
-WIDTH, PERMUTATIONS, BAND = 5, 128, 4
+#: Words of a shingle, permutations, and bands of so many permutations: a pair at 0.8 meets in one of them with 0.99995.
+WIDTH, PERMUTATIONS, BANDS, BAND = 5, 128, 25, 5
+#: Similarity of near copies; texts of a block that are compared with those of another; most ids that are broadcast (8 bytes each).
+THRESHOLD, BLOCK_ROWS, BROADCAST_IDS = 0.8, 2048, 2_000_000
 _RNG = np.random.default_rng(20_011)
 #: x -> a x + b modulo 2**32 with odd a, a permutation of 32-bit numbers.
 A, B = (_RNG.integers(0, 1 << 32, (PERMUTATIONS, 1), np.uint32) | np.uint32(1)), _RNG.integers(0, 1 << 32, (PERMUTATIONS, 1), np.uint32)
@@ -81,13 +85,13 @@ def edited_signature(text: str, words: np.ndarray, shingles: np.ndarray, followi
     return kept + following[:half], with_rest(shingles[same:]), with_rest(changed)
 
 
-RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id bigint"
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("class_id", pa.int64())])
 
 
 class _Doc:
-    def __init__(self, doc_id: int, text: str) -> None:
-        self.doc_id, self.text = doc_id, text
+    def __init__(self, doc_id: int, text: str, class_id: int) -> None:
+        self.doc_id, self.text, self.class_id = doc_id, text, class_id
         self.words = word_hashes(text.encode())
         self.shingles = shingle_hashes(self.words)
         self.edited = ""
@@ -98,13 +102,18 @@ class _Doc:
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of rows (bucket, guest, doc_id, text) in order; a row's next one is the row after it in its bucket."""
+    """Results of rows (bucket, guest, doc_id, packed text, class) in order; a row's next one is the row after it in its bucket.
+
+    A row without a text gives the class of the rows of its id, which come right after it; others are classes of their own.
+    """
+    unpack = zstandard.ZstdDecompressor().decompress
+    of_id: tuple[int | None, int | None] = (None, None)
     waiting: list[_Doc] = []  # the row before, and the one before that, which waits for its next one's signature
     bucket: int | None = None
     rows: list[tuple] = []
 
     def done(doc: _Doc, following: _Doc) -> None:
-        rows.append((doc.doc_id, len(doc.text), hashlib.sha256(doc.edited.encode()).hexdigest(), text_form(doc.sig), text_form(doc.edited_sig), likeness(doc.sig, doc.edited_sig), likeness(doc.sig, following.sig)))
+        rows.append((doc.doc_id, len(doc.text), hashlib.sha256(doc.edited.encode()).hexdigest(), text_form(doc.sig), text_form(doc.edited_sig), likeness(doc.sig, doc.edited_sig), likeness(doc.sig, following.sig), doc.class_id))
 
     def close() -> None:  # the last row of a bucket is a guest: it needs no result of its own but its signature
         if len(waiting) == 2:
@@ -114,13 +123,16 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     closed = False
     for batch in batches:
-        for b, guest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b, guest, doc_id, packed, class_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if packed is None:
+                of_id = (doc_id, class_id)
+                continue
             if b != bucket:
                 close()
                 bucket, closed = b, False
             if closed:
                 continue
-            doc = _Doc(doc_id, text)
+            doc = _Doc(doc_id, unpack(packed).decode(), of_id[1] if of_id[0] == doc_id else doc_id)
             if waiting:
                 waiting[-1].meet(doc)
                 if len(waiting) == 2:
@@ -137,19 +149,27 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row with an id.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id of every row with an id.
 
     The edited text is the text whose last half is replaced by the first half-length of the next document's, in
-    descending order of ids; after the last comes the first.  Repeated ids come in order of their texts.  Rows are dealt
-    by ranges of ids into sorted buckets; the first row of each bucket is also sent, as a guest, to the bucket before, so
-    that texts are shuffled once and a row finds its next one beside it.  Null texts count as empty; rows with a null id
-    have no place in the order and are left out; an empty table gives no row.
+    descending order of ids; after the last comes the first.  Repeated ids come in order of their texts' hashes.  class_id
+    is that of near_copies.  Rows are dealt by ranges of ids into sorted buckets, one a task; the first row of each bucket
+    is also sent, as a guest, to the bucket before, so that texts are shuffled once, packed, and a row finds its next one
+    beside it.  Null texts count as empty; rows with a null id have no place in the order and are left out; an empty table
+    gives no row.
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = _named(docs, id_col, text_col)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
     bounds = np.unique(np.array(cuts or [], np.int64))
+    # of each task, a number that is dealt to it, so that every bucket has a task of its own
+    dealt_to = spark.range(64 * parts).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("task")).agg(F.min("id").cast("int")).collect()
+    numbers = np.array([n for _, n in sorted(dealt_to)], np.int32)
+    numbers = np.concatenate([numbers, np.arange(1 << 30, (1 << 30) + max(0, len(bounds) + 1 - len(numbers)), dtype=np.int32)])
+
+    def bucket(ids: np.ndarray) -> np.ndarray:
+        return numbers[np.searchsorted(bounds, ids)]
 
     @F.arrow_udf("int")
     def bucket_of(ids: pa.Array) -> pa.Array:
@@ -157,56 +177,146 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     tops = dict(rows.select("doc_id").groupBy(bucket_of("doc_id").alias("bucket")).agg(F.max("doc_id")).collect())  # a row a bucket
     order = sorted(tops)
-    host = {tops[b]: order[k + 1] if k + 1 < len(order) else order[0] for k, b in enumerate(order)}  # of a bucket's first row
+    host = {tops[b]: int(numbers[order[k + 1] if k + 1 < len(order) else order[0]]) for k, b in enumerate(order)}  # of a bucket's first row
+    names = ["bucket", "guest", "doc_id", "tie", "packed", "class_id"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "guest", "doc_id", "text"]
-        hosted = pa.array(list(host), pa.int64())
+        hosted, pack = pa.array(list(host), pa.int64()), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids, texts = batch.columns
+            ids, tie, texts = batch.columns
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, ids.to_numpy()), pa.int32()), pa.array(np.zeros(n, bool)), ids, texts], names)
-            if len(out := batch.filter(pc.is_in(ids, hosted))):
-                yield pa.RecordBatch.from_arrays([pa.array([host[i] for i in out.column(0).to_pylist()], pa.int32()), pa.array(np.ones(len(out), bool)), *out.columns], names)
+            packed = pa.array([pack(t.encode()) for t in texts.to_pylist()], pa.binary())
+            out = pa.RecordBatch.from_arrays([pa.array(bucket(ids.to_numpy())), pa.array(np.zeros(n, bool)), ids, tie, packed, pa.nulls(n, pa.int64())], names)
+            yield out
+            if len(out := out.filter(pc.is_in(ids, hosted))):
+                yield pa.RecordBatch.from_arrays([pa.array([host[i] for i in out.column(2).to_pylist()], pa.int32()), pa.array(np.ones(len(out), bool)), *out.columns[2:]], names)
+
+    def deal_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, classes = batch.columns
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket(ids.to_numpy())), pa.array(np.zeros(n, bool)), ids, pa.array(np.full(n, -(1 << 63))), pa.nulls(n, pa.binary()), classes], names)
+
+    kind = "bucket int, guest boolean, doc_id bigint, tie bigint, packed binary, class_id bigint"
+    dealt = rows.select("doc_id", F.greatest(F.xxhash64("text"), F.lit(1 - (1 << 63))).alias("tie"), "text").mapInArrow(deal, kind)
+    dealt = dealt.unionByName(near_copies(rows).mapInArrow(deal_classes, kind))
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "tie")
+    return dealt.select("bucket", "guest", "doc_id", "packed", "class_id").mapInArrow(_pairs_of, RESULT)
 
-    dealt = rows.mapInArrow(deal, "bucket int, guest boolean, doc_id bigint, text string")
-    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "text")
-    return dealt.mapInArrow(_pairs_of, RESULT)
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-def signatures(text: Column) -> Column:
-    """Struct of a text's signature (array of PERMUTATIONS longs) and its distinct shingle hashes."""
 
-    @F.arrow_udf("sig array<bigint>, shingles array<bigint>")
-    def both(texts: pa.Array) -> pa.Array:
-        hashed = [shingle_hashes(word_hashes(t.encode())) for t in pc.fill_null(texts, "").to_pylist()]
-        sig = pa.array([signature(h).astype(np.int64) for h in hashed], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([sig, pa.array([np.unique(h).astype(np.int64) for h in hashed], pa.list_(pa.int64()))], ["sig", "shingles"])
+def same_words(data: bytes) -> int:
+    """A hash of all of a text's words, as a signed long."""
+    return xxhash.xxh64_intdigest(b" ".join(data.lower().split())) - (1 << 63)
 
-    return both(text.cast("string"))
 
+def distinct_shingles(text: Column) -> Column:
+    """Struct of same_words and a text's distinct shingle hashes, sorted."""
 
-def similar_texts(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b, jaccard of different texts' representatives; membership doc_id, representative).
+    @F.arrow_udf("same bigint, shingles array<int>")
+    def shingles(texts: pa.Array) -> pa.Array:
+        data = [t.encode() for t in texts.to_pylist()]
+        hashed = [np.unique(shingle_hashes(word_hashes(d)).view(np.int32)) for d in data]
+        return pa.StructArray.from_arrays([pa.array(map(same_words, data), pa.int64()), pa.array(hashed, pa.list_(pa.int32()))], ["same", "shingles"])
 
-    Copies share a representative, the smallest id; representatives meet where a band of their signatures agrees, each
-    pair once, and their shingle sets give the similarity itself.  With 32 bands of 4 a pair at 0.8 is missed with a
-    probability under 1e-7.  Texts without words form one class; rows with a null id are left out.
+    return shingles(text)
+
+
+def bands(text: Column) -> Column:
+    """Struct of a hash of all of a text's words and a hash of each band of its signature; a text without words has one band."""
+
+    @F.arrow_udf("same bigint, keys array<bigint>")
+    def keys(texts: pa.Array) -> pa.Array:
+        same, out = [], []
+        for t in texts.to_pylist():
+            data = t.encode()
+            sig = signature(shingle_hashes(word_hashes(data))).astype("<u4")[: BANDS * BAND].reshape(BANDS, BAND)
+            same.append(same_words(data))
+            out.append([xxhash.xxh64_intdigest(band.tobytes(), seed=k) - (1 << 63) for k, band in enumerate(sig)] if t.strip() else [0])
+        return pa.StructArray.from_arrays([pa.array(same, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["same", "keys"])
+
+    return keys(text)
+
+
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id of every document that is in one class with another id; class_id is the class's smallest id.
+
+    Documents are linked where their sets of word shingles have a Jaccard similarity of at least `threshold`; classes are
+    what links connect.  Candidates meet where a band of their signatures agrees; copies (equal words) are one text from
+    then on.  Every text of a candidate group is verified against the group's first one.  What that links (`near`) isn't
+    compared with itself, as it is in one class already; the others (`far`) are compared with all, in cells of two bounded
+    blocks of a group, and only as many links leave a cell as connect what is connected in it.  So no group is in one
+    task and no list of pairs is made; work in a group grows with near times far.  Texts without words are copies of each
+    other; rows with a null id are left out; an id whose rows differ is one document with all its texts.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = F.regexp_replace(F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")), r"\s+$", "")
-    keyed = rows.select("doc_id", F.sha2(words, 256).alias("same"), "text")
-    classes = keyed.groupBy("same").agg(F.min("doc_id").alias("representative"))
-    members = keyed.select("doc_id", "same").join(classes, "same").select("doc_id", "representative")
-    first = keyed.join(classes, (keyed.same == classes.same) & (keyed.doc_id == classes.representative)).dropDuplicates(["representative"])
-    known = stored(first.select(F.col("representative").alias("id"), signatures(F.col("text")).alias("s")).select("id", "s.sig", "s.shingles").where(F.size("shingles") > 0))
-    bands = known.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND - 1)), lambda k: F.xxhash64(F.slice("sig", k * BAND + 1, BAND)))).alias("band", "key"))
-    met = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sides = [known.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab"]
-    both = met.join(sides[0], "a").join(sides[1], "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    pairs = both.select("a", "b", (shared / (F.size("of_a") + F.size("of_b") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return pairs, members
+    spark = docs.sparkSession
+    rows = _named(docs, id_col, text_col)
+    known = stored(rows.select(F.col("doc_id").alias("id"), bands(F.col("text")).alias("b")).select("id", "b.same", "b.keys"))
+    buckets = known.select("id", F.explode("keys").alias("key"))
+    low = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
+    met = components(buckets.join(low, "key").where("id > low").select("id", "low").distinct(), "id", "low").withColumnRenamed("root", "grp")
+    texts = stored(known.join(met, known.id == met.node).groupBy("grp", "same").agg(F.min("id").alias("id")))
+    sizes = texts.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+    ids = stored(texts.join(sizes, "grp", "left_semi").select("grp", "same", "id"))
+    wanted = ids.select("id").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    words = rows.join(wanted, rows.doc_id == wanted.id, "left_semi").select("doc_id", distinct_shingles(F.col("text")).alias("s"))
+    words = words.select("doc_id", "s.same", "s.shingles").dropDuplicates(["doc_id", "same"])
+    sets = stored(ids.join(words, (ids.id == words.doc_id) & (ids.same == words.same)).select("grp", "id", ids.same, "shingles"))
+
+    first = sets.groupBy("grp").agg(F.min_by("shingles", F.struct("id", "same")).alias("of_first"), F.min("id").alias("first"))
+    shared = F.size(F.array_intersect("shingles", "of_first"))
+    alike = F.coalesce(shared / F.nullif(F.size("shingles") + F.size("of_first") - shared, F.lit(0)), F.lit(1.0))
+    star = stored(sets.join(first, "grp").select("grp", "first", "id", "same", (alike >= threshold).alias("near")))
+    counted = star.groupBy("grp").agg(*(F.ceil(F.count_if(F.col("near") if k else ~F.col("near")) / BLOCK_ROWS).cast("int").alias(n) for k, n in ((1, "near_blocks"), (0, "far_blocks"))))
+    crowd = star.join(counted.where("far_blocks > 0"), "grp")
+    n_near, n_far = F.col("near_blocks"), F.col("far_blocks")
+    own = F.when(F.col("near"), F.pmod(F.xxhash64("id", "same"), n_near)).otherwise(n_near + F.pmod(F.xxhash64("id", "same"), n_far)).cast("int")
+    cells = crowd.select("grp", "id", "same", own.alias("own"), F.explode(F.sequence(F.when(F.col("near"), n_near).otherwise(0), n_near + n_far - 1)).alias("other"))
+    cells = cells.join(sets, ["grp", "id", "same"]).select("grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "shingles")
+    found = cells.groupBy("grp", "a", "b").applyInArrow(lambda cell: cell_links(cell, threshold), "a bigint, b bigint")
+    links = star.where("near and id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(found)
+    linked = components(links, "a", "b")
+    # an id that leads several texts of one group (rows of one id that differ) is one node, and so are its texts
+    led = known.join(met, known.id == met.node).join(texts.withColumnRenamed("id", "lead"), ["grp", "same"]).select("id", "lead")
+    of_texts = components(led.where("id <> lead").unionByName(linked.select(F.col("node").alias("id"), F.col("root").alias("lead"))), "id", "lead")
+    return of_texts.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
+
+
+def cell_links(cell: pa.Table, threshold: float) -> pa.Table:
+    """Links between the texts of two blocks (or within one) at a Jaccard similarity of at least threshold, as a forest."""
+    own, ids = cell["own"].to_numpy(), cell["id"].to_numpy()
+    sets = [np.asarray(x) for x in cell["shingles"].to_numpy()]
+    sizes = np.array([len(x) for x in sets])
+    at = [np.flatnonzero(own == cell[k][0].as_py()) for k in "ab"]
+    homes = at[0]
+    values = np.concatenate([sets[i] for i in homes]) if len(homes) else np.empty(0, np.int32)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(homes)), sizes[homes])[order]
+    part = {int(i): int(i) for i in ids}
+    out: list[tuple[int, int]] = []
+
+    def root(i: int) -> int:
+        while part[i] != i:
+            part[i] = part[part[i]]
+            i = part[i]
+        return i
+
+    for v in at[1].tolist():
+        lo, hi = np.searchsorted(values, sets[v], "left"), np.searchsorted(values, sets[v], "right")
+        n = hi - lo
+        where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        shared = np.bincount(owner[where], minlength=len(homes))
+        both = sizes[homes] + sizes[v] - shared
+        for h in np.flatnonzero((shared >= threshold * both) & (ids[homes] != ids[v])).tolist():
+            x, y = root(int(ids[homes[h]])), root(int(ids[v]))
+            if x != y:
+                part[max(x, y)] = min(x, y)
+                out.append((int(ids[homes[h]]), int(ids[v])))
+    return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

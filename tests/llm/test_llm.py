@@ -287,14 +287,40 @@ def test_fingerprints(docs, empty):
     assert one["near_next"] == 1.0 and one["n_chars"] == len(TEXTS[1])
 
 
-def test_similar_texts(spark):
-    base = prose(9, 200)
-    words = base.split()
-    near = " ".join([*words[:100], "changed", *words[101:]])
-    rows = [(1, base), (2, base.upper()), (3, near), (4, prose(10, 200)), (5, None), (6, "")]
-    pairs, members = minhash.similar_texts(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 3)]
-    assert {r["doc_id"]: r["representative"] for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
+@pytest.mark.parametrize("block_rows", [2048, 3])
+def test_near_copies_against_all_pairs(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(900, None), (901, ""), (902, " \n")]
+    for group in range(6):
+        base = list(rng.choice(words, 150))
+        for k in range(9):  # edits add up, so that the ends of a chain are unlike
+            rows.append((group * 20 + k, " ".join(base)))
+            for _ in range(1 + group):
+                base[int(rng.integers(0, 150))] = f"x{len(rows)}"
+        rows += [(group * 20 + 15, rows[-1][1].upper()), (group * 20 + 16, " ".join(rng.choice(words, 150)))]
+    rows += [(0, rows[3][1])]
+    shingles = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        shingles.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = {i: i for i in shingles}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in shingles:
+        for j in shingles:
+            if i < j and any((len(a & b) / len(a | b) if a | b else 1) >= 0.8 for a in shingles[i] for b in shingles[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([*rows, (None, rows[3][1])], "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_copies(docs).collect()}
+    assert {i: got.get(i, i) for i in root} == {i: find(i) for i in root}
+    assert len(set(got.values())) < len(got) and {r["doc_id"]: r["class_id"] for r in minhash.fingerprints(docs).collect()} == {i: find(i) for i in root}
 
 
 # -- 9, neighbours
