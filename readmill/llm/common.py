@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readmill.schema import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark alone so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a new local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="readmill-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def stored(df: DataFrame, *by: str) -> DataFrame:
     """Write df to the shared folder (a folder for each value of `by`) and read it back: lineage ends there, and a lost
     executor loses nothing."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/readmill-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/readmill-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
