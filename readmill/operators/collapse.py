@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
 from readmill.functions import sequence as S
-from readmill.schema import MASKS, MISSING_UPPER, upper_fields
+from readmill.schema import MISSING_UPPER, chars, checkpointed, upper_fields
 
 
 def _parts(reads: DataFrame, uniq_fields: list[str] | None, inner: bool) -> DataFrame:
@@ -81,35 +80,81 @@ def duplicates(reads: DataFrame, kept: DataFrame) -> DataFrame:
     return reads.join(kept.select("ord"), "ord", "left_anti")
 
 
-def letters_agree(a: str, b: str) -> bool:
-    """Equal lengths, and letters whose base sets meet at every place; N and gaps agree with anything."""
-    return len(a) == len(b) and all(x == y or x in MISSING_UPPER or y in MISSING_UPPER or MASKS.get(x, 0) & MASKS.get(y, 0) for x, y in zip(a, b, strict=True))
+def letters_agree(a: Column, b: Column) -> Column:
+    """Whether texts of equal length have base sets that meet at every place; N and gaps agree with anything."""
+    free = lambda x: x.isin(*MISSING_UPPER)
+    same = lambda x, y: (x == y) | free(x) | free(y) | (S.mask_of(x).bitwiseAND(S.mask_of(y)) != 0)
+    return F.forall(F.zip_with(chars(a), chars(b), same), lambda x: x)
+
+
+#: Interleaved parts of a read, of which those with a letter that isn't a base are left out when reads are matched.
+PARTS = 6
+
+
+def _indexed(keys: DataFrame) -> DataFrame:
+    """keys with `hidden` (bits of the parts that have other letters than bases) and `parts` (the letters of each part)."""
+    letters = chars(F.col("_key"))
+    take = lambda k: lambda c, i: i % PARTS == k
+    part = [F.array_join(F.filter(letters, take(k)), "") for k in range(PARTS)]
+    hidden = sum((F.when(x.rlike("[^ACGT]"), 1 << k).otherwise(0) for k, x in enumerate(part)), F.lit(0))
+    return keys.withColumn("parts", F.array(*part)).withColumn("hidden", hidden)
+
+
+def _agreeing(left: DataFrame, right: DataFrame, masks: list[int]) -> DataFrame:
+    """(x, y) structs of left and right keys of one length and uniq_fields that agree, y before x.
+
+    Two keys that agree are equal in all parts that neither hides, so each goes to every mask of `masks` that covers what it
+    hides, with the letters of the other parts; a pair meets at the mask that is what the two hide together.
+    """
+
+    def spread(side: DataFrame, name: str) -> DataFrame:
+        rows = side.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).where(F.col("hidden").bitwiseAND(F.bitwise_not("mask")) == 0)
+        shown = F.array_join(F.transform("parts", lambda p, i: F.when(F.getbit("mask", i) == 0, p).otherwise("*")), "|")
+        return rows.select("mask", shown.alias("shown"), "_n", F.to_json(F.struct("_uniq")).alias("uniq"), F.col("hidden").alias(f"{name}_hidden"), F.struct("_missing", "_ord", "_key", "_uniq").alias(name))
+
+    both = spread(left, "x").join(spread(right, "y"), ["mask", "shown", "_n", "uniq"])
+    both = both.where((F.col("mask") == F.col("x_hidden").bitwiseOR(F.col("y_hidden"))) & (F.col("y") < F.col("x")))
+    return both.where(letters_agree(F.col("x._key"), F.col("y._key"))).select("x", "y")
+
+
+def _owners(same: DataFrame) -> DataFrame:
+    """_key, _uniq, _head: in order of missing letters and file order, a key with missing letters joins the first head that it agrees with, or becomes one.
+
+    Keys without missing letters are heads.  Of the others, those that agree with one of these are settled by one join;
+    what is left depends on the order among itself and is settled in rounds: a key whose first neighbour that isn't a
+    member is a head becomes its member, and one without such a neighbour becomes a head.  Rounds are checkpointed.
+    """
+    keys = checkpointed(_indexed(same))
+    unclear = keys.where("_missing > 0")
+    hidden = {r["hidden"] for r in keys.select("hidden").distinct().collect()}  # 64 at most
+    masks = sorted({a | b for a in hidden for b in hidden})
+    led = _agreeing(unclear, keys.where("_missing = 0"), masks).groupBy("x").agg(F.min("y").alias("y"))
+    settled = checkpointed(led.select("x._key", "x._uniq", F.col("y._key").alias("_head")))
+    heads = keys.where("_missing = 0").select("_key", "_uniq", F.col("_key").alias("_head"))
+    on = lambda a, b: (a["_key"] == b["_key"]) & a["_uniq"].eqNullSafe(b["_uniq"])
+    rest = unclear.join(settled, on(unclear, settled), "left_anti")
+    edges = checkpointed(_agreeing(rest, rest, masks))
+    now = checkpointed(rest.select(F.struct("_missing", "_ord", "_key", "_uniq").alias("x"), F.lit(None).cast("string").alias("_head")))
+    while not now.where("_head is null").isEmpty():
+        of_y = now.select(F.col("x").alias("y"), F.col("_head").alias("head_of_y"))
+        first = edges.join(of_y, "y").where(F.col("head_of_y").isNull() | (F.col("head_of_y") == F.col("y._key")))
+        first = first.groupBy("x").agg(F.min(F.struct("y", "head_of_y")).alias("f"))
+        head = F.coalesce("_head", F.when(F.col("f").isNull(), F.col("x._key")).otherwise(F.col("f.head_of_y")))
+        now = checkpointed(now.join(first, "x", "left").select("x", head.alias("_head")))
+    return heads.unionByName(settled).unionByName(now.select("x._key", "x._uniq", "_head"))
 
 
 def ambiguous_reads(reads: DataFrame, most_missing: int, uniq_fields: list[str] | None = None, copy_fields: list[str] | None = None, copy_actions: list[str] | None = None, max_field: str | None = None, min_field: str | None = None, inner: bool = False) -> DataFrame:
     """Like unique_reads, but reads with up to most_missing missing letters join the first earlier group that they agree with.
 
-    Equal texts are combined natively first.  What is left of a (length, uniq_fields) is then read in order of missing
-    letters and file order by one task, since agreement isn't transitive and the first group takes a read; groups without
-    missing letters are found by exact match alone, so only reads with missing letters are compared one by one.
+    Equal texts are combined first; then distinct ones are matched by joins (see _owners), so no group of reads is ever
+    gathered in one task.
     """
     fields, actions = upper_fields(copy_fields), copy_actions or []
     parts = _parts(reads, uniq_fields, inner).where(F.col("_missing") <= most_missing)
     order = F.struct("_missing", "ord")
     same = parts.groupBy("_key", "_uniq", "_missing").agg(F.min(order).alias("_first")).select("_key", "_uniq", F.length("_key").alias("_n"), F.col("_first._missing").alias("_missing"), F.col("_first.ord").alias("_ord"))
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_missing", "_ord"])
-        heads: list[str] = []
-        owner = []
-        for key, n in zip(group["_key"], group["_missing"], strict=True):
-            found = key if n == 0 else next((h for h in heads if letters_agree(key, h)), key)
-            if found is key:
-                heads.append(key)
-            owner.append(found)
-        return group[["_key", "_uniq"]].assign(_head=owner)
-
-    owners = same.groupBy("_n", "_uniq").applyInPandas(assign, "_key string, _uniq array<string>, _head string")
+    owners = _owners(same)
     led = parts.join(owners, (parts["_key"].eqNullSafe(owners["_key"])) & (parts["_uniq"].eqNullSafe(owners["_uniq"])), "inner").select(parts["*"], owners["_head"])
     best = F.max_by(F.struct("src", "ord", "read_id", "header", "ann", "seq", "qual"), _order(max_field, min_field))
     grouped = led.groupBy("_head", "_uniq").agg(best.alias("_rep"), F.count("*").alias("dupcount"), *(x.alias(k) for k, x in _aggregates(fields, actions).items()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
 from readmill.operators.pairing import keyed
+from readmill.schema import checkpointed
 
 
 def numbered(reads: DataFrame, order: list[Column], name: str = "_n") -> DataFrame:
@@ -21,7 +22,7 @@ def numbered(reads: DataFrame, order: list[Column], name: str = "_n") -> DataFra
     dealt = reads.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     # within a partition ids go up by one in the sorted order, from the partition's number times 2**33
     marked = dealt.withColumn("_m", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND((1 << 33) - 1)})
-    marked = marked.checkpoint() if spark.sparkContext.getCheckpointDir() else marked.persist()
+    marked = checkpointed(marked)
     sizes = marked.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
     return marked.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop(*keys, "_m", "_p", "_i", "_before")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Annotations are an ordered array of key and value, without the id.
@@ -25,6 +27,25 @@ def chars(col: Column) -> Column:
     return F.when(F.length(col) > 0, F.split(col, "")).otherwise(F.array().cast("array<string>"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; without spark.checkpoint.dir only a local master has one, of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="readmill-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so that its lineage ends there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def upper_fields(fields: list[str] | None) -> list[str]:
     """Field names as annotations have them."""
     return [f.upper() for f in fields or []]
