@@ -309,7 +309,11 @@ def x6(spark, d):
     return X.numbered(rows, [key, F.col("ord")], "place").select("ord", (F.col("place") + 1).alias("place"))
 
 
-@query("x6_sorted_parts")
+@query("x6_sorted_parts", """
+, s AS (SELECT v, c, row_number() OVER (ORDER BY v) AS i FROM (SELECT ord % 7 + 1 AS v, count(*) AS c FROM reads GROUP BY ALL)),
+walk AS (SELECT i, v, 1 AS part, c AS held FROM s WHERE i = 1 UNION ALL
+  SELECT s.i, s.v, CASE WHEN held + c > 5000 THEN part + 1 ELSE part END, CASE WHEN held + c > 5000 THEN c ELSE held + c END FROM walk JOIN s ON s.i = walk.i + 1)
+SELECT ord, part FROM reads JOIN walk ON ord % 7 + 1 = v""")
 def x6p(spark, d):
     rows = reads(spark, d).withColumn("ann", A.collapse(F.col("ann"), "first", ["COUNT"]))
     return X.sorted_parts(rows, "COUNT", 5000, numeric=True).select("ord", "part")
@@ -338,3 +342,13 @@ def s6(spark, d):
 @query("r6_weight", f"SELECT ord, length(translate(frag, {MISS}, '')) AS w FROM reads")
 def r6(spark, d):
     return reads(spark, d, "frag").select("ord", S.weight(F.col("seq")).alias("w"))
+
+
+#: Which letters match a letter of the pattern below, written out.
+AMINO_SQL = "CASE i WHEN 1 THEN 'RBX' WHEN 2 THEN 'RNBX' WHEN 3 THEN 'EQZX' WHEN 4 THEN 'LIJX' WHEN 5 THEN 'ARNDCQEGBZJXIL*' WHEN 6 THEN '-' WHEN 7 THEN '*X' WHEN 8 THEN 'AX' WHEN 9 THEN 'EZX' ELSE 'IJX' END"
+
+
+@query("r5_amino_scores", f"SELECT ord, CAST(list_sum(list_transform(range(1, 11), lambda i: CASE WHEN strpos({AMINO_SQL}, substr(p, i, 1)) > 0 THEN 1 ELSE 0 END)) AS INT) AS score FROM (SELECT ord, substr(translate(md5('a' || ord), '0123456789abcdef', 'ARNDCQEGBZJXIL*-'), 1, 10) AS p FROM reads)")
+def r5(spark, d):
+    residues = F.substring(F.translate(F.md5(F.concat(F.lit("a"), F.col("ord").cast("string"))), "0123456789abcdef", "ARNDCQEGBZJXIL*-"), 1, 10)
+    return plain_reads(spark, d).select("ord", S.matches(residues, "RBZJX-*AEI", S.amino_pairs()).alias("score"))

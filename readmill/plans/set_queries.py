@@ -175,29 +175,38 @@ def e3(spark, d):
     return _rounded(E.nucleotide_table(_compared(spark, d)))
 
 
-@query("e4_barcode_distances", """
-, w AS (SELECT barcode AS v, count(*) AS w FROM reads GROUP BY ALL), p AS (SELECT 0 AS distance, w * (w - 1) // 2 AS n FROM w UNION ALL SELECT hamming(a.v, b.v), a.w * b.w FROM w a JOIN w b ON a.v < b.v)
-SELECT distance, sum(n) AS n, 8 AS length FROM p GROUP BY distance HAVING sum(n) > 0""")
+BARCODE_PAIRS = """
+, w AS (SELECT barcode AS v, count(*) AS w FROM reads GROUP BY ALL), p AS (SELECT 0 AS distance, w * (w - 1) // 2 AS n FROM w UNION ALL SELECT hamming(a.v, b.v), a.w * b.w FROM w a JOIN w b ON a.v < b.v),
+h AS (SELECT distance, sum(n) AS n FROM p GROUP BY distance HAVING sum(n) > 0)"""
+SET_PAIRS = """
+, s AS (SELECT barcode, seq FROM reads WHERE barcode IN (SELECT barcode FROM reads GROUP BY barcode HAVING count(*) >= 5)),
+w AS (SELECT barcode, seq AS v, count(*) AS w FROM s GROUP BY ALL),
+p AS (SELECT 0 AS d, w * (w - 1) // 2 AS n FROM w UNION ALL SELECT hamming(a.v, b.v), a.w * b.w FROM w a JOIN w b ON a.barcode = b.barcode AND a.v < b.v),
+h AS (SELECT CAST(floor(d * 50 / 66.0 + 1e-12) AS INT) AS bin, sum(n) AS n FROM p WHERE n > 0 GROUP BY ALL)"""
+
+
+@query("e4_barcode_distances", BARCODE_PAIRS + " SELECT distance, n, 8 AS length FROM h")
 def e4(spark, d):
     return E.barcode_distances(reads(spark, d))
 
 
-@query("e4_set_distances", """
-, s AS (SELECT barcode, seq FROM reads WHERE barcode IN (SELECT barcode FROM reads GROUP BY barcode HAVING count(*) >= 5)),
-w AS (SELECT barcode, seq AS v, count(*) AS w FROM s GROUP BY ALL),
-p AS (SELECT 0 AS d, w * (w - 1) // 2 AS n FROM w UNION ALL SELECT hamming(a.v, b.v), a.w * b.w FROM w a JOIN w b ON a.barcode = b.barcode AND a.v < b.v)
-SELECT CAST(floor(d * 50 / 66.0 + 1e-12) AS INT) AS bin, sum(n) AS n FROM p WHERE n > 0 GROUP BY ALL""")
+@query("e4_set_distances", SET_PAIRS + " SELECT bin, n FROM h")
 def e4s(spark, d):
     return E.set_distances(E.usable_sets(reads(spark, d), least=5))
 
 
-@query("e5_barcode_threshold")
+@query("e5_barcode_threshold", BARCODE_PAIRS + """
+, bins AS (SELECT i, coalesce(n, 0) AS n FROM range(0, 9) u(i) LEFT JOIN h ON distance = i), head AS (SELECT * FROM bins WHERE i < floor(0.75 * 9))
+SELECT 'ALL' AS type, floor(avg(i)) / 9.0 AS threshold FROM head WHERE n = (SELECT min(n) FROM head)""")
 def e5(spark, d):
     at = E.distance_threshold(E.barcode_distances(reads(spark, d)))
     return spark.createDataFrame([("ALL", at)], "type string, threshold double")
 
 
-@query("e6_set_threshold")
+@query("e6_set_threshold", SET_PAIRS + """
+, bins AS (SELECT i, coalesce(n, 0) AS n FROM range(0, 50) u(i) LEFT JOIN h ON bin = i), top AS (SELECT min(i) AS peak FROM bins WHERE n = (SELECT max(n) FROM bins)),
+head AS (SELECT i - peak AS i, n FROM bins, top WHERE i >= peak AND i - peak < greatest(1, floor(0.75 * (50 - peak))))
+SELECT 'ALL' AS type, floor(avg(i)) / 50.0 AS threshold FROM head WHERE n = (SELECT min(n) FROM head)""")
 def e6(spark, d):
     at = E.set_threshold(E.set_distances(E.usable_sets(reads(spark, d), least=5)))
     return spark.createDataFrame([("ALL", at)], "type string, threshold double")
