@@ -28,23 +28,32 @@ class Run:
         self.spark, self.args = spark, args
 
     def read(self, path: str) -> DataFrame:
-        return IO.read_sequences(self.spark, path)
+        return IO.read_sequences(self.spark, path, delimiters=self.args.delim)
 
     def write(self, out: DataFrame, source: str, label: str, by: str | None = None) -> str:
-        kind = "fasta" if self.args.fasta else IO.file_kind(source)
-        path = IO.output_path(source, label, kind, self.args.outdir, self.args.outname, self.args.gzip_output)
-        IO.write_sequences(out, path, kind, self.args.gzip_output, by)
+        a, kind = self.args, "fasta" if self.args.fasta else IO.file_kind(source)
+        path = a.o if a.o and not label.endswith("-fail") else IO.output_path(source, label, kind, a.outdir, a.outname, a.gzip_output)
+        IO.write_sequences(out, path, kind, a.gzip_output, by, a.delim)
         return path
 
-    def table(self, out: DataFrame, source: str, label: str) -> str:
+    def table(self, out: DataFrame, source: str, label: str, null: str = "") -> str:
         path = IO.output_path(source, label, "tab", self.args.outdir, self.args.outname)
-        IO.write_table(out, path)
+        IO.write_table(out, path, null)
         return path
 
-    def both(self, out: DataFrame, reads: DataFrame, source: str, label: str) -> list[str]:
-        """What passed, and what failed if asked for."""
-        done = [self.write(result.passed(out), source, f"{label}-pass")]
-        return [*done, self.write(result.failed(out, reads), source, f"{label}-fail")] if self.args.failed else done
+    def fails(self, out: DataFrame, source: str, label: str) -> list[str]:
+        """What failed, if asked for."""
+        return [self.write(out, source, f"{label}-fail")] if self.args.failed else []
+
+    def logged(self, rows: DataFrame) -> None:
+        """A log of an operator's rows, if asked for."""
+        if self.args.log:
+            IO.write_log(rows, self.args.log)
+
+    def both(self, out: DataFrame, reads: DataFrame, source: str, label: str, *columns: str) -> list[str]:
+        """What passed, and what failed and the log if asked for."""
+        self.logged(result.log(out, *columns))
+        return [self.write(result.passed(out), source, f"{label}-pass"), *self.fails(result.failed(out, reads), source, label)]
 
 
 def filter_reads(run: Run) -> list[str]:
@@ -66,35 +75,58 @@ def mask_primers(run: Run) -> list[str]:
         known = primers.reverse_primers(known) if a.revpr else known
         hit = primers.score_primers(reads, known, a.start, a.maxerror, a.revpr) if a.action == "score" else primers.align_primers(reads, known, a.maxerror, a.maxlen, a.revpr, a.skiprc, tuple(a.gap))
     out = primers.mask(hit, a.mode, a.barcode, a.barcodelen, a.revpr, a.bf, a.pf, a.action == "align")
-    return run.both(out, reads, a.s, "primers")
+    return run.both(out, reads, a.s, "primers", "primer", "error", "p_start", "p_end")
 
 
 def pair_reads(run: Run) -> list[str]:
     a = run.args
     one, two = run.read(a.s1), run.read(a.s2)
     out = pairing.pair(one, two, a.fields1, a.fields2, a.act and a.act[0], a.coord)
-    names = F.regexp_extract("header", r"^[^|]*", 0)
-    return [run.write(out.select(f"r{k}.*").withColumn("read_id", names), path, "pair-pass") for k, path in ((1, a.s1), (2, a.s2))]
+    names = F.element_at(F.split("header", f"\\{a.delim[0]}"), 1)
+    done = [run.write(out.select(f"r{k}.*").withColumn("read_id", names), path, "pair-pass") for k, path in ((1, a.s1), (2, a.s2))]
+    alone = pairing.unpaired(one, two, a.coord)
+    for k, path in ((1, a.s1), (2, a.s2)):
+        done += run.fails(alone.where(F.col("side") == k), path, "pair")
+    return done
+
+
+#: References that a plan may take as a parameter.
+MOST_REFERENCES = 100_000
+
+
+def references(run: Run) -> dict[str, str]:
+    rows = IO.read_references(run.spark, run.args.r)
+    if (n := rows.count()) > MOST_REFERENCES:
+        raise SystemExit(f"{run.args.r} has {n} references; at most {MOST_REFERENCES} can be used")
+    return {r["name"]: r["seq"] for r in rows.collect()}
 
 
 def assemble(run: Run) -> list[str]:
     a = run.args
-    pairs = pairing.pair(run.read(a.s1), run.read(a.s2), kind=a.coord)
+    one, two = run.read(a.s1), run.read(a.s2)
+    pairs = pairing.pair(one, two, kind=a.coord)
     mates = assembly.oriented(pairs, a.rc)
-    refs = {r["name"]: r["seq"] for r in IO.read_references(run.spark, a.r).collect()} if a.r else {}
+    refs = references(run) if a.r else {}
     out = {
         "join": lambda: assembly.join(mates, a.gap[0]), "align": lambda: assembly.align(mates, a.alpha, a.maxerror, a.minlen, a.maxlen, a.scanrev),
         "reference": lambda: assembly.reference(mates, refs, a.minident, a.evalue, a.maxhits, a.fill),
         "sequential": lambda: assembly.sequential(mates, refs, alpha=a.alpha, most_error=a.maxerror, least=a.minlen, most=a.maxlen, scan_reverse=a.scanrev, least_ident=a.minident, evalue=a.evalue, most_hits=a.maxhits, fill=a.fill),
     }[a.action]()
     done = assembly.assembled_reads(pairs, out.where("valid"), a.fields1, a.fields2).withColumnRenamed("coord", "read_id")
-    return [run.write(done, a.s1, "assemble-pass")]
+    run.logged(out.select(F.col("coord").alias("ID"), F.col("valid").alias("PASS"), F.length("seq").alias("LENGTH")))
+    paths, good = [run.write(done, a.s1, "assemble-pass")], out.where("valid").select("coord")
+    for reads, path in ((one, a.s1), (two, a.s2)):
+        paths += run.fails(pairing.keyed(reads, a.coord).join(good, "coord", "left_anti"), path, "assemble")
+    return paths
 
 
 def build_consensus(run: Run) -> list[str]:
     a = run.args
-    out = consensus.build(run.read(a.s), a.bf, a.n or 1, a.q, a.freq, a.maxgap, a.pf, a.prcons, a.cf, a.act, a.dep, a.maxdiv, a.maxerror, IO.file_kind(a.s) == "fastq")
-    return [run.write(out.withColumnRenamed("set_id", "read_id"), a.s, "consensus-pass")]
+    reads = run.read(a.s)
+    out = consensus.build(reads, a.bf, a.n or 1, a.q, a.freq, a.maxgap, a.pf, a.prcons, a.cf, a.act, a.dep, a.maxdiv, a.maxerror, IO.file_kind(a.s) == "fastq")
+    run.logged(out.select(F.col("set_id").alias("BARCODE"), F.col("conscount").alias("CONSCOUNT"), F.length("seq").alias("LENGTH")))
+    rest = consensus.with_set(reads, a.bf).join(out.select("set_id"), "set_id", "left_anti")
+    return [run.write(out.withColumnRenamed("set_id", "read_id"), a.s, "consensus-pass"), *run.fails(rest, a.s, "consensus")]
 
 
 def collapse_reads(run: Run) -> list[str]:
@@ -103,7 +135,13 @@ def collapse_reads(run: Run) -> list[str]:
     out = collapse.ambiguous_reads(reads, a.n, **options) if a.n else collapse.unique_reads(reads, **options)
     if a.keepmiss:
         out = out.unionByName(collapse.undetermined(reads, a.n or 0, a.inner).select(out.columns))
-    return [run.write(out, a.s, "collapse-unique")]
+    run.logged(out.select(F.col("read_id").alias("ID"), F.col("dupcount").alias("DUPCOUNT")))
+    unclear = collapse.undetermined(reads, a.n or 0, a.inner)
+    paths = [run.write(out, a.s, "collapse-unique")]
+    if a.failed:
+        twice = collapse.duplicates(reads.join(unclear.select("ord"), "ord", "left_anti"), out)
+        paths += [run.write(twice, a.s, "collapse-duplicate"), run.write(unclear, a.s, "collapse-undetermined")]
+    return paths
 
 
 def align_sets(run: Run) -> list[str]:
@@ -111,28 +149,37 @@ def align_sets(run: Run) -> list[str]:
     if a.action == "table":
         rows = alignment.offset_table(IO.read_primers(run.spark, a.p), a.reverse)
         return [run.table(run.spark.createDataFrame(rows, "primer string, offset int"), a.p, "offsets-" + ("reverse" if a.reverse else "forward"))]
-    sets = consensus.with_set(run.read(a.s), a.bf)
+    reads = run.read(a.s)
+    sets = consensus.with_set(reads, a.bf)
     out = alignment.multiple_align(sets) if a.action == "multiple" else alignment.offset_align(sets, IO.read_offsets(run.spark, a.d), a.pf or "PRIMER", a.mode)
-    return [run.write(out, a.s, "align-pass")]
+    if a.div:
+        spread = consensus.diversity(out).withColumn("v", A.number_text(F.round("diversity", 6)))
+        out = out.join(spread.select("set_id", "v"), "set_id").withColumn("ann", A.add(F.col("ann"), {"DIVERSITY": F.col("v")})).drop("v")
+    return [run.write(out, a.s, "align-pass"), *run.fails(result.missing(out, reads), a.s, "align")]
 
 
 def cluster(run: Run) -> list[str]:
     a, reads = run.args, run.read(run.args.s)
     more = dict(ident=a.ident, length_ratio=a.length, cluster_field=a.k or "CLUSTER", prefix=a.prefix)
     out = {"set": lambda: clustering.cluster_sets(reads, a.f[0], start=a.start, end=a.end, **more), "all": lambda: clustering.cluster_all(reads, start=a.start, end=a.end, **more), "barcode": lambda: clustering.cluster_barcodes(reads, a.f[0], **more)}[a.action]()
-    return [run.write(out, a.s, "cluster-pass")]
+    return [run.write(out, a.s, "cluster-pass"), *run.fails(result.missing(out, reads), a.s, "cluster")]
 
 
 def estimate_error(run: Run) -> list[str]:
     a, reads = run.args, run.read(run.args.s)
+    def threshold(at: float) -> DataFrame:
+        return run.spark.createDataFrame([("ALL", at)], "TYPE string, THRESHOLD double")
+
     if a.action == "barcode":
-        return [run.table(errors.barcode_distances(reads, a.f[0], a.pad), a.s, "distance-barcode")]
+        found = errors.barcode_distances(reads, a.f[0], a.pad)
+        return [run.table(found, a.s, "distance-barcode"), run.table(threshold(errors.distance_threshold(found)), a.s, "threshold-barcode")]
     sets = errors.usable_sets(reads, a.f[0], a.n or 20, a.maxdiv)
     plain = sets.drop("set_n")
     places = consensus.frequency_consensus(plain, a.freq) if a.mode == "freq" else consensus.quality_consensus(plain, a.q, a.freq)
     letters = errors.compared(sets, places.select("set_id", "pos", "ch"))
     tables = {"position": errors.error_table(letters, "pos"), "quality": errors.error_table(letters, "q"), "set": errors.error_table(letters, "set_n"), "nucleotide": errors.nucleotide_table(letters), "distance-set": errors.set_distances(sets)}
-    return [run.table(t, a.s, f"error-{k}") for k, t in tables.items()]
+    paths = [run.table(t, a.s, f"error-{k}", "NA") for k, t in tables.items()]
+    return [*paths, run.table(threshold(errors.set_threshold(tables["distance-set"])), a.s, "threshold-set")]
 
 
 def parse_headers(run: Run) -> list[str]:
@@ -153,7 +200,8 @@ def convert_headers(run: Run) -> list[str]:
     make = (lambda h: H.imgt(h, simple=True)) if a.simple and a.action == "imgt" else FORMATS[a.action]
     kind = IO.read_fasta if IO.file_kind(a.s) == "fasta" else IO.read_fastq
     reads = kind(run.spark, a.s, parse=False).withColumn("h", make(F.col("header")))
-    return [run.write(reads.where("h is not null").withColumns({"read_id": F.col("h.read_id"), "ann": F.col("h.ann")}), a.s, "convert-pass")]
+    good = reads.where("h is not null").withColumns({"read_id": F.col("h.read_id"), "ann": F.col("h.ann")})
+    return [run.write(good, a.s, "convert-pass"), *run.fails(reads.where("h is null").withColumn("read_id", F.col("header")), a.s, "convert")]
 
 
 def split_reads(run: Run) -> list[str]:
@@ -192,7 +240,7 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser("readmill")
     out.add_argument("tool", choices=TOOLS)
     out.add_argument("action", help="what the tool does; `run` for tools that do one thing")
-    text = {"-s": "s", "-1": "s1", "-2": "s2", "-p": "p", "-r": "r", "-d": "d", "-t": "t", "-k": "k", "--outdir": "outdir", "--outname": "outname", "--pf": "pf", "--maxf": "maxf", "--minf": "minf", "--prefix": "prefix"}
+    text = {"-s": "s", "-1": "s1", "-2": "s2", "-p": "p", "-r": "r", "-d": "d", "-t": "t", "-k": "k", "--outdir": "outdir", "--outname": "outname", "--pf": "pf", "--maxf": "maxf", "--minf": "minf", "--prefix": "prefix", "-o": "o", "--log": "log"}
     for flag, dest in text.items():
         out.add_argument(flag, dest=dest, default="" if dest == "prefix" else None)
     for flag, dest in {"-f": "f", "-u": "u", "--1f": "fields1", "--2f": "fields2", "--act": "act", "--cf": "cf", "--uf": "uf", "--names": "k_list"}.items():
@@ -203,8 +251,9 @@ def parser() -> argparse.ArgumentParser:
         ("--ident", float, 0.9), ("--length", float, 0.0), ("--num-value", float, None), ("--bf", str, "BARCODE"), ("--mode", str, None), ("--coord", str, "annotated"), ("--rc", str, "tail"), ("--pad", str, "none"), ("--sep", str, ","),
     ):
         out.add_argument(flag, type=kind, default=default)
+    out.add_argument("--delim", nargs=3, default=list(A.DELIMITERS))
     out.add_argument("--gap", type=int, nargs="+", default=None)
-    for flag in ("--inner", "--missing", "--reverse", "--revpr", "--skiprc", "--barcode", "--dep", "--fill", "--scanrev", "--keepmiss", "--delete", "--simple", "--num", "--failed", "--fasta", "--gzip-output"):
+    for flag in ("--inner", "--missing", "--reverse", "--revpr", "--skiprc", "--barcode", "--dep", "--fill", "--scanrev", "--keepmiss", "--delete", "--simple", "--num", "--failed", "--fasta", "--gzip-output", "--div"):
         out.add_argument(flag, action="store_true")
     out.add_argument("--not", dest="invert", action="store_true")
     return out
@@ -226,12 +275,58 @@ def defaults(a: argparse.Namespace) -> argparse.Namespace:
     return a
 
 
+#: Options that a tool's action can't do without.
+NEEDED = {
+    "filter": ["s"], "primers": ["s"], "pair": ["s1", "s2"], "assemble": ["s1", "s2"], "consensus": ["s"], "collapse": ["s"], "cluster": ["s"], "error": ["s"], "headers": ["s", "f"], "convert": ["s"],
+    "unify": ["s"], "log": ["s", "f"], "align multiple": ["s"], "align offset": ["s", "d"], "align table": ["p"], "primers score": ["p"], "primers align": ["p"], "primers extract": ["len"],
+    "assemble reference": ["r"], "assemble sequential": ["r"], "headers add": ["u"], "headers copy": ["k_list"], "headers merge": ["k_list"], "headers rename": ["k_list"], "headers collapse": ["act"],
+    "split count": ["s", "n"], "split group": ["s", "f"], "split sample": ["s", "n"], "split samplepair": ["s1", "s2", "n"], "split select": ["s", "f"], "split sort": ["s", "f"],
+}
+FLAGS = {"s1": "-1", "s2": "-2", "k_list": "--names", "act": "--act", "len": "--len"}
+
+
+def check(p: argparse.ArgumentParser, a: argparse.Namespace) -> None:
+    """Errors of options that don't fit together, before anything is read."""
+    for name in [*NEEDED.get(a.tool, []), *NEEDED.get(f"{a.tool} {a.action}", [])]:
+        if not getattr(a, name):
+            p.error(f"{a.tool} {a.action} needs {FLAGS.get(name, '-' + name)}")
+    for name in ("s", "s1", "s2", "p", "r", "d", "t"):
+        at = getattr(a, name)
+        if at and "://" not in at and not os.path.exists(at):
+            p.error(f"{at} does not exist")
+    for name in ("s", "s1", "s2"):
+        if (at := getattr(a, name)) and a.tool != "log" and IO.file_kind(at) not in ("fasta", "fastq"):
+            p.error(f"{at} is neither FASTA nor FASTQ")
+    if len(set(a.delim)) < 3 or any(len(d) != 1 for d in a.delim):
+        p.error("--delim takes three different characters")
+    same = [("cf", "act")] if a.tool in ("consensus", "collapse") else [("f", {"add": "u", "copy": "k_list", "rename": "k_list"}.get(a.action, "f"))] if a.tool == "headers" else []
+    for one, two in same:
+        if len(getattr(a, one) or []) != len(getattr(a, two) or []):
+            p.error(f"as many values are needed for {FLAGS.get(two, '-' + two)} as for -{one}")
+    if a.tool == "consensus" and a.maxdiv is not None and a.maxerror is not None:
+        p.error("give --maxdiv or --maxerror, not both")
+    if a.prcons is not None and not a.pf:
+        p.error("--prcons needs --pf")
+    if a.maxf and a.minf:
+        p.error("give --maxf or --minf, not both")
+    if a.o and (a.outname or a.tool in ("pair", "error") or a.action == "samplepair"):
+        p.error("-o names one output: it goes neither with --outname nor with tools of several outputs")
+    for name, low, high in (("maxerror", 0, 1), ("freq", 0, 1), ("maxgap", 0, 1), ("maxdiv", 0, 1), ("prcons", 0, 1), ("ident", 0, 1), ("minident", 0, 1), ("alpha", 0, 1)):
+        if (x := getattr(a, name)) is not None and not low <= x <= high:
+            p.error(f"--{name} is between {low} and {high}")
+    for name in ("start", "len", "minlen", "win"):
+        if getattr(a, name) < 0:
+            p.error(f"--{name} can't be negative")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     p = parser()
     a = defaults(p.parse_args(argv))
     run, actions = TOOLS[a.tool]
     if a.action not in actions:
         p.error(f"{a.tool} has the actions {', '.join(actions)}")
+    a.delim = tuple(a.delim)
+    check(p, a)
     if a.outdir:
         os.makedirs(a.outdir, exist_ok=True)
     return run(Run(spark or SparkSession.builder.appName(f"readmill {a.tool}").getOrCreate(), a))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -141,10 +142,11 @@ def copied(sets: DataFrame, field: str, action: str) -> DataFrame:
     return sets.groupBy("set_id").agg(one.alias("x")).select("set_id", A.pairs({name: A.number_text(F.col("x"))}).alias("more"))
 
 
-def build(reads: DataFrame, field: str = "BARCODE", least_count: int = 1, least_quality: int = 0, least_freq: float = 0.6, most_gap: float | None = None, primer_field: str | None = None, primer_freq: float | None = None, copy_fields: list[str] | None = None, copy_actions: list[str] | None = None, dependent: bool = False, most_diversity: float | None = None, most_error: float | None = None, quality: bool = True) -> DataFrame:
+def build(reads: DataFrame, field: str = "BARCODE", least_count: int = 1, least_quality: int = 0, least_freq: float = 0.6, most_gap: float | None = None, primer_field: str | None = None, primer_freq: float | None = None, copy_fields: list[str] | None = None, copy_actions: list[str] | None = None, dependent: bool = False, most_diversity: float | None = None, most_error: float | None = None, quality: bool = True, places_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """set_id, conscount, ann, seq, qual: a consensus of every set that passes the gates, in the order primer, count, gaps, diversity, error.
 
-    quality: by qualities, else by frequency.  most_diversity and most_error exclude each other.
+    quality: by qualities, else by frequency; places_of: a consensus of one's own, from sets to rows set_id, pos, ch, q (q: if
+    quality).  most_diversity and most_error exclude each other.
     """
     if most_diversity is not None and most_error is not None:
         raise ValueError("give the greatest diversity or the greatest error, not both")
@@ -153,7 +155,10 @@ def build(reads: DataFrame, field: str = "BARCODE", least_count: int = 1, least_
         sets = keep_majority(sets, primer_field, primer_freq).drop("top", "freq")
     counts = sets.groupBy("set_id").agg(F.count("*").alias("conscount")).where(F.col("conscount") >= least_count)
     sets = sets.join(counts.select("set_id"), "set_id", "left_semi") if least_count > 1 else sets
-    places = quality_consensus(sets, least_quality, least_freq, dependent) if quality else frequency_consensus(sets, least_freq)
+    if places_of:
+        places = places_of(sets)
+    else:
+        places = quality_consensus(sets, least_quality, least_freq, dependent) if quality else frequency_consensus(sets, least_freq)
     if most_gap is not None:
         places = places.join(gap_positions(sets, most_gap), ["set_id", "pos"], "left_anti")
     out = assembled(places, quality).join(counts, "set_id")

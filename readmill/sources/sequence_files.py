@@ -29,24 +29,24 @@ def _records(spark: SparkSession, path: str, start: str, strip: bool = True) ->
     return rows.withColumn("ord", F.col("block") + F.col("id").bitwiseAND((1 << 33) - 1))
 
 
-def _reads(rows: DataFrame, parse: bool) -> DataFrame:
-    ann = A.parse(F.col("header")) if parse else F.array().cast(ANN)
-    return rows.select("src", "ord", A.read_id(F.col("header")).alias("read_id"), "header", ann.alias("ann"), "seq", "qual")
+def _reads(rows: DataFrame, parse: bool, delimiters: tuple[str, str, str]) -> DataFrame:
+    ann = A.parse(F.col("header"), delimiters) if parse else F.array().cast(ANN)
+    return rows.select("src", "ord", A.read_id(F.col("header"), delimiters).alias("read_id"), "header", ann.alias("ann"), "seq", "qual")
 
 
-def read_fasta(spark: SparkSession, path: str, parse: bool = True) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, parse: bool = True, delimiters: tuple[str, str, str] = A.DELIMITERS) -> DataFrame:
     """Reads of FASTA files; sequences may go over several lines. ord follows the file's order."""
     rows = _records(spark, path, ">").where(F.trim(F.col("body")) != "")
     head = F.regexp_extract("body", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("body", r"^[^\n]*\n?", ""), r"\s", "")
-    return _reads(rows.select("src", "ord", head.alias("header"), seq.alias("seq"), F.lit(None).cast("string").alias("qual")), parse)
+    return _reads(rows.select("src", "ord", head.alias("header"), seq.alias("seq"), F.lit(None).cast("string").alias("qual")), parse, delimiters)
 
 
 def _fastq_error(what: str, text: Column) -> Column:
     return F.raise_error(F.concat(F.lit(f"{what}: "), F.left(text, F.lit(200)))).cast("string")
 
 
-def read_fastq(spark: SparkSession, path: str, parse: bool = True) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, parse: bool = True, delimiters: tuple[str, str, str] = A.DELIMITERS) -> DataFrame:
     """Reads of FASTQ files of four lines a record, cut wherever a line begins with @; sequences may be empty.
 
     A quality line may begin with @ as well, which leaves a record of three lines and, after it, a piece of one line; such
@@ -72,16 +72,16 @@ def read_fastq(spark: SparkSession, path: str, parse: bool = True) -> DataFrame:
     whole = rows.where("kind = 'whole'").select("src", "ord", F.slice("line", 1, 4).alias("line")).unionByName(joined)
     seq, qual = F.col("line")[1], F.col("line")[3]
     qual = F.when(F.length(seq) == F.length(qual), qual).otherwise(_fastq_error("letters and qualities differ in number", F.col("line")[0]))
-    return _reads(whole.select("src", "ord", F.col("line")[0].alias("header"), seq.alias("seq"), qual.alias("qual")), parse)
+    return _reads(whole.select("src", "ord", F.col("line")[0].alias("header"), seq.alias("seq"), qual.alias("qual")), parse, delimiters)
 
 
-def read_sequences(spark: SparkSession, path: str, parse: bool = True) -> DataFrame:
+def read_sequences(spark: SparkSession, path: str, parse: bool = True, delimiters: tuple[str, str, str] = A.DELIMITERS) -> DataFrame:
     """Reads of a file by its extension; other kinds raise an error."""
     match file_kind(path):
         case "fasta":
-            return read_fasta(spark, path, parse)
+            return read_fasta(spark, path, parse, delimiters)
         case "fastq":
-            return read_fastq(spark, path, parse)
+            return read_fastq(spark, path, parse, delimiters)
     raise ValueError(f"{path} is neither FASTA nor FASTQ")
 
 
@@ -139,9 +139,9 @@ def record_text(kind: str, header: Column) -> Column:
     return F.concat(F.lit("@"), header, F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.coalesce("qual", F.rpad(F.lit(""), F.length("seq"), "!")))
 
 
-def write_sequences(reads: DataFrame, path: str, kind: str = "fastq", compress: bool = False, by: str | None = None) -> None:
+def write_sequences(reads: DataFrame, path: str, kind: str = "fastq", compress: bool = False, by: str | None = None, delimiters: tuple[str, str, str] = A.DELIMITERS) -> None:
     """Reads as text files in a folder, gzip if asked; by: a folder for each value of a column."""
-    header = A.flatten(F.col("read_id"), F.col("ann"))
+    header = A.flatten(F.col("read_id"), F.col("ann"), delimiters)
     rows = reads.select(record_text(kind, header).alias("value"), *([by] if by else []))
     writer = rows.write.option("compression", "gzip" if compress else "none")
     (writer.partitionBy(by) if by else writer).text(path)
@@ -154,9 +154,11 @@ def write_log(logs: DataFrame, path: str) -> None:
     logs.select(F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("value")).write.text(path)
 
 
-def write_table(rows: DataFrame, path: str) -> None:
-    """A table with a header, tabs between columns, as text files in a folder."""
-    rows.write.csv(path, sep="\t", header=True, nullValue="")
+def write_table(rows: DataFrame, path: str, null: str = "") -> None:
+    """A table with a header, tabs between columns, as text files in a folder; numbers that aren't whole have six decimals."""
+    columns = [F.format_string("%.6f", c).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
+    shown = [F.when(F.col(c).isNotNull(), x).alias(c) for c, x in zip(rows.columns, columns, strict=True)]
+    rows.select(*shown).write.csv(path, sep="\t", header=True, nullValue=null)
 
 
 def output_path(source: str, label: str, kind: str, folder: str | None = None, name: str | None = None, compress: bool = False) -> str:

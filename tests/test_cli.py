@@ -42,7 +42,7 @@ def test_tools(spark, fastq, args, n):
 def test_tables(spark, fastq):
     (path,) = run(spark, "headers", "table", "-s", fastq, "-f", "ID", "COUNT")
     assert spark.read.csv(path, sep="\t", header=True).count() == 12
-    assert len(run(spark, "error", "set", "-s", fastq, "-n", 3)) == 5
+    assert len(run(spark, "error", "set", "-s", fastq, "-n", 3)) == 6
 
 
 def test_mates(spark, tmp_path):
@@ -58,6 +58,34 @@ def test_mates(spark, tmp_path):
     assert (r["read_id"], r["seq"], [tuple(x) for x in r["ann"]]) == ("M:1", seq, [("F", "x1,x2")])
 
 
+def test_fails_and_logs(spark, fastq, tmp_path):
+    paths = run(spark, "collapse", "run", "-s", fastq, "--failed", "--log", tmp_path / "log")
+    assert [len(ids(spark, p)) for p in paths[:2]] == [4, 8] and IO.read_log(spark, str(tmp_path / "log"), ["ID", "DUPCOUNT"]).count() == 4
+    good, bad = run(spark, "consensus", "run", "-n", 7, "-s", fastq, "--failed")
+    assert len(ids(spark, bad)) == 12
+    other = tmp_path / "y.fastq"
+    other.write_text("".join(fastq.read_text().splitlines(keepends=True)[:16]))
+    paths = run(spark, "pair", "run", "-1", fastq, "-2", other, "--failed")
+    assert [len(ids(spark, p)) for p in paths[:3]] == [4, 4, 8]
+    (path,) = run(spark, "headers", "add", "-f", "X", "-u", "1", "-s", fastq, "-o", tmp_path / "named.fastq")
+    assert path == str(tmp_path / "named.fastq") and len(ids(spark, path)) == 12
+
+
+def test_delimiters(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">R1;X:1;Y:2\nACGT\n")
+    (path,) = run(spark, "headers", "delete", "-f", "X", "-s", tmp_path / "a.fasta", "--delim", ";", ":", ",")
+    assert [r["value"] for r in spark.read.text(path).collect()][0] == ">R1;Y:2"
+
+
+@pytest.mark.parametrize("args", [
+    ["filter", "length"], ["filter", "length", "-s", "nothing.fastq"], ["headers", "rename", "-s", "FILE", "-f", "A", "B", "--names", "C"], ["consensus", "run", "-s", "FILE", "--maxdiv", "0.1", "--maxerror", "0.1"],
+    ["consensus", "run", "-s", "FILE", "--freq", "2"], ["primers", "score", "-s", "FILE"], ["consensus", "run", "-s", "FILE", "--cf", "A"], ["filter", "length", "-s", "FILE", "--delim", "|", "|", ","],
+])
+def test_wrong_options(spark, fastq, args):
+    with pytest.raises(SystemExit):
+        run(spark, *(fastq if x == "FILE" else x for x in args))
+
+
 def test_unknown_action(spark):
     with pytest.raises(SystemExit):
         run(spark, "filter", "nothing")
