@@ -622,6 +622,54 @@ def test_lm_network_learns_from_every_training_text(spark, monkeypatch):
     assert lm_scoring.SOFT_CLASSES * gru.CLASS_WORDS >= 4096
 
 
+def test_lm_scores_against_plain_loops(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD", 20)  # the driver alone reads it
+    soft = lm_scoring.SOFT_CLASSES * gru.CLASS_WORDS
+    kept, vocabulary, rng = {}, lm_scoring.vocabulary, np.random.default_rng(4)
+
+    def keep_vocabulary(counts, n_ends):
+        kept["v"], least = vocabulary(counts, n_ends)
+        return kept["v"], least
+
+    def some_network(learned, sent):
+        p = gru.start(soft + lm_scoring.END_ROWS, sent.value.class_logs, sent.value.word_logs)
+        kept["p"] = {k: x + rng.normal(0, 0.3, x.shape).astype(np.float32) for k, x in p.items()}
+        return kept["p"]
+
+    monkeypatch.setattr(lm_scoring, "vocabulary", keep_vocabulary)
+    monkeypatch.setattr(lm_scoring, "train", some_network)
+    texts = {i: t for i, t in enumerate(TEXTS) if t is None or len(t) < 2000}
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs.where(F.col("doc_id").isin(*texts)).dropDuplicates(["doc_id"])).collect()}
+    v, p = kept["v"], {k: x.astype(float) for k, x in kept["p"].items()}
+    learned = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in (t or "").encode().lower().split())
+    assert sum(v.rare_kinds) > 5 and len(v.words) > 5
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    for i, t in texts.items():
+        h, total, d = np.zeros(gru.WIDTH), 0.0, gru.WIDTH
+        for w in [*(t or "").encode().lower().split(), b""]:
+            k = v.index.get(w)
+            rare = 2 * (not w.isascii()) + (w[-1:] in (b".", b","))
+            cls = int(v.cls[k]) if k is not None else lm_scoring.SOFT_CLASSES + lm_scoring.PLAIN_CLASSES + rare
+            prob = softmax(p["wc"].T @ h + p["bc"])[cls]
+            if k is None:
+                prob *= (learned[w] + 0.1) / (v.rare_tokens[rare] + 0.1 * (v.rare_kinds[rare] + 1))
+            else:
+                prob *= softmax(p["ww"][cls] @ h + p["bw"][cls])[v.place[k]]
+            total += math.log10(prob)
+            row = k if k is not None else soft + zlib.crc32(w.rstrip(b".,")[-3:]) % lm_scoring.END_ROWS
+            x, hu = p["emb"][row] @ p["w"] + p["b"], h @ p["u"]
+            z, r = squash(x[:d] + hu[:d]), squash(x[d : 2 * d] + hu[d : 2 * d])
+            n = np.tanh(x[2 * d :] + r * hu[2 * d :])
+            h = n + z * (h - n)
+        assert got[i] == pytest.approx(total, rel=1e-4), i
+
+
+def test_lm_beats_counts_on_held_out_texts(spark):
+    rows = lm_scoring.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").toPandas()
+    assert rows["score"].sum() > rows["base_score"].sum() + 0.02 * rows["n_tokens"].sum()
+
+
 # -- the pipeline
 
 
