@@ -103,12 +103,14 @@ def gradients(p: dict[str, np.ndarray], row: np.ndarray, fresh: np.ndarray, cls:
     dx, du, back = np.empty((*row.shape, 3 * d), np.float32), np.zeros_like(p["u"]), np.zeros_like(h)
     for t in range(len(row) - 1, -1, -1):
         z, r, m, hn = kept[t]
-        prev = before[t]
-        dn = back * (1 - z) * (1 - m * m)
-        dz = back * (prev - m) * z * (1 - z)
-        dr = dn * hn * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        dhu = np.concatenate([dz, dr, dn * r], axis=1)
+        prev, own = before[t], dx[t]
+        dn = back * (1 - z)
+        dn *= 1 - m * m
+        own[:, :d] = back * (prev - m) * z * (1 - z)
+        own[:, d : 2 * d] = dn * hn * r * (1 - r)
+        own[:, 2 * d :] = dn
+        dhu = own.copy()
+        dhu[:, 2 * d :] *= r
         du += prev.T @ dhu
         back = back * z + dhu @ p["u"].T + dh[t]
         back[fresh[t]] = 0
@@ -167,25 +169,30 @@ def train(p: dict[str, np.ndarray], texts: list[Tokens], rate: float = 0.01) ->
     row, cls, place, fresh, sizes = row[:, order], cls[:, order], place[:, order], fresh[:, order], sizes[order]
     h = np.zeros((row.shape[1], WIDTH), np.float32)
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    slopes, tokens, i = {k: np.zeros_like(x) for k, x in p.items()}, 0, 0
+    slopes, tokens, i = {}, 0, 0
     for at in range(0, int(sizes.max()), STEPS):
         live = int((sizes > at).sum())
         part = slice(at, at + STEPS), slice(live)
         used = np.arange(at, at + len(row[part]))[:, None] < sizes[:live]
         g, h = gradients(p, row[part], fresh[part], cls[part], place[part], used, h[:live])
         for k, x in g.items():
-            slopes[k] += x * np.float32(used.size)
+            x *= np.float32(used.size)
+            slopes[k] = slopes[k] + x if k in slopes else x
         tokens += int(used.sum())
         if 2 * tokens < len(sizes) * STEPS and at + STEPS < sizes.max():
             continue
         i += 1
         for k, x in slopes.items():
             x /= tokens
-            m[k] += 0.1 * (x - m[k])
-            v[k] += 0.01 * (x * x - v[k])
-            p[k] -= rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-6)
-            x[:] = 0
-        tokens = 0
+            m[k] += np.float32(0.1) * (x - m[k])
+            x *= x
+            x -= v[k]
+            x *= np.float32(0.01)
+            v[k] += x
+            step = np.sqrt(v[k] / np.float32(1 - 0.99**i))
+            step += np.float32(1e-6)
+            p[k] -= np.float32(rate / (1 - 0.9**i)) * m[k] / step
+        slopes, tokens = {}, 0
     return p
 
 
