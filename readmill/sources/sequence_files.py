@@ -20,13 +20,15 @@ def file_kind(path: str) -> str:
 
 
 def _records(spark: SparkSession, path: str, start: str, strip: bool = True) -> DataFrame:
-    """src, block, id, ord, body: texts between record starts; plain files are split between records, a gzip file is one task.
+    """src, block, id, ord, body: texts between record starts; plain files are split between records; a gzip file is read by one task and
+    then dealt out.
 
     ord grows in a file's order: a split's first byte, and a row's place in its task, which is less than a split has bytes.
     """
     lines = spark.read.option("lineSep", f"\n{start}").text(path)
     rows = lines.select(F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), (F.regexp_replace("value", rf"^{start}", "") if strip else F.col("value")).alias("body"))
-    return rows.withColumn("ord", F.col("block") + F.col("id").bitwiseAND((1 << 33) - 1))
+    rows = rows.withColumn("ord", F.col("block") + F.col("id").bitwiseAND((1 << 33) - 1))
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if path.endswith(".gz") else rows
 
 
 def _reads(rows: DataFrame, parse: bool, delimiters: tuple[str, str, str]) -> DataFrame:
