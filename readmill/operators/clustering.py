@@ -2,46 +2,127 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
-from readmill.operators.alignment import global_align
 from readmill.operators.consensus import with_set
+from readmill.schema import checkpointed
+
+#: Cells of score tables held at a time, and distinct texts that a round of a whole table's clustering takes as possible centroids.
+CELLS, ROUND_ROWS = 4_000_000, 5000
+
+
+def identities(seq: str, others: list[str], gap: int = 2) -> np.ndarray:
+    """Share of equal letters among the columns of a global alignment of seq with each of the others, without gaps at its ends.
+
+    Match 1, mismatch -1, gaps `gap`.  Texts of one length with more than 0.8 of their letters equal aren't aligned.  Score
+    tables are filled a row for all others at once, and paths are followed back for all at once (a letter pair before a gap).
+    """
+    out = np.zeros(len(others))
+    n, a = len(seq), np.frombuffer(seq.encode("utf-32-le"), "<u4")
+    lens = np.fromiter(map(len, others), np.int64, len(others))
+    width = int(lens.max(initial=0))
+    step = max(1, CELLS // ((n + 1) * (width + 1)))
+    for at in range(0, len(others), step):
+        m = lens[at : at + step]
+        codes = np.frombuffer("".join(x.ljust(width, "\0") for x in others[at : at + step]).encode("utf-32-le"), "<u4").reshape(len(m), width)
+        share = np.zeros(len(m))
+        if n and (m == n).any():
+            share[m == n] = (codes[m == n, :n] == a).mean(axis=1)
+        todo = np.flatnonzero(share <= 0.8)
+        if len(todo):
+            share[todo] = _aligned_share(a, codes[todo], m[todo], gap)
+        out[at : at + step] = share
+    return out
+
+
+def _aligned_share(a: np.ndarray, codes: np.ndarray, m: np.ndarray, gap: int) -> np.ndarray:
+    n, width, rows = len(a), codes.shape[1], np.arange(len(m))
+    steps = np.arange(width + 1, dtype=np.int32) * gap
+    h = np.empty((n + 1, len(m), width + 1), np.int32)
+    h[0] = -steps
+    for i in range(1, n + 1):
+        row = np.empty((len(m), width + 1), np.int32)
+        row[:, 0] = -i * gap
+        np.maximum(h[i - 1, :, :-1] + np.where(codes == a[i - 1], 1, -1), h[i - 1, :, 1:] - gap, out=row[:, 1:])
+        h[i] = np.maximum.accumulate(row + steps, axis=1) - steps
+    i, j = np.full(len(m), n), m.copy()
+    matches, columns, trailing, run, last = (np.zeros(len(m), np.int64) for _ in range(5))  # last: 0 none, 1 pair, 2 and 3 gaps
+    while (open_ := (i > 0) | (j > 0)).any():
+        i0, j0 = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        equal = a[i0] == codes[rows, j0] if n and width else np.zeros(len(m), bool)
+        here = h[i, rows, j]
+        pair = (i > 0) & (j > 0) & (here == h[i0, rows, j0] + np.where(equal, 1, -1))
+        up = ~pair & (i > 0) & (here == h[i0, rows, j] - gap)
+        kind = np.where(pair, 1, np.where(up, 2, 3))
+        run = np.where(open_, np.where(kind == last, run + 1, 1), run)
+        columns += open_
+        trailing = np.where(open_ & (run == columns) & (kind > 1), run, trailing)
+        matches += open_ & pair & equal
+        last = np.where(open_, kind, last)
+        i, j = i - (open_ & (kind < 3)), j - (open_ & (kind != 2))
+    leading = np.where(last > 1, run, 0)
+    return matches / np.maximum(1, columns - trailing - leading)
 
 
 def identity(a: str, b: str) -> float:
-    """Share of equal letters among the columns of a global alignment, without gaps at its ends."""
-    if len(a) == len(b):
-        x, y = (np.frombuffer(s.encode(), np.uint8) for s in (a, b))
-        if (same := float((x == y).mean())) > 0.8:
-            return same
-    x, y = global_align(a, b)
-    lo = max(len(x) - len(x.lstrip("-")), len(y) - len(y.lstrip("-")))
-    hi = len(x) - max(len(x) - len(x.rstrip("-")), len(y) - len(y.rstrip("-")))
-    return sum(p == q for p, q in zip(x[lo:hi], y[lo:hi], strict=True)) / max(1, hi - lo)
+    """identities of two texts."""
+    return float(identities(a, [b])[0])
 
 
-def greedy(seqs: list[str], ident: float, length_ratio: float = 0.0, word: int = 5) -> list[int]:
-    """Cluster number from 1 of each sequence: longest first, each joins the first centroid that is near enough or becomes one.
+class Centroids:
+    """Centroids in order, with an index of their words.
 
-    Centroids are tried in the order of shared words, so a far one is seldom aligned; one that shares no word is tried last.
+    A text that is near enough shares a word of `word` letters with its centroid if word times the allowed share of
+    differences is below 1 and the texts aren't very short; only where that doesn't hold are the others tried as well.
     """
-    out = [0] * len(seqs)
-    centroids: list[tuple[str, set[str]]] = []
+
+    def __init__(self, ident: float, length_ratio: float, word: int) -> None:
+        self.ident, self.length_ratio, self.word = ident, length_ratio, word
+        self.seqs: list[str] = []
+        self.of_word: dict[str, list[int]] = {}
+        slack = 1 - word * (1 - ident)
+        self.surely = (word - 1) / slack + word if slack > 0 else float("inf")
+
+    def _words(self, seq: str) -> set[str]:
+        return {seq[k : k + self.word] for k in range(max(1, len(seq) - self.word + 1))}
+
+    def add(self, seq: str) -> None:
+        for w in self._words(seq):
+            self.of_word.setdefault(w, []).append(len(self.seqs))
+        self.seqs.append(seq)
+
+    def find(self, seq: str) -> int | None:
+        """Number of the centroid that is near enough and shares the most words (of ties the first), if there is one."""
+        found = [self.of_word[w] for w in self._words(seq) if w in self.of_word]
+        shared = np.bincount(np.concatenate(found), minlength=len(self.seqs)) if found else np.zeros(len(self.seqs), np.int64)
+        order = np.argsort(-shared, kind="stable")
+        if len(seq) >= self.surely:
+            order = order[: np.count_nonzero(shared)]
+        at, size = 0, 16
+        while at < len(order):
+            part = [k for k in order[at : at + size].tolist() if min(len(seq), len(self.seqs[k])) >= self.length_ratio * max(len(seq), len(self.seqs[k]))]
+            hits = np.flatnonzero(identities(seq, [self.seqs[k] for k in part]) >= self.ident) if part else []
+            if len(hits):
+                return part[hits[0]]
+            at, size = at + size, min(4 * size, 1024)
+        return None
+
+
+def greedy(seqs: list[str], ident: float, length_ratio: float = 0.0, word: int = 5) -> list[int]:
+    """Cluster number from 1 of each sequence: longest first, each joins a centroid that is near enough or becomes one."""
+    out, centroids = [0] * len(seqs), Centroids(ident, length_ratio, word)
     for i in sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), i)):
-        seq = seqs[i]
-        own = {seq[k : k + word] for k in range(max(1, len(seq) - word + 1))}
-        for k in sorted(range(len(centroids)), key=lambda k: -len(own & centroids[k][1])):
-            other = centroids[k][0]
-            if min(len(seq), len(other)) >= length_ratio * max(len(seq), len(other)) and identity(other, seq) >= ident:
-                out[i] = k + 1
-                break
-        else:
-            centroids.append((seq, own))
-            out[i] = len(centroids)
+        found = centroids.find(seqs[i])
+        if found is None:
+            found = len(centroids.seqs)
+            centroids.add(seqs[i])
+        out[i] = found + 1
     return out
 
 
@@ -58,7 +139,8 @@ def _labelled(reads: DataFrame, labels: DataFrame, on: list[str], field: str, pr
 def cluster_sets(reads: DataFrame, field: str = "BARCODE", ident: float = 0.9, length_ratio: float = 0.0, start: int = 0, end: int | None = None, cluster_field: str = "CLUSTER", prefix: str = "") -> DataFrame:
     """Reads with their cluster within their set, in `cluster` and the annotation; sets with an empty stretch are left out.
 
-    A set's distinct stretches are clustered by one task, and joined back to its reads.
+    A set's distinct stretches are clustered by one task, and joined back to its reads; a set with more than ROUND_ROWS of
+    them is clustered by the rounds of cluster_distinct, and its clusters are numbered by their least members.
     """
     sets = with_set(reads, field).withColumn("_s", _trimmed(start, end))
     empty = sets.where("_s = ''").select("set_id").distinct()
@@ -69,36 +151,55 @@ def cluster_sets(reads: DataFrame, field: str = "BARCODE", ident: float = 0.9, l
         group = group.sort_values("_o")
         return group[["set_id", "_s"]].assign(cluster=greedy(group["_s"].tolist(), ident, length_ratio))
 
-    labels = distinct.groupBy("set_id").applyInPandas(cluster, "set_id string, _s string, cluster int")
+    crowded = [r["set_id"] for r in distinct.groupBy("set_id").count().where(F.col("count") > ROUND_ROWS).select("set_id").collect()]
+    labels = distinct.where(~F.col("set_id").isin(crowded)).groupBy("set_id").applyInPandas(cluster, "set_id string, _s string, cluster int")
+    for one in crowded:
+        found = cluster_distinct(distinct.where(F.col("set_id") == one), "_s", ident, length_ratio, 5)
+        number = F.dense_rank().over(Window.orderBy("cluster"))
+        numbers = found.select("cluster").distinct().withColumn("number", number)
+        labels = labels.unionByName(found.join(numbers, "cluster").select(F.lit(one).alias("set_id"), "_s", F.col("number").alias("cluster")))
     return _labelled(sets, labels, ["set_id", "_s"], cluster_field, prefix).drop("_s")
 
 
-def cluster_distinct(values: DataFrame, value: str, ident: float, length_ratio: float = 0.0, word: int = 3, rounds: int = 2) -> DataFrame:
-    """value, cluster of distinct texts of a whole table: greedy in blocks, then greedy over the blocks' centroids, again and again.
+def cluster_distinct(values: DataFrame, value: str, ident: float, length_ratio: float = 0.0, word: int = 3) -> DataFrame:
+    """value, cluster (its centroid's number by name) of distinct texts of a whole table: what one greedy pass gives, by rounds.
 
-    Each round deals centroids into blocks by a word of theirs that is as good as random (the least by hash; another in each
-    round), clusters each block, and goes on with the centroids.  Two near texts that never meet stay apart: the result is
-    a clustering whose members are within reach of their block's centroid, not the one that a single pass over all gives.
+    A round takes the next ROUND_ROWS texts, longest first, clusters them in one task, and sends its centroids, of which
+    there are as many at most, to all tasks; these take out every other text that is near one of them.  So no near text is
+    lost, and the number of rounds is that of centroids by ROUND_ROWS.  A cluster is named by its least member.
     """
-
-    def centroid_of(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("v")
-        numbers = greedy(group["v"].tolist(), ident, length_ratio, word)
-        heads: dict[int, str] = {}
-        for i in sorted(range(len(group)), key=lambda i: (-len(group["v"].iloc[i]), i)):
-            heads.setdefault(numbers[i], group["v"].iloc[i])
-        return pd.DataFrame({"v": group["v"], "head": [heads[n] for n in numbers]})
-
-    now = values.select(F.col(value).alias("v")).where("v <> ''").distinct()
-    owner = now.select("v", F.col("v").alias("head"))
-    for k in range(rounds):
-        words = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("v") - word + 1)), lambda i: F.xxhash64(F.substring(F.col("v"), i, F.lit(word)), F.lit(k)))
-        dealt = now.withColumn("b", F.array_min(words))
-        step = dealt.groupBy("b").applyInPandas(lambda g: centroid_of(g[["v"]]), "v string, head string")
-        owner = owner.join(step.select(F.col("v").alias("head"), F.col("head").alias("_h")), "head", "left").select("v", F.coalesce("_h", "head").alias("head"))
-        now = owner.select(F.col("head").alias("v")).distinct()
-    heads = owner.groupBy("head").agg(F.min("v").alias("least"))
-    return owner.join(heads, "head").select(F.col("v").alias(value), F.col("least").alias("cluster"))
+    spark = values.sparkSession
+    left = checkpointed(values.select(F.col(value).alias("v")).where("v <> ''").distinct())
+    owners = left.limit(0).select("v", F.col("v").alias("head"))
+    while True:
+        batch = [r["v"] for r in left.orderBy(F.desc(F.length("v")), "v").limit(ROUND_ROWS).collect()]  # bounded
+        if not batch:
+            break
+
+        def cluster(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                seqs = frame["v"].iloc[0].tolist()
+                numbers = greedy(seqs, ident, length_ratio, word)
+                heads = dict(zip(reversed(numbers), reversed(seqs), strict=True))
+                yield pd.DataFrame({"v": seqs, "head": [heads[k] for k in numbers]})
+
+        own = checkpointed(spark.createDataFrame([(batch,)], "v array<string>").coalesce(1).mapInPandas(cluster, "v string, head string"))
+        sent = spark.sparkContext.broadcast([r["head"] for r in own.where("v = head").orderBy(F.desc(F.length("v")), "v").collect()])
+
+        def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centroids = Centroids(ident, length_ratio, word)
+            for seq in sent.value:
+                centroids.add(seq)
+            for frame in frames:
+                found = [centroids.find(v) for v in frame["v"]]
+                yield pd.DataFrame({"v": frame["v"], "head": [None if k is None else centroids.seqs[k] for k in found]})
+
+        rest = left.join(own.select("v"), "v", "left_anti")
+        found = checkpointed(rest.mapInPandas(take, "v string, head string"))
+        owners = owners.unionByName(own).unionByName(found.where("head is not null"))
+        left = found.where("head is null").select("v")
+    heads = owners.groupBy("head").agg(F.min("v").alias("least"))
+    return owners.join(heads, "head").select(F.col("v").alias(value), F.col("least").alias("cluster"))
 
 
 def cluster_all(reads: DataFrame, ident: float = 0.9, length_ratio: float = 0.0, start: int = 0, end: int | None = None, cluster_field: str = "CLUSTER", prefix: str = "") -> DataFrame:

@@ -187,6 +187,80 @@ def test_clusters():
     assert got[0] == got[1] == got[4] and got[2] == got[3] and got[0] != got[2] and sorted(set(got)) == [1, 2]
 
 
+def test_multiple_alignment_by_joins_is_that_of_each_set(spark):
+    rng = np.random.default_rng(5)
+    seqs, anns = [], []
+    for k in range(40):
+        base = "ACGTTGCAGGTACCATG"[k % 3 :]
+        i = int(rng.integers(0, len(base)))
+        seqs.append([base, base[:i] + base[i + 1 :], base[:i] + "TT" + base[i:], base[: i + 5]][int(rng.integers(0, 4))])
+        anns.append([("BARCODE", f"B{k % 4}")])
+    reads = C.with_set(make(spark, seqs, ["I" * len(s) for s in seqs], anns))
+    got = {r["ord"]: (r["seq"], r["qual"]) for r in alignment.multiple_align(reads).collect()}
+    for b in range(4):
+        own = [i for i in range(40) if i % 4 == b]
+        for i, text in zip(own, alignment.star_align([seqs[i] for i in own]), strict=True):
+            assert got[i] == (text, "".join("!" if c == "-" else "I" for c in text))
+    other = alignment.multiple_align(reads, lambda texts: [t.ljust(30, "-") for t in texts])
+    assert {len(r["seq"]) for r in other.collect()} == {30}
+
+
+def plain_identity(a, b):
+    if len(a) == len(b) and (same := sum(x == y for x, y in zip(a, b, strict=True)) / len(a)) > 0.8:
+        return same
+    x, y = alignment.global_align(a, b)
+    columns = list(zip(x, y, strict=True))
+    for turn in (1, -1):
+        columns = columns[::turn]
+        first = columns[0].index("-") if "-" in columns[0] else None
+        while first is not None and columns and columns[0][first] == "-":
+            columns = columns[1:]
+        columns = columns[::turn]
+        if not columns:
+            return 0.0
+    return sum(p == q for p, q in columns) / len(columns)
+
+
+def test_identities_against_single_alignments():
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("ACG"), int(n))) for n in rng.integers(1, 14, 60)]
+    texts += [t[2:] + "A" for t in texts if len(t) > 4]
+    for t in texts[::5]:
+        assert clustering.identities(t, texts).tolist() == pytest.approx([plain_identity(t, x) for x in texts])
+
+
+@pytest.mark.parametrize("n,ident,word,rows", [(8, 0.85, 3, 25), (40, 0.9, 5, 10), (6, 0.6, 4, 20)])
+def test_clusters_of_a_table_are_those_of_one_pass(spark, monkeypatch, n, ident, word, rows):
+    monkeypatch.setattr(clustering, "ROUND_ROWS", rows)
+    rng = np.random.default_rng(7)
+    seqs = []
+    for _ in range(12):
+        base = rng.choice(list("ACGT"), n)
+        for k in range(8):
+            x = base.copy()
+            x[rng.integers(0, n, max(1, n // 12))] = rng.choice(list("ACGT"))
+            seqs.append("".join(x)[: n - k // 6])
+    todo, heads, members = sorted(set(seqs), key=lambda s: (-len(s), s)), [], {}
+    rounds = 0
+    while todo:  # one pass in which a text prefers centroids of earlier rounds, and among a round's the one with most words in common
+        words = lambda s: {s[k : k + word] for k in range(max(1, len(s) - word + 1))}
+        now, new = todo[:rows], []
+        pick = lambda s, new: next((h for h in sorted(new, key=lambda h: -len(words(s) & words(h))) if plain_identity(s, h) >= ident), None)  # noqa: E731,B023
+        for s in now:
+            h = pick(s, new)
+            if h is None:
+                new.append(s)
+                h = s
+            members[s] = h
+        late = {s: pick(s, new) for s in todo[rows:]}
+        members |= {s: h for s, h in late.items() if h is not None}
+        todo, heads, rounds = [s for s, h in late.items() if h is None], heads + new, rounds + 1
+    assert rounds > 1
+    least = {h: min(s for s, x in members.items() if x == h) for h in heads}
+    got = clustering.cluster_distinct(spark.createDataFrame([(s,) for s in seqs], "v string"), "v", ident, 0.0, word).collect()
+    assert {r["v"]: r["cluster"] for r in got} == {s: least[h] for s, h in members.items()}
+
+
 def test_cluster_sets_leave_out_empty(spark):
     anns = [[("BARCODE", b)] for b in "XXY"]
     got = clustering.cluster_sets(make(spark, ["ACGTACGT", "ACG", "ACGTACGT"], anns=anns), start=4).collect()
