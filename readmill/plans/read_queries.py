@@ -196,7 +196,15 @@ def d5b(spark, d):
     return D.duplicates(rows, D.unique_reads(rows)).select("ord")
 
 
-@query("d2_collapse_ambiguous")
+@query("d2_collapse_ambiguous", f"""
+, c AS (SELECT *, length(seq) - length(translate(seq, 'N', '')) AS missing, {SUM_Q.format(q='qual')} / length(qual) AS mq FROM reads),
+k AS (SELECT *, row_number() OVER (PARTITION BY barcode ORDER BY missing, o) AS i FROM (SELECT barcode, seq, missing, min(ord) AS o FROM c WHERE missing <= 3 GROUP BY ALL)),
+walk AS (SELECT barcode, i, seq, [seq] AS heads, seq AS head FROM k WHERE i = 1 UNION ALL
+  SELECT barcode, i, seq, CASE WHEN f IS NULL THEN list_append(heads, seq) ELSE heads END, coalesce(f, seq) FROM (
+    SELECT k.barcode, k.i, k.seq, heads, CASE WHEN missing = 0 THEN NULL ELSE list_filter(heads, lambda x: list_sum(list_transform(range(1, 67), lambda j: CASE WHEN substr(x, j, 1) = substr(k.seq, j, 1) OR substr(x, j, 1) = 'N' OR substr(k.seq, j, 1) = 'N' THEN 0 ELSE 1 END)) = 0)[1] END AS f
+    FROM walk JOIN k ON k.barcode = walk.barcode AND k.i = walk.i + 1)),
+rep AS (SELECT c.*, row_number() OVER (PARTITION BY c.barcode, head ORDER BY missing, mq DESC, ord) AS rn, count(*) OVER (PARTITION BY c.barcode, head) AS dupcount FROM c JOIN walk ON c.barcode = walk.barcode AND c.seq = walk.seq)
+SELECT ord, dupcount, seq FROM rep WHERE rn = 1""")
 def d2(spark, d):
     return D.ambiguous_reads(reads(spark, d), 3, uniq_fields=["BARCODE"]).select("ord", "dupcount", "seq")
 

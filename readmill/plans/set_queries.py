@@ -248,7 +248,15 @@ def m1(spark, d):
     return out.select("coord", A.flatten(F.col("coord"), F.col("ann")).alias("header"))
 
 
-@query("m2_assemble_overlap")
+CHANCE = "list_sum(list_transform(range(CAST(same AS BIGINT), n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.25) + (n - k) * ln(0.75)) * CASE WHEN k = same THEN 0.5 ELSE 1 END))"
+
+
+@query("m2_assemble_overlap", f"""
+, m AS (SELECT coord, seq1 AS h, qual1 AS hq, reverse(translate(seq2, 'ACGT', 'TGCA')) AS t, reverse(qual2) AS tq FROM mates WHERE ord % 10 <> 0),
+o AS (SELECT m.*, n, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(h, 40 - n + i, 1) = substr(t, i, 1) OR substr(h, 40 - n + i, 1) = 'N' OR substr(t, i, 1) = 'N' THEN 1 ELSE 0 END)) AS same FROM m, range(8, 41) u(n)),
+b AS (SELECT *, (same - n / 4.0) / sqrt(3 * n / 16.0) AS z, row_number() OVER (PARTITION BY coord ORDER BY (same - n / 4.0) / sqrt(3 * n / 16.0) DESC, n) AS rn FROM o)
+SELECT coord, substr(h, 1, 40 - n) || list_aggregate(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(h, 40 - n + i, 1) = 'N' THEN substr(t, i, 1) WHEN substr(t, i, 1) = 'N' OR substr(hq, 40 - n + i, 1) >= substr(tq, i, 1) THEN substr(h, 40 - n + i, 1) ELSE substr(t, i, 1) END), 'string_agg', '') || substr(t, n + 1) AS seq,
+  CAST(n AS INT) AS overlap, round(1 - same / n, 6) AS error, round(z, 6) AS z, {CHANCE} <= 1e-5 AND 1 - same / n <= 0.3 AS valid FROM b WHERE rn = 1""")
 def m2(spark, d):
     return M.align(_mates(spark, d)).select("coord", "seq", "overlap", F.round("error", 6).alias("error"), F.round("z", 6).alias("z"), "valid")
 
