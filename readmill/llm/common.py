@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, *by: str) -> DataFrame:
     """Write df to the shared folder (a folder for each value of `by`) and read it back: lineage ends there, and a lost
-    executor loses nothing."""
+    executor loses nothing.  All that an application writes is in one folder, which can be cleared when it has ended."""
     spark = df.sparkSession
-    at = f"{shared_folder(spark)}/readmill-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/readmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
