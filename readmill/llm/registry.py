@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from readmill.llm import knn, language, lm_scoring, minhash, packing, piece_codec, quality, simhash, token_counts, toxicity
+from readmill.llm import divergence, knn, language, lm_scoring, minhash, packing, piece_codec, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_piece_codec": piece_codec.query,
@@ -13,7 +13,8 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.query,
     "op9_nearest_vectors": knn.query,
     "op10_simhash_components": simhash.query,
+    "op13_source_divergence": divergence.query,
 }
 
 #: Of the others, SQL has not the hash, the tokenizer, the trained model or the online order.
-ORACLES = {"op9_nearest_vectors": knn.ORACLE}
+ORACLES = {"op9_nearest_vectors": knn.ORACLE, "op13_source_divergence": divergence.ORACLE}
