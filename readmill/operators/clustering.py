@@ -1,61 +1,105 @@
-"""Greedy clustering of sequences by identity."""
+"""Greedy clustering of sequences by identity.
+
+The rule, for a set of distinct texts in order (longest first, then by letters): each text joins the first centroid that it
+is near, or becomes one.  Two texts are near if they share enough words, their lengths allow it, and an alignment of them has
+enough equal letters.  The outcome depends on the texts alone, not on how they are dealt.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
 from readmill.operators.consensus import with_set
+from readmill.operators.split import numbered
 from readmill.schema import checkpointed
 
-#: Cells of score tables held at a time, and distinct texts that a round of a whole table's clustering takes as possible centroids.
-CELLS, ROUND_ROWS = 4_000_000, 5000
+#: Cells of score tables held at a time; texts of a set that one task clusters, and how often, before near pairs are joined.
+CELLS, BATCH, BATCHES = 4_000_000, 1000, 3
 
 
-def identities(seq: str, others: list[str], gap: int = 2) -> np.ndarray:
-    """Share of equal letters among the columns of a global alignment of seq with each of the others, without gaps at its ends.
+@dataclass(frozen=True)
+class Rule:
+    """When a text is near a centroid before it in order.
 
-    Match 1, mismatch -1, gaps `gap`.  Texts of one length with more than 0.8 of their letters equal aren't aligned.  Score
-    tables are filled a row for all others at once, and paths are followed back for all at once (a letter pair before a gap).
+    ident: least share of equal letters, among the columns of a global alignment without the gaps at its ends or, with
+    shorter=True, among the letters of the shorter text.  length_ratio: least ratio of their lengths.  They share `shared`
+    distinct words of `word` letters at least, or all of the later text's if it has fewer.  aligned=False compares only
+    texts of one length, place by place.
     """
-    out = np.zeros(len(others))
-    n, a = len(seq), np.frombuffer(seq.encode("utf-32-le"), "<u4")
-    lens = np.fromiter(map(len, others), np.int64, len(others))
-    width = int(lens.max(initial=0))
-    step = max(1, CELLS // ((n + 1) * (width + 1)))
-    for at in range(0, len(others), step):
-        m = lens[at : at + step]
-        codes = np.frombuffer("".join(x.ljust(width, "\0") for x in others[at : at + step]).encode("utf-32-le"), "<u4").reshape(len(m), width)
-        share = np.zeros(len(m))
-        if n and (m == n).any():
-            share[m == n] = (codes[m == n, :n] == a).mean(axis=1)
-        todo = np.flatnonzero(share <= 0.8)
+
+    ident: float = 0.9
+    length_ratio: float = 0.0
+    word: int = 8
+    shared: int = 12
+    shorter: bool = False
+    aligned: bool = True
+    gap: int = 2
+
+    def words(self, text: str) -> set[str]:
+        return {text[k : k + self.word] for k in range(max(1, len(text) - self.word + 1))}
+
+
+def in_order(texts: Iterable[str]) -> list[str]:
+    """Longest first, then by letters."""
+    return sorted(texts, key=lambda t: (-len(t), t))
+
+
+def _matrix(texts: list[str], width: int) -> np.ndarray:
+    return np.frombuffer("".join(x.ljust(width, "\0") for x in texts).encode("utf-32-le"), "<u4").reshape(len(texts), width)
+
+
+def identities(one: list[str], other: list[str], rule: Rule) -> np.ndarray:
+    """Identity of each pair of texts by the rule; alignments are of match 1, mismatch -1 and gaps rule.gap.
+
+    Texts of one length with more than 0.8 of their letters equal aren't aligned.  Score tables of many pairs are filled a
+    row at a time, and paths are followed back for all at once (a letter pair before a gap).
+    """
+    out = np.zeros(len(one))
+    n_all, m_all = (np.fromiter(map(len, x), np.int64, len(x)) for x in (one, other))
+    order = np.lexsort((m_all, n_all))  # pairs of like sizes together
+    at = 0
+    while at < len(order):
+        top, wide = int(n_all[order[at]]), int(m_all[order[at : at + 4096]].max())
+        step = max(1, min(4096, CELLS // ((top + 1) * (wide + 1))))
+        own = order[at : at + step]
+        own = own[n_all[own] <= max(top + 8, top * 1.2)]
+        at += len(own)
+        n, m = n_all[own], m_all[own]
+        a, b = (_matrix([x[k] for k in own], int(size.max())) for x, size in ((one, n), (other, m)))
+        share, width = np.zeros(len(own)), min(a.shape[1], b.shape[1])
+        level = (n == m) & (n > 0)
+        if level.any():
+            share[level] = ((a[level, :width] == b[level, :width]) & (np.arange(width) < n[level, None])).sum(axis=1) / n[level]
+        todo = np.flatnonzero((share <= 0.8) & (n > 0) & (m > 0)) if rule.aligned else []
         if len(todo):
-            share[todo] = _aligned_share(a, codes[todo], m[todo], gap)
-        out[at : at + step] = share
+            share[todo] = _aligned_share(a[todo], n[todo], b[todo], m[todo], rule)
+        out[own] = share
     return out
 
 
-def _aligned_share(a: np.ndarray, codes: np.ndarray, m: np.ndarray, gap: int) -> np.ndarray:
-    n, width, rows = len(a), codes.shape[1], np.arange(len(m))
-    steps = np.arange(width + 1, dtype=np.int32) * gap
-    h = np.empty((n + 1, len(m), width + 1), np.int32)
+def _aligned_share(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, rule: Rule) -> np.ndarray:
+    gap, rows = rule.gap, np.arange(len(n))
+    steps = np.arange(b.shape[1] + 1, dtype=np.int32) * gap
+    h = np.empty((a.shape[1] + 1, len(n), b.shape[1] + 1), np.int32)
     h[0] = -steps
-    for i in range(1, n + 1):
-        row = np.empty((len(m), width + 1), np.int32)
+    for i in range(1, a.shape[1] + 1):
+        row = np.empty((len(n), b.shape[1] + 1), np.int32)
         row[:, 0] = -i * gap
-        np.maximum(h[i - 1, :, :-1] + np.where(codes == a[i - 1], 1, -1), h[i - 1, :, 1:] - gap, out=row[:, 1:])
+        np.maximum(h[i - 1, :, :-1] + np.where(b == a[:, i - 1, None], 1, -1), h[i - 1, :, 1:] - gap, out=row[:, 1:])
         h[i] = np.maximum.accumulate(row + steps, axis=1) - steps
-    i, j = np.full(len(m), n), m.copy()
-    matches, columns, trailing, run, last = (np.zeros(len(m), np.int64) for _ in range(5))  # last: 0 none, 1 pair, 2 and 3 gaps
+    i, j = n.copy(), m.copy()
+    matches, columns, trailing, run, last = (np.zeros(len(n), np.int64) for _ in range(5))  # last: 0 none, 1 pair, 2 and 3 gaps
     while (open_ := (i > 0) | (j > 0)).any():
         i0, j0 = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
-        equal = a[i0] == codes[rows, j0] if n and width else np.zeros(len(m), bool)
+        equal = a[rows, i0] == b[rows, j0]
         here = h[i, rows, j]
         pair = (i > 0) & (j > 0) & (here == h[i0, rows, j0] + np.where(equal, 1, -1))
         up = ~pair & (i > 0) & (here == h[i0, rows, j] - gap)
@@ -67,63 +111,49 @@ def _aligned_share(a: np.ndarray, codes: np.ndarray, m: np.ndarray, gap: int) ->
         last = np.where(open_, kind, last)
         i, j = i - (open_ & (kind < 3)), j - (open_ & (kind != 2))
     leading = np.where(last > 1, run, 0)
-    return matches / np.maximum(1, columns - trailing - leading)
-
-
-def identity(a: str, b: str) -> float:
-    """identities of two texts."""
-    return float(identities(a, [b])[0])
+    return matches / np.maximum(1, np.minimum(n, m) if rule.shorter else columns - trailing - leading)
 
 
 class Centroids:
-    """Centroids in order, with an index of their words.
+    """Centroids in order, with an index of their words."""
 
-    A text that is near enough shares a word of `word` letters with its centroid if word times the allowed share of
-    differences is below 1 and the texts aren't very short; only where that doesn't hold are the others tried as well.
-    """
-
-    def __init__(self, ident: float, length_ratio: float, word: int) -> None:
-        self.ident, self.length_ratio, self.word = ident, length_ratio, word
+    def __init__(self, rule: Rule) -> None:
+        self.rule = rule
         self.seqs: list[str] = []
         self.of_word: dict[str, list[int]] = {}
-        slack = 1 - word * (1 - ident)
-        self.surely = (word - 1) / slack + word if slack > 0 else float("inf")
-
-    def _words(self, seq: str) -> set[str]:
-        return {seq[k : k + self.word] for k in range(max(1, len(seq) - self.word + 1))}
 
     def add(self, seq: str) -> None:
-        for w in self._words(seq):
+        for w in self.rule.words(seq):
             self.of_word.setdefault(w, []).append(len(self.seqs))
         self.seqs.append(seq)
 
-    def find(self, seq: str) -> int | None:
-        """Number of the centroid that is near enough and shares the most words (of ties the first), if there is one."""
-        found = [self.of_word[w] for w in self._words(seq) if w in self.of_word]
-        shared = np.bincount(np.concatenate(found), minlength=len(self.seqs)) if found else np.zeros(len(self.seqs), np.int64)
-        order = np.argsort(-shared, kind="stable")
-        if len(seq) >= self.surely:
-            order = order[: np.count_nonzero(shared)]
+    def find(self, seq: str) -> str | None:
+        """The first centroid that the text is near."""
+        words, rule = self.rule.words(seq), self.rule
+        found = [self.of_word[w] for w in words if w in self.of_word]
+        if not found:
+            return None
+        shared = np.bincount(np.concatenate(found), minlength=len(self.seqs))
+        able = [k for k in np.flatnonzero(shared >= min(rule.shared, len(words))).tolist() if min(len(seq), len(self.seqs[k])) >= rule.length_ratio * max(len(seq), len(self.seqs[k]))]
         at, size = 0, 16
-        while at < len(order):
-            part = [k for k in order[at : at + size].tolist() if min(len(seq), len(self.seqs[k])) >= self.length_ratio * max(len(seq), len(self.seqs[k]))]
-            hits = np.flatnonzero(identities(seq, [self.seqs[k] for k in part]) >= self.ident) if part else []
+        while at < len(able):
+            part = [self.seqs[k] for k in able[at : at + size]]
+            hits = np.flatnonzero(identities([seq] * len(part), part, rule) >= rule.ident)
             if len(hits):
                 return part[hits[0]]
             at, size = at + size, min(4 * size, 1024)
         return None
 
 
-def greedy(seqs: list[str], ident: float, length_ratio: float = 0.0, word: int = 5) -> list[int]:
-    """Cluster number from 1 of each sequence: longest first, each joins a centroid that is near enough or becomes one."""
-    out, centroids = [0] * len(seqs), Centroids(ident, length_ratio, word)
-    for i in sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), i)):
-        found = centroids.find(seqs[i])
-        if found is None:
-            found = len(centroids.seqs)
-            centroids.add(seqs[i])
-        out[i] = found + 1
-    return out
+def greedy(seqs: list[str], rule: Rule) -> list[str]:
+    """Each text's centroid, by one pass over the distinct texts in order."""
+    heads, centroids = {}, Centroids(rule)
+    for seq in in_order(set(seqs)):
+        heads[seq] = centroids.find(seq)
+        if heads[seq] is None:
+            centroids.add(seq)
+            heads[seq] = seq
+    return [heads[s] for s in seqs]
 
 
 def _trimmed(start: int, end: int | None):
@@ -136,79 +166,130 @@ def _labelled(reads: DataFrame, labels: DataFrame, on: list[str], field: str, pr
     return out.withColumn("ann", A.merge(F.col("ann"), A.pairs({field: F.concat(F.lit(prefix), F.col("cluster").cast("string"))})))
 
 
-def cluster_sets(reads: DataFrame, field: str = "BARCODE", ident: float = 0.9, length_ratio: float = 0.0, start: int = 0, end: int | None = None, cluster_field: str = "CLUSTER", prefix: str = "") -> DataFrame:
+OWNED = "set_id string, v string, head string"
+
+
+def _owned(texts: pa.Table, heads: list[str | None]) -> pa.Table:
+    return pa.table({"set_id": texts["set_id"], "v": texts["v"], "head": pa.array(heads, pa.string())})
+
+
+def owners(values: DataFrame, rule: Rule) -> DataFrame:
+    """set_id, v, head of distinct non-empty texts (set_id, v): the centroid that one greedy pass over each set gives them.
+
+    First, for ordinary sets and for dense groups, BATCHES times: a set's next BATCH texts in order are clustered by one
+    task, and the set's other texts, dealt to as many tasks as they need, leave if they are near one of its centroids.
+    What large sets have left then, and by then no dense group leads, is settled by its near pairs: a text whose earlier
+    near texts are all no centroids is one, and those near a centroid are none.  The number of rounds is the depth of
+    that dependency, whatever the number of centroids, and the outcome doesn't depend on BATCH or BATCHES.
+    """
+    left = checkpointed(values.select("set_id", "v").where("v <> ''").distinct())
+    parts: list[DataFrame] = []
+    for _ in range(BATCHES):
+        place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc(F.length("v")), "v"))
+        batch = left.withColumn("place", place).where(F.col("place") <= BATCH).drop("place")
+
+        def cluster(group: pa.Table) -> pa.Table:
+            return _owned(group, greedy(group["v"].to_pylist(), rule))
+
+        own = checkpointed(batch.groupBy("set_id").applyInArrow(cluster, OWNED))
+        parts.append(own)
+        rest = left.join(own, ["set_id", "v"], "left_anti")
+        sizes = rest.groupBy("set_id").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("deals"))
+        rest = rest.join(sizes, "set_id").select("set_id", F.pmod(F.xxhash64("v"), F.col("deals")).cast("int").alias("deal"), "v")
+        sent = own.where("v = head").join(sizes, "set_id").select("set_id", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "head")
+
+        def take(heads: pa.Table, texts: pa.Table) -> pa.Table:
+            centroids = Centroids(rule)
+            for head in in_order(heads["head"].to_pylist()):
+                centroids.add(head)
+            return _owned(texts, list(map(centroids.find, texts["v"].to_pylist())))
+
+        found = checkpointed(sent.groupBy("set_id", "deal").cogroup(rest.groupBy("set_id", "deal")).applyInArrow(take, OWNED))
+        parts.append(found.where("head is not null"))
+        left = found.where("head is null").select("set_id", "v")
+        if left.isEmpty():
+            break
+    else:
+        parts.append(_by_pairs(left, near_pairs(left, rule)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def near_pairs(left: DataFrame, rule: Rule) -> DataFrame:
+    """set_id, v, earlier: near texts of a set, found by their common words and verified by alignment."""
+    n = rule.word
+    words = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("v") - (n - 1), F.lit(1))), lambda i: F.substring("v", i, n)))
+    rows = left.withColumn("w", words).withColumn("need", F.least(F.size("w"), F.lit(rule.shared)))
+    rows = rows.select("set_id", "v", F.length("v").alias("n"), "need", F.explode("w").alias("w"))
+    other = rows.select("set_id", "w", F.col("v").alias("earlier"), F.col("n").alias("m"))
+    before = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("earlier") < F.col("v")))
+    met = rows.join(other, ["set_id", "w"]).where(before & (F.col("n") >= rule.length_ratio * F.col("m")))
+    candidates = met.groupBy("set_id", "v", "earlier").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(identities(batch["v"].to_pylist(), batch["earlier"].to_pylist(), rule) >= rule.ident))
+
+    return candidates.select("set_id", "v", "earlier").mapInArrow(verify, "set_id string, v string, earlier string")
+
+
+def _by_pairs(left: DataFrame, pairs: DataFrame) -> DataFrame:
+    """set_id, v, head of texts by their near pairs: the priority-ordered independent set, by rounds of joins."""
+    edges = checkpointed(pairs)
+    open_, todo, centroids = left, edges, left.limit(0)
+    while not todo.isEmpty():
+        blocked = todo.select("set_id", "v").distinct()
+        new = checkpointed(open_.join(blocked, ["set_id", "v"], "left_anti"))
+        gone = todo.join(new.withColumnRenamed("v", "earlier"), ["set_id", "earlier"], "left_semi").select("set_id", "v").distinct()
+        centroids = centroids.unionByName(new)
+        open_ = checkpointed(open_.join(new, ["set_id", "v"], "left_anti").join(gone, ["set_id", "v"], "left_anti"))
+        # only pairs of two open texts still say something
+        todo = checkpointed(todo.join(open_, ["set_id", "v"], "left_semi").join(open_.withColumnRenamed("v", "earlier"), ["set_id", "earlier"], "left_semi"))
+    centroids = checkpointed(centroids.unionByName(open_))
+    first = F.max(F.struct(F.length("earlier").alias("n"), _descending("earlier").alias("d"), "earlier"))
+    near = edges.join(centroids.withColumnRenamed("v", "earlier"), ["set_id", "earlier"], "left_semi").groupBy("set_id", "v").agg(first.alias("f"))
+    near = near.join(centroids, ["set_id", "v"], "left_anti").select("set_id", "v", F.col("f.earlier").alias("head"))
+    return near.unionByName(centroids.select("set_id", "v", F.col("v").alias("head")))
+
+
+def _descending(text: str) -> Column:
+    """Something that sorts texts of one length the other way round."""
+    return F.transform(F.split(text, ""), lambda c: -F.ascii(c))
+
+
+def cluster_sets(
+    reads: DataFrame, field: str = "BARCODE", ident: float = 0.9, length_ratio: float = 0.0, start: int = 0, end: int | None = None, cluster_field: str = "CLUSTER", prefix: str = "", **how
+) -> DataFrame:
     """Reads with their cluster within their set, in `cluster` and the annotation; sets with an empty stretch are left out.
 
-    A set's distinct stretches are clustered by one task, and joined back to its reads; a set with more than ROUND_ROWS of
-    them is clustered by the rounds of cluster_distinct, and its clusters are numbered by their least members.
+    Clusters are numbered from 1 in the order of their centroids (longest first, then by letters), whatever a set's size.
     """
     sets = with_set(reads, field).withColumn("_s", _trimmed(start, end))
     empty = sets.where("_s = ''").select("set_id").distinct()
     sets = sets.join(empty, "set_id", "left_anti")
-    distinct = sets.groupBy("set_id", "_s").agg(F.min("ord").alias("_o"))
-
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_o")
-        return group[["set_id", "_s"]].assign(cluster=greedy(group["_s"].tolist(), ident, length_ratio))
-
-    crowded = [r["set_id"] for r in distinct.groupBy("set_id").count().where(F.col("count") > ROUND_ROWS).select("set_id").collect()]
-    labels = distinct.where(~F.col("set_id").isin(crowded)).groupBy("set_id").applyInPandas(cluster, "set_id string, _s string, cluster int")
-    for one in crowded:
-        found = cluster_distinct(distinct.where(F.col("set_id") == one), "_s", ident, length_ratio, 5)
-        number = F.dense_rank().over(Window.orderBy("cluster"))
-        numbers = found.select("cluster").distinct().withColumn("number", number)
-        labels = labels.unionByName(found.join(numbers, "cluster").select(F.lit(one).alias("set_id"), "_s", F.col("number").alias("cluster")))
+    found = checkpointed(owners(sets.select("set_id", F.col("_s").alias("v")), Rule(ident, length_ratio, **how)))
+    heads = found.where("v = head").select("set_id", "head")
+    order = numbered(heads, [F.col("set_id"), -F.length("head"), F.col("head")])
+    first = order.groupBy("set_id").agg(F.min("_n").alias("_first"))
+    order = order.join(first, "set_id").select("set_id", "head", (F.col("_n") - F.col("_first") + 1).cast("int").alias("cluster"))
+    labels = found.join(order, ["set_id", "head"]).select("set_id", F.col("v").alias("_s"), "cluster")
     return _labelled(sets, labels, ["set_id", "_s"], cluster_field, prefix).drop("_s")
 
 
-def cluster_distinct(values: DataFrame, value: str, ident: float, length_ratio: float = 0.0, word: int = 3) -> DataFrame:
-    """value, cluster (its centroid's number by name) of distinct texts of a whole table: what one greedy pass gives, by rounds.
+def cluster_distinct(values: DataFrame, value: str, rule: Rule) -> DataFrame:
+    """value, cluster (named by its least member) of distinct texts of a whole table."""
+    found = checkpointed(owners(values.select(F.lit("").alias("set_id"), F.col(value).alias("v")), rule))
+    least = found.groupBy("head").agg(F.min("v").alias("cluster"))
+    return found.join(least, "head").select(F.col("v").alias(value), "cluster")
 
-    A round takes the next ROUND_ROWS texts, longest first, clusters them in one task, and sends its centroids, of which
-    there are as many at most, to all tasks; these take out every other text that is near one of them.  So no near text is
-    lost, and the number of rounds is that of centroids by ROUND_ROWS.  A cluster is named by its least member.
-    """
-    spark = values.sparkSession
-    left = checkpointed(values.select(F.col(value).alias("v")).where("v <> ''").distinct())
-    owners = left.limit(0).select("v", F.col("v").alias("head"))
-    while True:
-        batch = [r["v"] for r in left.orderBy(F.desc(F.length("v")), "v").limit(ROUND_ROWS).collect()]  # bounded
-        if not batch:
-            break
 
-        def cluster(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                seqs = frame["v"].iloc[0].tolist()
-                numbers = greedy(seqs, ident, length_ratio, word)
-                heads = dict(zip(reversed(numbers), reversed(seqs), strict=True))
-                yield pd.DataFrame({"v": seqs, "head": [heads[k] for k in numbers]})
-
-        own = checkpointed(spark.createDataFrame([(batch,)], "v array<string>").coalesce(1).mapInPandas(cluster, "v string, head string"))
-        sent = spark.sparkContext.broadcast([r["head"] for r in own.where("v = head").orderBy(F.desc(F.length("v")), "v").collect()])
-
-        def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            centroids = Centroids(ident, length_ratio, word)
-            for seq in sent.value:
-                centroids.add(seq)
-            for frame in frames:
-                found = [centroids.find(v) for v in frame["v"]]
-                yield pd.DataFrame({"v": frame["v"], "head": [None if k is None else centroids.seqs[k] for k in found]})
-
-        rest = left.join(own.select("v"), "v", "left_anti")
-        found = checkpointed(rest.mapInPandas(take, "v string, head string"))
-        owners = owners.unionByName(own).unionByName(found.where("head is not null"))
-        left = found.where("head is null").select("v")
-    heads = owners.groupBy("head").agg(F.min("v").alias("least"))
-    return owners.join(heads, "head").select(F.col("v").alias(value), F.col("least").alias("cluster"))
-
-
-def cluster_all(reads: DataFrame, ident: float = 0.9, length_ratio: float = 0.0, start: int = 0, end: int | None = None, cluster_field: str = "CLUSTER", prefix: str = "") -> DataFrame:
+def cluster_all(reads: DataFrame, ident: float = 0.9, length_ratio: float = 0.0, start: int = 0, end: int | None = None, cluster_field: str = "CLUSTER", prefix: str = "", **how) -> DataFrame:
     """Reads with a cluster of the whole table's sequences (named by its least member)."""
     rows = reads.withColumn("_s", _trimmed(start, end))
-    return _labelled(rows, cluster_distinct(rows, "_s", ident, length_ratio, 5), ["_s"], cluster_field, prefix).drop("_s")
+    return _labelled(rows, cluster_distinct(rows, "_s", Rule(ident, length_ratio, **how)), ["_s"], cluster_field, prefix).drop("_s")
 
 
-def cluster_barcodes(reads: DataFrame, field: str = "BARCODE", ident: float = 0.9, length_ratio: float = 0.0, cluster_field: str = "CLUSTER", prefix: str = "") -> DataFrame:
-    """Reads with a cluster of their barcodes, of which only distinct ones are compared."""
+def cluster_barcodes(reads: DataFrame, field: str = "BARCODE", ident: float = 0.9, length_ratio: float = 0.0, cluster_field: str = "CLUSTER", prefix: str = "", **how) -> DataFrame:
+    """Reads with a cluster of their barcodes, of which only distinct ones are compared; one common word of 3 letters is enough."""
     rows = reads.withColumn("_s", A.get(F.col("ann"), field)).where("_s is not null")
-    return _labelled(rows, cluster_distinct(rows, "_s", ident, length_ratio, 3), ["_s"], cluster_field, prefix).drop("_s")
+    rule = Rule(ident, length_ratio, **{"word": 3, "shared": 1} | how)
+    return _labelled(rows, cluster_distinct(rows, "_s", rule), ["_s"], cluster_field, prefix).drop("_s")

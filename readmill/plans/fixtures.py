@@ -66,4 +66,4 @@ def mates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def oracle(sql: str) -> str:
     """A query over `reads` and `mates` as SQL over the tables."""
-    return f"WITH {'RECURSIVE ' * ('UNION ALL' in sql and ' walk ' in sql)}reads AS ({READS.format(orders='orders')}), mates AS ({MATES}) {sql}"
+    return f"WITH {'RECURSIVE ' * (' walk ' in sql or 'walk (' in sql)}reads AS ({READS.format(orders='orders')}), mates AS ({MATES}) {sql}"

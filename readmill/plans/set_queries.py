@@ -217,11 +217,31 @@ def l3(spark, d):
     return spark.createDataFrame(L.offset_table(PRIMERS), "primer string, offset int")
 
 
+#: One greedy pass over each set's texts of one length, a step for each place in order; all sets step together.
+GREEDY = """
+, texts AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY v) AS k FROM ({texts})),
+pairs AS MATERIALIZED (SELECT a.set_id, a.k, list(b.k) AS near FROM texts AS a JOIN texts AS b ON a.set_id = b.set_id AND b.k < a.k AND hamming(a.v, b.v) <= {most} GROUP BY ALL),
+walk (set_id, k, heads) AS (
+  SELECT DISTINCT set_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM texts
+  UNION ALL SELECT w.set_id, t.k, CASE WHEN list_has_any(w.heads, coalesce(p.near, [])) THEN w.heads ELSE list_append(w.heads, t.k) END
+  FROM walk AS w JOIN texts AS t ON t.set_id = w.set_id AND t.k = w.k + 1 LEFT JOIN pairs AS p ON p.set_id = t.set_id AND p.k = t.k),
+ended AS MATERIALIZED (SELECT set_id, arg_max(heads, k) AS heads FROM walk GROUP BY set_id),
+owner AS (SELECT t.*, CASE WHEN list_contains(e.heads, t.k) THEN t.k ELSE list_min(list_intersect(e.heads, p.near)) END AS head FROM texts AS t JOIN ended AS e USING (set_id) LEFT JOIN pairs AS p USING (set_id, k))
+"""
+
+
 @query("c1_cluster_sets")
 def c1(spark, d):
     return K.cluster_sets(reads(spark, d), ident=0.9, start=8).select("ord", "set_id", "cluster")
 
 
+@query("c1_cluster_sets_by_place", GREEDY.format(texts="SELECT DISTINCT barcode AS set_id, substr(seq, 9) AS v FROM reads", most="5") + """
+, n AS (SELECT set_id, head, row_number() OVER (PARTITION BY set_id ORDER BY head) AS cluster FROM (SELECT DISTINCT set_id, head FROM owner))
+SELECT ord, barcode AS set_id, CAST(cluster AS INT) AS cluster FROM reads JOIN owner ON barcode = set_id AND substr(seq, 9) = v JOIN n USING (set_id, head)""")
+def c1_by_place(spark, d):
+    return K.cluster_sets(reads(spark, d), ident=0.9, start=8, aligned=False, shared=1).select("ord", "set_id", "cluster")
+
+
 @query("c2_cluster_all")
 def c2(spark, d):
     return K.cluster_all(reads(spark, d), ident=0.9, start=18).select("ord", "cluster")
@@ -232,6 +252,12 @@ def c3(spark, d):
     return K.cluster_barcodes(reads(spark, d), ident=0.85).select("ord", "cluster")
 
 
+@query("c3_cluster_barcodes_by_place", GREEDY.format(texts="SELECT DISTINCT '' AS set_id, barcode AS v FROM reads", most="1") + """
+, n AS (SELECT head, min(v) AS cluster FROM owner GROUP BY head) SELECT ord, cluster FROM reads JOIN owner ON barcode = v JOIN n USING (head)""")
+def c3_by_place(spark, d):
+    return K.cluster_barcodes(reads(spark, d), ident=0.85, aligned=False).select("ord", "cluster")
+
+
 def _mates(spark, d):
     return M.oriented(J.pair(*mates(spark, d), kind="illumina"))
 

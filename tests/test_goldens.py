@@ -183,8 +183,8 @@ def test_headers_that_do_not_fit(spark):
 def test_clusters():
     a = "ACGTTGCAAGCTTAGCCATGCATCGATTACGCTAGCATCGATCGGGATCTTAGCATCA"
     b = "TTTTGGGGCCCCAAAATTTTGGGGCCCCAAAATTTTGGGGCCCCAAAATTTTGGGGCC"
-    got = clustering.greedy([a, a[:30] + "T" + a[31:], b, b[:5] + "A" + b[6:], a], 0.9)
-    assert got[0] == got[1] == got[4] and got[2] == got[3] and got[0] != got[2] and sorted(set(got)) == [1, 2]
+    got = clustering.greedy([a, a[:30] + "T" + a[31:], b, b[:5] + "A" + b[6:], a], clustering.Rule(0.9))
+    assert got[0] == got[1] == got[4] and got[2] == got[3] and got[0] != got[2]
 
 
 def test_multiple_alignment_by_joins_is_that_of_each_set(spark):
@@ -226,39 +226,73 @@ def test_identities_against_single_alignments():
     texts = ["".join(rng.choice(list("ACG"), int(n))) for n in rng.integers(1, 14, 60)]
     texts += [t[2:] + "A" for t in texts if len(t) > 4]
     for t in texts[::5]:
-        assert clustering.identities(t, texts).tolist() == pytest.approx([plain_identity(t, x) for x in texts])
-
-
-@pytest.mark.parametrize("n,ident,word,rows", [(8, 0.85, 3, 25), (40, 0.9, 5, 10), (6, 0.6, 4, 20)])
-def test_clusters_of_a_table_are_those_of_one_pass(spark, monkeypatch, n, ident, word, rows):
-    monkeypatch.setattr(clustering, "ROUND_ROWS", rows)
-    rng = np.random.default_rng(7)
+        assert clustering.identities([t] * len(texts), texts, clustering.Rule()).tolist() == pytest.approx([plain_identity(t, x) for x in texts])
+
+
+def plain_greedy(texts, rule):
+    """One pass, each text against all centroids before it."""
+
+    def near(seq, head):
+        words, others = ({x[k : k + rule.word] for k in range(max(1, len(x) - rule.word + 1))} for x in (seq, head))
+        if len(words & others) < min(rule.shared, len(words)) or len(seq) < rule.length_ratio * len(head):
+            return False
+        if not rule.aligned:
+            return len(seq) == len(head) and sum(map(str.__eq__, seq, head)) / len(seq) >= rule.ident
+        if rule.shorter and (len(seq) != len(head) or sum(map(str.__eq__, seq, head)) / len(seq) <= 0.8):
+            x, y = alignment.global_align(seq, head)
+            return sum(p == q for p, q in zip(x, y, strict=True)) / len(seq) >= rule.ident
+        return plain_identity(seq, head) >= rule.ident
+
+    heads, out = [], {}
+    for seq in sorted(set(texts), key=lambda s: (-len(s), s)):
+        out[seq] = next((h for h in heads if near(seq, h)), None)
+        if out[seq] is None:
+            heads.append(seq)
+            out[seq] = seq
+    return out
+
+
+def families(n, seed=7, groups=12, size=8):
+    rng = np.random.default_rng(seed)
     seqs = []
-    for _ in range(12):
+    for _ in range(groups):
         base = rng.choice(list("ACGT"), n)
-        for k in range(8):
+        for k in range(size):
             x = base.copy()
             x[rng.integers(0, n, max(1, n // 12))] = rng.choice(list("ACGT"))
             seqs.append("".join(x)[: n - k // 6])
-    todo, heads, members = sorted(set(seqs), key=lambda s: (-len(s), s)), [], {}
-    rounds = 0
-    while todo:  # one pass in which a text prefers centroids of earlier rounds, and among a round's the one with most words in common
-        words = lambda s: {s[k : k + word] for k in range(max(1, len(s) - word + 1))}
-        now, new = todo[:rows], []
-        pick = lambda s, new: next((h for h in sorted(new, key=lambda h: -len(words(s) & words(h))) if plain_identity(s, h) >= ident), None)  # noqa: E731,B023
-        for s in now:
-            h = pick(s, new)
-            if h is None:
-                new.append(s)
-                h = s
-            members[s] = h
-        late = {s: pick(s, new) for s in todo[rows:]}
-        members |= {s: h for s, h in late.items() if h is not None}
-        todo, heads, rounds = [s for s, h in late.items() if h is None], heads + new, rounds + 1
-    assert rounds > 1
-    least = {h: min(s for s, x in members.items() if x == h) for h in heads}
-    got = clustering.cluster_distinct(spark.createDataFrame([(s,) for s in seqs], "v string"), "v", ident, 0.0, word).collect()
-    assert {r["v"]: r["cluster"] for r in got} == {s: least[h] for s, h in members.items()}
+    return seqs
+
+
+@pytest.mark.parametrize("batch,batches", [(1000, 3), (5, 2), (30, 1), (1, 0)])
+@pytest.mark.parametrize("n,rule", [
+    (8, dict(ident=0.85, word=3, shared=1)), (8, dict(ident=0.85, word=3, shared=1, aligned=False)), (40, dict(ident=0.9, word=5, shared=4)),
+    (20, dict(ident=0.8, word=3, shared=1, length_ratio=0.96)), (24, dict(ident=0.85, word=4, shared=2, shorter=True)),
+])
+def test_clusters_are_those_of_one_pass_whatever_the_rounds(spark, monkeypatch, n, rule, batch, batches):
+    monkeypatch.setattr(clustering, "BATCH", batch)
+    monkeypatch.setattr(clustering, "BATCHES", batches)
+    seqs, rule = families(n), clustering.Rule(**rule)
+    want = plain_greedy(seqs, rule)
+    assert dict(zip(seqs, clustering.greedy(seqs, rule), strict=True)) == want and 1 < len(set(want.values())) < len(want)
+    least = {h: min(s for s, x in want.items() if x == h) for h in want.values()}
+    got = clustering.cluster_distinct(spark.createDataFrame([(s,) for s in [*seqs, ""]], "v string"), "v", rule).collect()
+    assert {r["v"]: r["cluster"] for r in got} == {s: least[h] for s, h in want.items()}
+
+
+@pytest.mark.parametrize("batch", [1000, 7])
+def test_clusters_of_sets_have_one_order_and_numbering(spark, monkeypatch, batch):
+    monkeypatch.setattr(clustering, "BATCH", batch)
+    monkeypatch.setattr(clustering, "BATCHES", 1)
+    seqs, rule = families(30, groups=9), clustering.Rule(0.9, word=5, shared=3)
+    names = [f"B{k % 3 if k % 5 else 0}" for k in range(len(seqs))]
+    got = clustering.cluster_sets(make(spark, seqs, anns=[[("BARCODE", b)] for b in names]), word=5, shared=3).collect()
+    assert len(got) == len(seqs)
+    for b in set(names):
+        own = [s for s, x in zip(seqs, names, strict=True) if x == b]
+        heads = plain_greedy(own, rule)
+        number = {h: k for k, h in enumerate(dict.fromkeys(heads.values()), 1)}
+        assert {r["seq"]: r["cluster"] for r in got if r["set_id"] == b} == {s: number[h] for s, h in heads.items()}
 
 
 def test_cluster_sets_leave_out_empty(spark):
