@@ -90,23 +90,12 @@ def pair_reads(run: Run) -> list[str]:
     return done
 
 
-#: References that a plan may take as a parameter.
-MOST_REFERENCES = 100_000
-
-
-def references(run: Run) -> dict[str, str]:
-    rows = IO.read_references(run.spark, run.args.r)
-    if (n := rows.count()) > MOST_REFERENCES:
-        raise SystemExit(f"{run.args.r} has {n} references; at most {MOST_REFERENCES} can be used")
-    return {r["name"]: r["seq"] for r in rows.collect()}
-
-
 def assemble(run: Run) -> list[str]:
     a = run.args
     one, two = run.read(a.s1), run.read(a.s2)
     pairs = pairing.pair(one, two, kind=a.coord)
     mates = assembly.oriented(pairs, a.rc)
-    refs = references(run) if a.r else {}
+    refs = IO.read_references(run.spark, a.r) if a.r else None
     out = {
         "join": lambda: assembly.join(mates, a.gap[0]), "align": lambda: assembly.align(mates, a.alpha, a.maxerror, a.minlen, a.maxlen, a.scanrev),
         "reference": lambda: assembly.reference(mates, refs, a.minident, a.evalue, a.maxhits, a.fill),

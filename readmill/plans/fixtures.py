@@ -41,6 +41,12 @@ SELECT ord, 'M01:1:FC:1:1101:' || ord || ':' || (ord % 1000) AS coord, substr(se
 FROM reads
 """
 
+#: References of the reads' templates, by customer, behind 18 other letters: one letter less or more in the middle of two thirds of them.
+REFERENCES = f"""
+SELECT 'ref' || c_custkey AS name, lead || substr(t, 1, 29) || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN substr(t, 30, 1) ELSE substr(t, 30, 1) || 'A' END || substr(t, 31) AS seq
+FROM (SELECT c_custkey, substr({_dna("md5('w' || c_custkey)")}, 1, 18) AS lead, substr({_dna("md5('t' || c_custkey) || md5('u' || c_custkey)")}, 1, 48) AS t FROM {{customer}})
+"""
+
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")

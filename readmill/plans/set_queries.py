@@ -11,7 +11,8 @@ from readmill.operators import clustering as K
 from readmill.operators import consensus as C
 from readmill.operators import errors as E
 from readmill.operators import pairing as J
-from readmill.plans.fixtures import PRIMERS, mates, oracle, reads
+from readmill.operators import reference as R
+from readmill.plans.fixtures import PRIMERS, REFERENCES, mates, oracle, reads
 from readmill.sources import sequence_files as IO
 
 QUERIES: dict = {}
@@ -288,18 +289,45 @@ def m2(spark, d):
 
 
 def _references(spark, d):
-    rows = reads(spark, d).where("ord < 200 and seq not like '%N%'").select("ord", "seq").orderBy("ord")
-    return {f"ref{r['ord']}": r["seq"] for r in rows.collect()}  # a fixed, small set of references, which a plan takes as a parameter
+    """A reference for each customer: its reads' template, with a letter less or more in two thirds of them."""
+    rows = spark.sql(REFERENCES, customer=spark.read.parquet(f"{d}/customer.parquet"))
+    return rows.select("name", "seq")
+
+
+WORD_COUNTS = f"""
+, refs AS ({REFERENCES.replace("{customer}", "customer")}),
+side AS (SELECT coord, 'h' AS side, seq1 AS s FROM mates WHERE ord % 10 <> 0 UNION ALL SELECT coord, 't', reverse(translate(seq2, 'ACGT', 'TGCA')) FROM mates WHERE ord % 10 <> 0),
+q AS (SELECT DISTINCT s FROM side), qw AS (SELECT s, i, substr(s, CAST(i AS INT), 9) AS w FROM q, unnest(range(1, 33)) u(i)), rw AS (SELECT name, i, substr(seq, CAST(i AS INT), 9) AS w FROM refs, unnest(range(1, 60)) u(i)),
+c AS (SELECT s, name, rw.i - qw.i AS shift, count(*) AS c FROM qw JOIN rw USING (w) WHERE length(w) = 9 AND w NOT LIKE '%N%' GROUP BY ALL),
+seeds AS (SELECT s, name, sum(c) AS shared, arg_min(shift, struct_pack(c := -c, shift := shift)) AS shift FROM c GROUP BY ALL)
+"""
+
+
+@query("m6_reference_seeds", WORD_COUNTS + "SELECT s AS seq, name, CAST(shared AS BIGINT) AS shared, CAST(shift AS INT) AS shift FROM seeds")
+def m6_seeds(spark, d):
+    both = _mates(spark, d)
+    texts = both.select(F.col("h_seq").alias("seq")).unionByName(both.select(F.col("t_seq").alias("seq"))).distinct().withColumn("query", F.col("seq"))
+    return R.seeds(texts, R.clean(_references(spark, d))).select(F.col("query").alias("seq"), "name", "shared", "shift")
+
+
+@query("j5_common_references", WORD_COUNTS + """
+SELECT coord, count(*) AS n, min(h.name) AS first FROM (SELECT coord, name FROM side JOIN seeds USING (s) WHERE side = 'h') AS h JOIN (SELECT coord, name FROM side JOIN seeds USING (s) WHERE side = 't') AS t USING (coord, name) GROUP BY coord""")
+def j5(spark, d):
+    both, refs = _mates(spark, d), R.clean(_references(spark, d))
+    texts = both.select(F.col("h_seq").alias("query"), F.col("h_seq").alias("seq")).unionByName(both.select("t_seq", "t_seq").toDF("query", "seq")).distinct()
+    found = R.seeds(texts, refs).select("query", "name")
+    head, tail = (both.select("coord", F.col(c).alias("query")).join(found, "query").select("coord", "name") for c in ("h_seq", "t_seq"))
+    return head.join(tail, ["coord", "name"]).groupBy("coord").agg(F.count("*").alias("n"), F.min("name").alias("first"))
 
 
 @query("m6_assemble_reference")
 def m6(spark, d):
-    return M.reference(_mates(spark, d), _references(spark, d)).select("coord", "seq", "overlap", "valid")
+    return M.reference(_mates(spark, d), _references(spark, d), evalue=1e-3).select("coord", "seq", "overlap", "valid", "ref")
 
 
 @query("m7_assemble_sequential")
 def m7(spark, d):
-    return M.sequential(_mates(spark, d), _references(spark, d), alpha=1e-6).select("coord", "seq", "overlap", "valid")
+    return M.sequential(_mates(spark, d), _references(spark, d), alpha=1e-6, evalue=1e-3).select("coord", "seq", "overlap", "valid", "ref")
 
 
 @query("k4_fastq_text", "SELECT '@' || header || chr(10) || seq || chr(10) || '+' || chr(10) || qual AS value FROM reads")

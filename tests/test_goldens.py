@@ -10,7 +10,7 @@ from readmill.functions import sequence as S
 from readmill.operators import alignment, assembly, clustering, collapse, errors
 from readmill.operators import consensus as C
 from readmill.operators import primers as P
-from readmill.operators import split, unify
+from readmill.operators import reference, split, unify
 from readmill.schema import READS
 
 
@@ -320,13 +320,74 @@ def test_mid_p():
     assert p[4] == pytest.approx(0.25**4 / 2) and p[0] == pytest.approx(1 - 0.75**4 / 2)
 
 
-def test_reference_assembly():
+def plain_local(read, ref, match=1.0, mismatch=-2.0, gap=2.5):
+    """Score of the best local alignment, and the place of the reference's letter for each letter of the read in one such."""
+    h = np.zeros((len(read) + 1, len(ref) + 1))
+    for i in range(1, len(read) + 1):
+        for j in range(1, len(ref) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (match if read[i - 1] == ref[j - 1] != "N" else mismatch), h[i - 1, j] - gap, h[i, j - 1] - gap)
+    return h.max()
+
+
+def mutated(rng, text, changes):
+    out = list(text)
+    for _ in range(changes):
+        at, kind = int(rng.integers(5, len(out) - 5)), rng.integers(0, 3)
+        out[at : at + (kind < 2)] = ["", rng.choice(list("ACGT")), rng.choice(list("ACGT"))][kind]
+    return "".join(out)
+
+
+def test_gapped_extension_against_plain_tables():
+    rng = np.random.default_rng(3)
+    refs = ["".join(rng.choice(list("ACGT"), int(n))) for n in rng.integers(60, 200, 60)]
+    reads, shifts = [], []
+    for k, ref in enumerate(refs):
+        at = int(rng.integers(0, len(ref) - 50))
+        reads.append("GATTACA" * (k % 5 == 0) + mutated(rng, ref[at : at + 50], k % 5) + "N" * (k % 3))
+        shifts.append(at - 7 * (k % 5 == 0))
+    score, q_start, q_end, t_start, t_end = reference.extended(reads, refs, np.array(shifts))
+    assert score.tolist() == [plain_local(r, t) for r, t in zip(reads, refs, strict=True)]
+    for k, (read, ref) in enumerate(zip(reads, refs, strict=True)):  # what lies between the ends has that score by itself, ends matching
+        own, other = read[q_start[k] : q_end[k]], ref[t_start[k] : t_end[k]]
+        assert plain_local(own, other) == score[k] and own[0] == other[0] and own[-1] == other[-1]
+
+
+def test_reference_assembly(spark):
     rng = np.random.default_rng(2)
-    ref = "".join(rng.choice(list("ACGT"), 200))
-    index = assembly.References({"r": ref})
-    got = assembly.by_reference(ref[10:60], None, ref[80:140], None, index, 0.5, 1e-5, 100, False)
-    assert got[0] == ref[10:60] + "N" * 20 + ref[80:140] and got[6]
-    assert assembly.by_reference(ref[10:60], None, ref[80:140], None, index, 0.5, 1e-5, 100, True)[0] == ref[10:140]
+    refs = {f"r{k}": "".join(rng.choice(list("ACGT"), 200)) for k in range(4)}
+    refs["twin"] = refs["r0"][:100] + "".join(rng.choice(list("ACGT"), 100))  # as good for the head, but not for the tail
+    a = refs["r0"]
+    gone, more = a[10:40] + a[41:71], a[80:100] + "G" + a[100:140]
+    rows = [
+        ("apart", a[10:60], a[80:140]), ("overlap", a[10:70], a[50:110]), ("gapped", gone, more), ("none", "".join(rng.choice(list("ACGT"), 60)), a[80:140]),
+        ("other", refs["r1"][:50], refs["r2"][60:110]), ("turned", a[120:170], a[20:70]), ("short", "ACG", a[:50]), ("lower", a[10:60], a[80:140]), ("empty", "", ""),
+    ]
+    mates = spark.createDataFrame([(n, h, "I" * len(h), t, "5" * len(t)) for n, h, t in rows], "coord string, h_seq string, h_qual string, t_seq string, t_qual string")
+    known = spark.createDataFrame([(n, s.lower() if n == "r3" else s[:90] + "." + s[90:]) for n, s in refs.items()], "name string, seq string")
+    got = {r["coord"]: r for r in assembly.reference(mates, known).collect()}
+    assert len(got) == len(rows)
+    assert got["apart"]["seq"] == a[10:60] + "N" * 20 + a[80:140] and got["apart"]["valid"] and got["apart"]["ref"] == "r0"
+    assert got["overlap"]["seq"] == a[10:110] and got["overlap"]["overlap"] == 20 and got["overlap"]["error"] == 0
+    assert got["turned"]["seq"] == a[20:70] + "N" * 50 + a[120:170] and got["turned"]["overlap"] == -50
+    assert got["gapped"]["ref"] == "r0" and got["gapped"]["valid"] and got["gapped"]["evalue_1"] < 1e-5  # each mate has a gap, and is placed by its first letters
+    assert got["gapped"]["seq"] == gone + "N" * (80 - 70) + more
+    assert [got[n]["valid"] for n in ("none", "other", "short", "empty")] == [False] * 4
+    filled = {r["coord"]: r["seq"] for r in assembly.reference(mates, known, fill=True).collect()}
+    assert filled["apart"] == a[10:140] and filled["turned"] == a[20:170]
+    again = {r["coord"]: r for r in assembly.sequential(mates, known, alpha=1e-9).collect()}
+    assert again["overlap"]["ref"] is None and again["overlap"]["valid"] and again["apart"]["ref"] == "r0" and len(again) == len(rows)
+
+
+def test_hits_of_repeated_words_are_ranked(spark):
+    rng = np.random.default_rng(6)
+    base = "".join(rng.choice(list("ACGT"), 120))
+    refs = [(f"n{k}", mutated(rng, base, k)) for k in range(8)]
+    queries = [(k, mutated(rng, base[20:90], k % 4)) for k in range(12)]
+    got = reference.hits(spark.createDataFrame(queries, "query bigint, seq string"), spark.createDataFrame(refs, "name string, seq string"), 1e-5, 3).collect()
+    for k, text in queries:
+        own = sorted((r["rank"], r["score"], r["name"]) for r in got if r["query"] == k)
+        scores = {n: plain_local(text, s) for n, s in refs}
+        assert [s for _, s, _ in own] == sorted((scores[n] for _, _, n in own), reverse=True) and all(scores[n] == s for _, s, n in own) and len(own) == 3
 
 
 def test_multiple_alignment():
