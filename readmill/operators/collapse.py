@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,34 +86,79 @@ def letters_agree(a: Column, b: Column) -> Column:
     return F.forall(F.zip_with(chars(a), chars(b), same), lambda x: x)
 
 
-#: Interleaved parts of a read, of which those with a letter that isn't a base are left out when reads are matched.
-PARTS = 6
+#: Letters that aren't bases which a key may have and still be matched by its parts; deals of what is compared without.
+MOST_HIDDEN, DEALS = 8, 16
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), k)
+
+
+def _indexed(keys: DataFrame) -> tuple[DataFrame, int]:
+    """keys with `parts` (interleaved letters), `hidden` (bits of the parts with other letters than bases) and `far`, and the number of parts.
+
+    Two keys hide a part for each such letter at most, so with two parts more than both can hide, every pair that isn't far
+    has two parts that neither hides.
+    """
+    letters = F.length(F.regexp_replace("_key", "[ACGT]", ""))
+    keys = keys.withColumn("far", letters > MOST_HIDDEN)
+    most = keys.where("not far").agg(F.max(letters)).first()[0] or 0
+    parts = max(6, 2 * most + 2)
+    take = lambda k: lambda c, i: i % parts == k
+    keys = keys.withColumn("parts", F.array(*(F.array_join(F.filter(chars(F.col("_key")), take(k)), "") for k in range(parts))))
+    hidden = F.aggregate(F.transform("parts", lambda x, k: F.when(x.rlike("[^ACGT]"), _bit(k)).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    return keys.withColumn("hidden", hidden), parts
+
+
+def _lowest(hidden: Column, i: Column, j: Column) -> Column:
+    """Whether i < j are the two lowest parts that aren't hidden, of two that aren't."""
+    below = _bit(j) - 1
+    return hidden.bitwiseAND(below) == below - _bit(i)
 
 
-def _indexed(keys: DataFrame) -> DataFrame:
-    """keys with `hidden` (bits of the parts that have other letters than bases) and `parts` (the letters of each part)."""
-    letters = chars(F.col("_key"))
-    take = lambda k: lambda c, i: i % PARTS == k
-    part = [F.array_join(F.filter(letters, take(k)), "") for k in range(PARTS)]
-    hidden = sum((F.when(x.rlike("[^ACGT]"), 1 << k).otherwise(0) for k, x in enumerate(part)), F.lit(0))
-    return keys.withColumn("parts", F.array(*part)).withColumn("hidden", hidden)
+def _candidates(left: DataFrame, right: DataFrame, parts: int, complete: bool) -> DataFrame:
+    """x, y and the key of pairs, none of them far, that have equal letters in the two lowest parts which neither hides, y before x.
+
+    A key stands for two parts and their letters, so what meets there is alike.  complete: right keys hide nothing, so a
+    left key needs only the two lowest parts that it shows itself, and right keys go only to those of their length and fields.
+    """
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(parts) for i in range(j)))
+    group = ["_n", "uniq"]
+    shown = F.concat_ws("|", F.get("parts", F.col("at.i")), F.get("parts", F.col("at.j")))
+    free = (F.getbit("hidden", F.col("at.i")) == 0) & (F.getbit("hidden", F.col("at.j")) == 0)
+    key = F.struct("_missing", "_ord", "_key", "_uniq")
+    left, right = (side.where("not far").withColumn("uniq", F.to_json(F.struct("_uniq"))) for side in (left, right))
+    x = left.withColumn("at", F.explode(pairs)).where(free & (_lowest(F.col("hidden"), F.col("at.i"), F.col("at.j")) if complete else F.lit(True)))
+    x = x.select(*group, "at", shown.alias("shown"), F.col("hidden").alias("x_hidden"), key.alias("x"))
+    if complete:
+        needed = x.groupBy(*group).agg(F.collect_set("at").alias("needed"))  # as many as pairs of parts at most
+        y = right.join(needed, group).withColumn("at", F.explode("needed"))
+    else:
+        y = right.withColumn("at", F.explode(pairs)).where(free)
+    y = y.select(*group, "at", shown.alias("shown"), F.col("hidden").alias("y_hidden"), key.alias("y"))
+    both = x.join(y, [*group, "at", "shown"])
+    return both.where(_lowest(F.col("x_hidden").bitwiseOR(F.col("y_hidden")), F.col("at.i"), F.col("at.j")) & (F.col("y") < F.col("x")))
 
 
-def _agreeing(left: DataFrame, right: DataFrame, masks: list[int]) -> DataFrame:
+def _agreeing(left: DataFrame, right: DataFrame, parts: int, complete: bool) -> DataFrame:
     """(x, y) structs of left and right keys of one length and uniq_fields that agree, y before x.
 
-    Two keys that agree are equal in all parts that neither hides, so each goes to every mask of `masks` that covers what it
-    hides, with the letters of the other parts; a pair meets at the mask that is what the two hide together.
+    Keys with more than MOST_HIDDEN letters that aren't bases are compared with all of their length and fields, in deals.
     """
+    both = _candidates(left, right, parts, complete).select("x", "y")
+    if not left.where("far").isEmpty():
+        key = F.struct("_missing", "_ord", "_key", "_uniq")
 
-    def spread(side: DataFrame, name: str) -> DataFrame:
-        rows = side.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).where(F.col("hidden").bitwiseAND(F.bitwise_not("mask")) == 0)
-        shown = F.array_join(F.transform("parts", lambda p, i: F.when(F.getbit("mask", i) == 0, p).otherwise("*")), "|")
-        return rows.select("mask", shown.alias("shown"), "_n", F.to_json(F.struct("_uniq")).alias("uniq"), F.col("hidden").alias(f"{name}_hidden"), F.struct("_missing", "_ord", "_key", "_uniq").alias(name))
+        def side(rows: DataFrame, name: str, dealt: bool) -> DataFrame:
+            deal = F.pmod(F.xxhash64("_key"), F.lit(DEALS)).cast("int") if dealt else F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))
+            return rows.select(deal.alias("deal"), "_n", F.to_json(F.struct("_uniq")).alias("uniq"), key.alias(name))
 
-    both = spread(left, "x").join(spread(right, "y"), ["mask", "shown", "_n", "uniq"])
-    both = both.where((F.col("mask") == F.col("x_hidden").bitwiseOR(F.col("y_hidden"))) & (F.col("y") < F.col("x")))
-    return both.where(letters_agree(F.col("x._key"), F.col("y._key"))).select("x", "y")
+        on = ["deal", "_n", "uniq"]
+        far = side(left.where("far"), "x", True).join(side(right, "y", False), on)
+        if not complete:
+            far = far.unionByName(side(left.where("not far"), "x", False).join(side(right.where("far"), "y", True), on))
+        both = both.unionByName(far.where(F.col("y") < F.col("x")).select("x", "y"))
+    return both.where(letters_agree(F.col("x._key"), F.col("y._key")))
 
 
 def _owners(same: DataFrame) -> DataFrame:
@@ -124,16 +168,15 @@ def _owners(same: DataFrame) -> DataFrame:
     what is left depends on the order among itself and is settled in rounds: a key whose first neighbour that isn't a
     member is a head becomes its member, and one without such a neighbour becomes a head.  Rounds are checkpointed.
     """
-    keys = checkpointed(_indexed(same))
-    unclear = keys.where("_missing > 0")
-    hidden = {r["hidden"] for r in keys.select("hidden").distinct().collect()}  # 64 at most
-    masks = sorted({a | b for a in hidden for b in hidden})
-    led = _agreeing(unclear, keys.where("_missing = 0"), masks).groupBy("x").agg(F.min("y").alias("y"))
+    keys, parts = _indexed(checkpointed(same))
+    keys = checkpointed(keys)
+    unclear, clear = keys.where("_missing > 0"), keys.where("_missing = 0")
+    led = _agreeing(unclear, clear, parts, clear.where("hidden > 0 or far").isEmpty()).groupBy("x").agg(F.min("y").alias("y"))
     settled = checkpointed(led.select("x._key", "x._uniq", F.col("y._key").alias("_head")))
     heads = keys.where("_missing = 0").select("_key", "_uniq", F.col("_key").alias("_head"))
     on = lambda a, b: (a["_key"] == b["_key"]) & a["_uniq"].eqNullSafe(b["_uniq"])
     rest = unclear.join(settled, on(unclear, settled), "left_anti")
-    edges = checkpointed(_agreeing(rest, rest, masks))
+    edges = checkpointed(_agreeing(rest, rest, parts, False))
     now = checkpointed(rest.select(F.struct("_missing", "_ord", "_key", "_uniq").alias("x"), F.lit(None).cast("string").alias("_head")))
     while not now.where("_head is null").isEmpty():
         of_y = now.select(F.col("x").alias("y"), F.col("_head").alias("head_of_y"))

@@ -131,6 +131,32 @@ def test_ambiguous_collapse_against_a_loop(spark, letters, p, n):
     assert {r["seq"]: r["dupcount"] for r in got} == count
 
 
+def test_ambiguous_collapse_of_very_unclear_reads(spark, monkeypatch):
+    """Reads with more unclear letters than parts can tell apart are compared without parts; the outcome is the same."""
+    monkeypatch.setattr(collapse, "MOST_HIDDEN", 1)
+    test_ambiguous_collapse_against_a_loop(spark, "ACRYN", [0.4, 0.4, 0.05, 0.05, 0.1], 7)
+    monkeypatch.setattr(collapse, "MOST_HIDDEN", 0)
+    test_ambiguous_collapse_against_a_loop(spark, "ACGN", [0.35, 0.3, 0.2, 0.15], 5)
+
+
+def test_no_key_of_ambiguous_collapse_holds_a_length(spark):
+    """Reads that hide letters anywhere, so that together they hide every part of six: no key has more than a few of the pairs."""
+    rng = np.random.default_rng(11)
+    seqs = []
+    for k in range(4000):
+        s = rng.choice(list("ACGT"), 60)
+        if k % 2:
+            s[rng.choice(60, 3, replace=False)] = "N"
+        seqs.append("".join(s))
+    rows = [(s, [], 60, s.count("N"), k) for k, s in enumerate(seqs)]
+    keys, parts = collapse._indexed(spark.createDataFrame(rows, "_key string, _uniq array<string>, _n int, _missing int, _ord bigint"))
+    unclear, clear = keys.where("_missing > 0"), keys.where("_missing = 0")
+    for left, right, complete in ((unclear, clear, True), (unclear, unclear, False)):
+        met = collapse._candidates(left, right, parts, complete)
+        assert met.count() < 200
+        assert all(r["count"] < 10 for r in met.groupBy("_n", "uniq", "at", "shown").count().collect())
+
+
 def field(k, v):
     return [(k, v)]
 
