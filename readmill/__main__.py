@@ -164,8 +164,8 @@ def estimate_error(run: Run) -> list[str]:
         return [run.table(found, a.s, "distance-barcode"), run.table(threshold(errors.distance_threshold(found)), a.s, "threshold-barcode")]
     sets = errors.usable_sets(reads, a.f[0], a.n or 20, a.maxdiv)
     plain = sets.drop("set_n")
-    places = consensus.frequency_consensus(plain, a.freq) if a.mode == "freq" else consensus.quality_consensus(plain, a.q, a.freq)
-    letters = errors.compared(sets, places.select("set_id", "pos", "ch"))
+    found = consensus.frequency_sets(plain, a.freq) if a.mode == "freq" else consensus.quality_sets(plain, a.q, a.freq)
+    letters = errors.compared(sets, found)
     tables = {"position": errors.error_table(letters, "pos"), "quality": errors.error_table(letters, "q"), "set": errors.error_table(letters, "set_n"), "nucleotide": errors.nucleotide_table(letters), "distance-set": errors.set_distances(sets)}
     paths = [run.table(t, a.s, f"error-{k}", "NA") for k, t in tables.items()]
     return [*paths, run.table(threshold(errors.set_threshold(tables["distance-set"])), a.s, "threshold-set")]

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
 from readmill.functions import sequence as S
-from readmill.schema import MISSING, chars
+from readmill.operators import profiles
+from readmill.schema import MISSING, chars, checkpointed
 
 #: Letters that can stand in a read; their number bounds what a position aggregates to.
 LETTERS = "ACGTURYSWKMBDHVN-."
+#: Reads of a set that one task counts.
+MOST_READS = 10_000
 
 
 def with_set(reads: DataFrame, field: str = "BARCODE") -> DataFrame:
@@ -50,13 +53,46 @@ def _sizes(sets: DataFrame) -> DataFrame:
     return sets.groupBy("set_id").agg(F.count("*").alias("set_n"))
 
 
-def quality_consensus(sets: DataFrame, least_quality: int = 0, least_freq: float = 0.6, dependent: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+def _consensus(sets: DataFrame, kernel: Callable, places: Callable[[DataFrame], DataFrame], quality: bool) -> DataFrame:
+    """set_id, seq, qual of each set: a set of up to MOST_READS reads is counted in arrays by the task that has them all, larger
+    ones as sums by place and letter, which are combined before they are shuffled."""
+    crowded = checkpointed(sets.groupBy("set_id").count().where(F.col("count") > MOST_READS).select("set_id"))
+    n = crowded.count()
+    sent = F.broadcast(crowded) if n <= 100_000 else crowded
+    few = sets.join(sent, "set_id", "left_anti") if n else sets
+    rows = few.select("set_id", F.upper("seq").alias("seq"), "qual").repartition("set_id").sortWithinPartitions("set_id")
+    out = rows.mapInArrow(profiles.by_sets(kernel), "set_id string, seq string, qual string")
+    return out.unionByName(assembled(places(sets.join(sent, "set_id", "left_semi")), quality)) if n else out
+
+
+def _places(sets: DataFrame, quality: bool) -> DataFrame:
+    """set_id, pos, ch (and q) of sets' consensus texts."""
+    each = F.arrays_zip(chars(F.col("seq")).alias("ch"), S.phred(F.col("qual")).alias("q")) if quality else F.transform(chars(F.col("seq")), lambda c: F.struct(c.alias("ch")))
+    return sets.select("set_id", F.posexplode(each).alias("pos", "x")).select("set_id", "pos", "x.*")
+
+
+def quality_sets(sets: DataFrame, least_quality: int = 0, least_freq: float = 0.6, dependent: bool = False) -> DataFrame:
+    """set_id, seq, qual: quality_consensus as texts."""
+    kernel = profiles.consensus_kernel(True, least_quality, least_freq, dependent)
+    return _consensus(sets, kernel, lambda x: _quality_places(x, least_quality, least_freq, dependent), True)
+
+
+def frequency_sets(sets: DataFrame, least_freq: float = 0.6) -> DataFrame:
+    """set_id, seq, qual (null): frequency_consensus as texts."""
+    return _consensus(sets, profiles.consensus_kernel(False, 0, least_freq, False), lambda x: _frequency_places(x, least_freq), False)
+
+
+def quality_consensus(sets: DataFrame, least_quality: int = 0, least_freq: float = 0.6, dependent: bool = False) -> DataFrame:
     """set_id, pos, ch, q of each set's consensus.
 
     Of the letters at a place that aren't missing, the one with the largest quality wins (the first of ties): the square of
     its sum (dependent: its largest times its sum) over the sum of all, as whole numbers; it is capped at 90.  Too low a quality or
     share of letters gives N.  In a set of one read only the quality counts.
     """
+    return _places(quality_sets(sets, least_quality, least_freq, dependent), True)
+
+
+def _quality_places(sets: DataFrame, least_quality: int, least_freq: float, dependent: bool) -> DataFrame:
     known = ~F.col("ch").isin(*MISSING)
     num = F.col("sum_q").cast("double") * F.col("max_q" if dependent else "sum_q")
     total = letter_sums(sets).groupBy("set_id", "pos").agg(
@@ -64,7 +100,7 @@ def quality_consensus(sets: DataFrame, least_quality: int = 0, least_freq: float
         F.collect_list(F.when(known, F.struct("ch", "n", num.alias("num")))).alias("letters"),
     )
     scored = F.transform("letters", lambda x: F.struct((-F.floor(x["num"] / F.greatest("all_q", F.lit(1)))).cast("bigint").alias("q"), x["ch"].alias("ch"), (x["n"] / F.col("all_n")).alias("freq")))
-    best = total.withColumn("best", F.array_min(scored)).join(sizes if sizes is not None else _sizes(sets), "set_id")
+    best = total.withColumn("best", F.array_min(scored)).join(_sizes(sets), "set_id")
     q = F.least(-F.col("best.q"), F.lit(90))
     bad = F.col("best").isNull() | (q < least_quality) | ((F.col("set_n") > 1) & (F.col("best.freq") < least_freq))
     return best.select("set_id", "pos", F.when(bad, F.lit("N")).otherwise(F.col("best.ch")).alias("ch"), F.when(bad, F.lit(0)).otherwise(q).cast("int").alias("q"))
@@ -72,6 +108,10 @@ def quality_consensus(sets: DataFrame, least_quality: int = 0, least_freq: float
 
 def frequency_consensus(sets: DataFrame, least_freq: float = 0.6) -> DataFrame:
     """set_id, pos, ch: each set's most frequent letter that isn't missing (the first of ties), N if it is too rare; a set of one read is the read."""
+    return _places(frequency_sets(sets, least_freq), False)
+
+
+def _frequency_places(sets: DataFrame, least_freq: float) -> DataFrame:
     known = ~F.col("ch").isin(*MISSING)
     places = letter_sums(sets).groupBy("set_id", "pos").agg(
         F.sum(F.when(known, F.col("n"))).alias("all_n"), F.min(F.when(known, F.struct((-F.col("n")).alias("n"), "ch"))).alias("best"), F.min("ch").alias("only")
@@ -95,7 +135,9 @@ def assembled(places: DataFrame, quality: bool = True) -> DataFrame:
 
 
 def by_set(places: DataFrame) -> DataFrame:
-    """set_id, refs: consensus letters as an array by place, null where there is none."""
+    """set_id, refs: consensus letters as an array by place, null where there is none; of places, or of consensus texts."""
+    if "seq" in places.columns:
+        return places.select("set_id", chars(F.col("seq")).alias("refs"))
     known = F.map_from_entries(F.collect_list(F.struct("pos", "ch")))
     out = places.groupBy("set_id").agg(known.alias("_at"), F.max("pos").alias("_last"))
     return out.select("set_id", F.transform(F.sequence(F.lit(0), "_last"), lambda i: F.element_at("_at", i)).alias("refs"))
@@ -158,10 +200,11 @@ def build(reads: DataFrame, field: str = "BARCODE", least_count: int = 1, least_
     if places_of:
         places = places_of(sets)
     else:
-        places = quality_consensus(sets, least_quality, least_freq, dependent) if quality else frequency_consensus(sets, least_freq)
+        places = quality_sets(sets, least_quality, least_freq, dependent) if quality else frequency_sets(sets, least_freq)
     if most_gap is not None:
+        places = _places(places, quality) if "seq" in places.columns else places
         places = places.join(gap_positions(sets, most_gap), ["set_id", "pos"], "left_anti")
-    out = assembled(places, quality).join(counts, "set_id")
+    out = (places if "seq" in places.columns else assembled(places, quality)).join(counts, "set_id")
     if most_diversity is not None:
         out = out.join(diversity(sets).where(F.col("diversity") <= most_diversity), "set_id", "left_semi")
     if most_error is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from readmill.functions import annotation as A
 from readmill.functions import sequence as S
 from readmill.operators import consensus as C
-from readmill.schema import MISSING, chars
+from readmill.operators import profiles
 
 
 def usable_sets(reads: DataFrame, field: str = "BARCODE", least: int = 20, most_diversity: float | None = None) -> DataFrame:
@@ -26,16 +26,13 @@ def usable_sets(reads: DataFrame, field: str = "BARCODE", least: int = 20, most_
 
 
 def compared(sets: DataFrame, consensus: DataFrame) -> DataFrame:
-    """pos, obs, ref, q, set_n, wrong: one row a letter, where neither it nor the consensus is missing; N and gaps never differ.
+    """pos, obs, ref, q, set_n, wrong, n: how often letters met the consensus, where neither is missing; N and gaps never differ.
 
-    A set's consensus meets each of its reads as one array, so letters are never shuffled.
+    A set's consensus (set_id, seq) meets each of its reads as one text, and tasks give sums of equal letters.
     """
-    joined = sets.join(C.by_set(consensus), "set_id")
-    each = F.arrays_zip(chars(F.upper("seq")).alias("ch"), S.phred(F.coalesce("qual", F.lit(""))).alias("q"), F.col("refs").alias("ref"))
-    letters = joined.select("set_id", "set_n", F.posexplode(each).alias("pos", "x")).select("set_id", "pos", F.col("x.ch").alias("obs"), F.col("x.ref").alias("ref"), F.coalesce("x.q", F.lit(0)).alias("q"), "set_n")
-    known = letters.where(~F.col("obs").isin(*MISSING) & ~F.col("ref").isin(*MISSING))
-    differ = S.mask_of(F.col("obs")).bitwiseAND(S.mask_of(F.col("ref"))) == 0
-    return known.withColumn("wrong", F.when(F.col("obs") == F.col("ref"), False).otherwise(differ))
+    refs = consensus.select("set_id", F.col("seq").alias("ref"))
+    joined = sets.join(refs, "set_id").select(F.upper("seq").alias("seq"), "qual", "ref", F.col("set_n").cast("bigint").alias("set_n"))
+    return joined.mapInArrow(profiles.compare, "pos int, obs string, ref string, q int, set_n bigint, wrong boolean, n bigint")
 
 
 def _rates(counts: DataFrame, *keys: str) -> DataFrame:
@@ -45,14 +42,14 @@ def _rates(counts: DataFrame, *keys: str) -> DataFrame:
 
 def error_table(letters: DataFrame, by: str) -> DataFrame:
     """mismatch, total, q_sum, error, empirical_q and reported_q by position (pos), quality (q) or size of the set (set_n)."""
-    return _rates(letters.groupBy(by).agg(F.sum(F.col("wrong").cast("int")).alias("mismatch"), F.count("*").alias("total"), F.sum("q").alias("q_sum")), by)
+    return _rates(letters.groupBy(by).agg(F.sum(F.when(F.col("wrong"), F.col("n")).otherwise(0)).alias("mismatch"), F.sum("n").alias("total"), F.sum(F.col("q") * F.col("n")).alias("q_sum")), by)
 
 
 def nucleotide_table(letters: DataFrame) -> DataFrame:
     """ref, obs and rates of each pair of different bases; totals are those of the reference base among observed letters, and the rate counts three ways to be wrong."""
     base = F.col("ref").isin(*"ACGT") & F.col("obs").isin(*"ACGT")
-    pairs = letters.where(base & (F.col("ref") != F.col("obs"))).groupBy("ref", "obs").agg(F.count("*").alias("mismatch"))
-    totals = letters.where(base).groupBy(F.col("obs").alias("ref")).agg(F.count("*").alias("total"), F.sum("q").alias("q_sum"))
+    pairs = letters.where(base & (F.col("ref") != F.col("obs"))).groupBy("ref", "obs").agg(F.sum("n").alias("mismatch"))
+    totals = letters.where(base).groupBy(F.col("obs").alias("ref")).agg(F.sum("n").alias("total"), F.sum(F.col("q") * F.col("n")).alias("q_sum"))
     out = _rates(pairs.join(totals, "ref"), "ref", "obs")
     return out.withColumn("error", F.col("error") * 3).withColumn("empirical_q", -10 * F.log10("error"))
 

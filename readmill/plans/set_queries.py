@@ -75,17 +75,17 @@ def b3(spark, d):
 
 @query("b5_quality_consensus", QUALITY + SEQS.format(more=", string_agg(chr(CAST(q + 33 AS INT)), '' ORDER BY pos) AS qual"))
 def b5(spark, d):
-    return C.assembled(C.quality_consensus(_sets(spark, d), 20, 0.6))
+    return C.quality_sets(_sets(spark, d), 20, 0.6)
 
 
 @query("b5_quality_consensus_dependent", LETTERS.format(where="true") + QUAL.format(num="sq * mq", mq=0, mf=0.8) + SEQS.format(more=", string_agg(chr(CAST(q + 33 AS INT)), '' ORDER BY pos) AS qual"))
 def b5d(spark, d):
-    return C.assembled(C.quality_consensus(_sets(spark, d), 0, 0.8, dependent=True))
+    return C.quality_sets(_sets(spark, d), 0, 0.8, dependent=True)
 
 
 @query("b6_frequency_consensus", LETTERS.format(where="true") + FREQ.format(mf=0.6) + SEQS.format(more=""))
 def b6(spark, d):
-    return C.assembled(C.frequency_consensus(_sets(spark, d), 0.6), quality=False).select("set_id", "seq")
+    return C.frequency_sets(_sets(spark, d), 0.6).select("set_id", "seq")
 
 
 @query("b7_gap_positions", LETTERS.format(where="true") + "SELECT set_id, pos FROM (SELECT set_id, pos, sum(CASE WHEN ch <> 'N' THEN n ELSE 0 END) AS bases FROM l GROUP BY ALL) JOIN sz USING (set_id) WHERE set_n > 1 AND 1 - bases / set_n > 0.15")
@@ -106,7 +106,7 @@ def b8(spark, d):
 SELECT set_id, round(CASE WHEN count(*) < 2 THEN 0 WHEN sum(least(a, b)) = 0 THEN 1 ELSE 1 - sum(same) / sum(least(a, b)) END, 6) AS error FROM r GROUP BY set_id""")
 def b9(spark, d):
     sets = _sets(spark, d)
-    return C.set_error(sets, C.quality_consensus(sets, 20, 0.6)).select("set_id", F.round("error", 6).alias("error"))
+    return C.set_error(sets, C.quality_sets(sets, 20, 0.6)).select("set_id", F.round("error", 6).alias("error"))
 
 
 @query("b12_build_consensus", LETTERS.format(where="barcode IN (SELECT barcode FROM reads GROUP BY barcode HAVING count(*) >= 5)") + QUAL.format(num="sq * sq", mq=0, mf=0.6) + """
@@ -154,7 +154,7 @@ RATES = "sum(wrong) AS mismatch, count(*) AS total, sum(q) AS q_sum, round(CASE
 
 def _compared(spark, d):
     sets = E.usable_sets(reads(spark, d), least=5)
-    return E.compared(sets, C.frequency_consensus(sets.drop("set_n")))
+    return E.compared(sets, C.frequency_sets(sets.drop("set_n")))
 
 
 def _rounded(df):

@@ -55,6 +55,28 @@ def test_set_error_and_gaps(five):
     assert text(places) == "CGGCAA"
 
 
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_consensus_of_arrays_is_that_of_sums(spark, monkeypatch, most):
+    """Sets of many sizes and lengths, odd letters, missing qualities: counted in arrays, or (crowded ones) as sums by place and letter."""
+    monkeypatch.setattr(C, "MOST_READS", most)
+    monkeypatch.setattr(C.profiles, "LETTERS", 200)
+    rng = np.random.default_rng(9)
+    seqs, quals, sets = [], [], []
+    for k in range(300):
+        n = int(rng.integers(0, 12)) if k % 3 else 9
+        seqs.append("".join(rng.choice(list("ACGTNacgt-.RX"), n)))
+        quals.append(q(rng.integers(0, 42, n)) if k % 7 else None)
+        sets.append(f"S{min(k % 40, int(rng.integers(0, 40)))}")
+    rows = [("t", i, f"R{i}", f"R{i}", [], s, x, b) for i, (s, x, b) in enumerate(zip(seqs, quals, sets, strict=True))]
+    reads = spark.createDataFrame(rows, READS + ", set_id string").repartition(3)
+    for dependent in (False, True):
+        want = {r["set_id"]: (r["seq"], r["qual"]) for r in C.assembled(C._quality_places(reads, 5, 0.5, dependent)).collect()}
+        assert {r["set_id"]: (r["seq"], r["qual"]) for r in C.quality_sets(reads, 5, 0.5, dependent).collect()} == want
+    want = {r["set_id"]: r["seq"] for r in C.assembled(C._frequency_places(reads, 0.5), False).collect()}
+    assert {r["set_id"]: r["seq"] for r in C.frequency_sets(reads, 0.5).collect()} == want
+    assert C.quality_sets(reads.limit(0)).count() == C.frequency_sets(reads.where("seq = ''")).count() == 0
+
+
 PRIMED = ["CCACGTTTTAGTAATTAATA", "CCNCGTTTTAGTAATTAATA", "GGGCGTTTTAGTAATTAATA", "GGNNGTTTTACTAATTAATA", "NNGCNNNNNACTAATTAATA", "GGGATANNNACTAATTAATA", "N" * 20]
 PRIMERS = {"PR1": "CACGTTTT", "PR2": "GGCGTTTT", "PR3": "GGANATAA"}
 
