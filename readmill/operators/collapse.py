@@ -11,9 +11,12 @@ from readmill.schema import MISSING_UPPER, chars, checkpointed, upper_fields
 
 
 def _parts(reads: DataFrame, uniq_fields: list[str] | None, inner: bool) -> DataFrame:
+    """Reads with the text and fields by which they are collapsed, and their missing letters; out of a generator, so that a
+    filter on these stays above it and nothing is made twice."""
     seq = S.strip(F.col("seq"), MISSING_UPPER) if inner else F.col("seq")
     uniq = F.array(*(A.get(F.col("ann"), f) for f in uniq_fields or [])).cast("array<string>")
-    return reads.withColumns({"_key": F.upper(seq), "_uniq": uniq, "_missing": S.count_letters(F.upper(seq), MISSING_UPPER)})
+    key = F.upper(seq)
+    return reads.select("*", F.inline(F.array(F.struct(key.alias("_key"), uniq.alias("_uniq"), S.count_letters(key, MISSING_UPPER).alias("_missing")))))
 
 
 def _order(max_field: str | None, min_field: str | None, compat: bool = False) -> Column:

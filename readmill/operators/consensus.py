@@ -20,8 +20,13 @@ MOST_READS = 10_000
 
 
 def with_set(reads: DataFrame, field: str = "BARCODE") -> DataFrame:
-    """`set_id`, the field's value; reads without it are an error elsewhere and are left out here."""
-    return reads.withColumn("set_id", A.get(F.col("ann"), field)).where(F.col("set_id").isNotNull())
+    """`set_id`, the field's value; reads without it are an error elsewhere and are left out here.
+
+    The value comes out of a generator, so that the filter stays above it: below, where annotations are parsed, it would
+    have them parsed again for the filter, and all that their header is made of with them.
+    """
+    value = F.inline(F.array(F.struct(A.get(F.col("ann"), field).alias("set_id"))))
+    return reads.select("*", value).where(F.col("set_id").isNotNull())
 
 
 def majority(sets: DataFrame, field: str) -> DataFrame:

@@ -13,6 +13,7 @@ from readmill.operators import errors as E
 from readmill.operators import pairing as J
 from readmill.operators import reference as R
 from readmill.plans.fixtures import PRIMERS, REFERENCES, mates, oracle, reads
+from readmill.schema import checkpointed
 from readmill.sources import sequence_files as IO
 
 QUERIES: dict = {}
@@ -153,7 +154,7 @@ RATES = "sum(wrong) AS mismatch, count(*) AS total, sum(q) AS q_sum, round(CASE
 
 
 def _compared(spark, d):
-    sets = E.usable_sets(reads(spark, d), least=5)
+    sets = checkpointed(E.usable_sets(reads(spark, d), least=5).select("set_id", "seq", "qual", "set_n"))
     return E.compared(sets, C.frequency_sets(sets.drop("set_n")))
 
 
