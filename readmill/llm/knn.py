@@ -91,7 +91,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     Queries and candidates are dealt into blocks, and each pair of blocks is a tile that one task works on: candidates
     are sent once for each block of queries, queries once for each block of candidates.  Tiles have bounded sizes, so
     neither side needs to be small.  Exact; ties go to the smaller id.  Rows whose id or vector is null, zero or not
-    finite take no part; vectors of different widths aren't compared; an empty table gives no row.
+    finite take no part; vectors of different widths aren't compared; an empty table gives no row.  Rows that share an id are one query,
+    ranked over what any of them is near, each is a candidate of other ids, and none is one of its own.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(

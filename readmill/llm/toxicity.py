@@ -130,13 +130,14 @@ def fit_on(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "
 
     The bound on labelled rows bounds what is broadcast (ids and labels).  Their hashed bags are written to the shared
     folder; the driver takes them label by turns in order of the hashes, as long as they have fit_subwords entries in all
-    (a bag that would go beyond that is left out).  An id with labels of both kinds counts as labelled 1.
+    (a bag that would go beyond that is left out).  An id with labels of both kinds counts as labelled 1, and of
+    several texts of one id the least is taken.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out)
     first = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for k in (0, 1)]
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(first[0].unionByName(first[1])), "doc_id").dropDuplicates(["doc_id"])
+    rows = rows.join(F.broadcast(first[0].unionByName(first[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

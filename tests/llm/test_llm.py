@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -345,6 +346,12 @@ def test_nearest_against_brute_force(spark):
     assert knn.nearest(none, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [5.0, 0.0]), (1, [1.5, 0.0]), (1, [9.0, 0.0]), (2, [5.25, 0.0])]
+    got = knn.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, 3).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 2, 0.25), (0, 1, 0.5), (0, 1, 3.5)]
+
+
 def test_nearest_of_huge_and_tiny_values(spark):
     rng = np.random.default_rng(5)
     x = [rng.normal(size=6) * scale for scale in (1e200, 1e307, 1.0, 1e-200) for _ in range(40)]
@@ -487,22 +494,29 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(back[:, 0], [total(w, 0) for w in words])
 
 
+def plain_grams(text):
+    """Buckets of words and of pairs of neighbouring words, one by one."""
+    words = [xxhash.xxh64_intdigest(w, 4) for w in re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))]
+    return [x % 20_011 for x in words] + [(x * 0x9E3779B97F4A7C15 + y) % (1 << 64) % 20_011 for x, y in zip(words, words[1:])]
+
+
 def test_quality_resampling(docs, empty, spark):
     labels = spark.createDataFrame([(i, int(i < 3)) for i in range(12)], "doc_id bigint, quality int")
     got = quality.resample(docs, labels).collect()
     keys = sorted((r["gumbel_key"] for r in got), reverse=True)
     limit = keys[-(-len(got) // 2) - 1]
     assert len(got) == len(TEXTS) + 2 and all(r["selected"] == (r["gumbel_key"] >= limit) for r in got)
-    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
-    texts = [t or "" for t in TEXTS] + [TEXTS[0], "no id"]
-    for t in texts:
-        raw += np.bincount(quality.grams([t])[0], minlength=quality.BUCKETS)
-    for i in (i for i in (0, 0, 1, 2) if zlib.crc32(str(i).encode()) % 5 != 3):
-        target += np.bincount(quality.grams([TEXTS[i] or ""])[0], minlength=quality.BUCKETS)
-    ratios = quality.log_ratios(target, raw)
+    raw, target = Counter(), Counter()
+    for t in [*TEXTS, TEXTS[0], "no id"]:
+        raw.update(plain_grams(t))
+    for i in (i for i in range(3) if zlib.crc32(str(i).encode()) % 5 != 3):
+        target.update(plain_grams(TEXTS[i]) * (1 + (i == 0)))  # row 0 is there twice
+    share = lambda c, k: (c[k] + 1) / (c.total() + 20_011)
     for r in got:
         if r["doc_id"] is not None:
-            assert r["log_weight"] == pytest.approx(ratios[quality.grams([TEXTS[r["doc_id"]] or ""])[0]].sum())
+            own = plain_grams(TEXTS[r["doc_id"]])
+            want = sum(math.log(share(target, k)) - math.log(share(raw, k)) for k in own) if target else 0.0
+            assert r["log_weight"] == pytest.approx(want) and r["n_grams"] == len(own)
     assert quality.resample(empty, labels).count() == 0
 
 
