@@ -12,7 +12,7 @@ from readmill.operators import consensus as C
 from readmill.operators import errors as E
 from readmill.operators import pairing as J
 from readmill.operators import reference as R
-from readmill.plans.fixtures import PRIMERS, REFERENCES, mates, oracle, reads
+from readmill.plans.fixtures import REFERENCES, mates, oracle, reads
 from readmill.schema import checkpointed
 from readmill.sources import sequence_files as IO
 
@@ -216,7 +216,12 @@ def e6(spark, d):
 
 @query("l3_offset_table")
 def l3(spark, d):
-    return spark.createDataFrame(L.offset_table(PRIMERS), "primer string, offset int")
+    rows = reads(spark, d)
+    tail = A.get(F.col("ann"), "PRIMER")  # primers as the reads have them: the commonest letters behind the barcode, one letter fewer for each of F and O
+    text = F.substring(F.col("seq"), F.when(tail == "F", 10).when(tail == "O", 11).otherwise(9), F.when(tail == "F", 9).when(tail == "O", 8).otherwise(10))
+    counted = rows.groupBy(tail.alias("primer"), text.alias("text")).count()
+    top = counted.groupBy("primer").agg(F.max_by("text", F.struct("count", "text")).alias("text")).orderBy("primer").collect()  # a row a primer
+    return spark.createDataFrame(L.offset_table({r["primer"]: r["text"] for r in top}), "primer string, offset int")
 
 
 #: One greedy pass over each set's texts of one length, a step for each place in order; all sets step together.

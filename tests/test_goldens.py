@@ -235,10 +235,13 @@ def test_clusters():
     assert got[0] == got[1] == got[4] and got[2] == got[3] and got[0] != got[2]
 
 
-def test_multiple_alignment_by_joins_is_that_of_each_set(spark):
+@pytest.mark.parametrize("most", [100, 3])
+def test_multiple_alignment_keeps_reads_and_columns(spark, monkeypatch, most):
+    """Every read keeps its letters, a set's reads have one width, and up to MOST_SET distinct reads are aligned as by one task."""
+    monkeypatch.setattr(alignment, "MOST_SET", most)
     rng = np.random.default_rng(5)
     seqs, anns = [], []
-    for k in range(40):
+    for k in range(60):
         base = "ACGTTGCAGGTACCATG"[k % 3 :]
         i = int(rng.integers(0, len(base)))
         seqs.append([base, base[:i] + base[i + 1 :], base[:i] + "TT" + base[i:], base[: i + 5]][int(rng.integers(0, 4))])
@@ -246,13 +249,51 @@ def test_multiple_alignment_by_joins_is_that_of_each_set(spark):
     reads = C.with_set(make(spark, seqs, ["I" * len(s) for s in seqs], anns))
     got = {r["ord"]: (r["seq"], r["qual"]) for r in alignment.multiple_align(reads).collect()}
     for b in range(4):
-        own = [i for i in range(40) if i % 4 == b]
-        for i, text in zip(own, alignment.star_align([seqs[i] for i in own]), strict=True):
-            assert got[i] == (text, "".join("!" if c == "-" else "I" for c in text))
+        own = [i for i in range(60) if i % 4 == b]
+        assert len({len(got[i][0]) for i in own}) == 1 and [got[i][0].replace("-", "") for i in own] == [seqs[i] for i in own]
+        distinct = sorted(dict.fromkeys(seqs[i] for i in own), key=lambda s: (-sum(seqs[i] == s for i in own), -len(s), next(i for i in own if seqs[i] == s)))
+        if most >= len(distinct):
+            want = dict(zip(distinct, alignment.progressive_align(distinct), strict=True))
+            assert all(got[i] == (want[seqs[i]], "".join("!" if c == "-" else "I" for c in want[seqs[i]])) for i in own)
     other = alignment.multiple_align(reads, lambda texts: [t.ljust(30, "-") for t in texts])
     assert {len(r["seq"]) for r in other.collect()} == {30}
 
 
+@pytest.mark.parametrize("want", [
+    ["ACGTTGAA----GGTACC", "ACGTTGAACTTCGGTACC", "ACGTTGAA--TCGGTACC"],  # two inserts of unlike lengths: each alone against the first would begin in one column
+    ["ACGGTACCTTGA------", "ACGGTACCTTGACATGCC", "-----ACCTTGACATGCC"],  # reads that end or begin earlier
+    ["ACGAACTGGATCAC", "ACGAACTGGATCAC", "ACGAA--GGATCAC", "ACGAA--GGATCAT"],  # a gap that two share
+    ["ACGT", "ACGT"], ["AC", "AC"], ["ACGTACGT"], ["ACGNACGT", "ACG-ACGT"],
+])
+def test_progressive_alignment(want):
+    got = alignment.progressive_align([w.replace("-", "") for w in want])
+    assert got == want
+
+
+def test_progressive_alignment_against_pairs():
+    """Of two sequences the alignment has the best score by plain tables, ends at half."""
+    rng = np.random.default_rng(12)
+
+    def plain(a, b, gap=2.0):
+        h = np.zeros((len(a) + 1, len(b) + 1))
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                if i or j:
+                    steps = [h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1)] if i and j else []
+                    steps += [h[i - 1, j] - gap * (0.5 if j in (0, len(b)) else 1)] if i else []
+                    steps += [h[i, j - 1] - gap * (0.5 if i in (0, len(a)) else 1)] if j else []
+                    h[i, j] = max(steps)
+        return h[-1, -1]
+
+    for _ in range(40):
+        a, b = ("".join(rng.choice(list("ACG"), int(rng.integers(1, 12)))) for _ in range(2))
+        x, y = alignment._merged([a], [b], 2.0)
+        core = [k for k, (p, r) in enumerate(zip(x, y, strict=True)) if p != "-" and r != "-"]
+        ends = lambda k, core=core: not core or k < core[0] or k > core[-1]
+        score = sum((1 if p == r else -1) if "-" not in (p, r) else -2 * (0.5 if ends(k) else 1) for k, (p, r) in enumerate(zip(x, y, strict=True)))
+        assert score == pytest.approx(plain(a, b))
+
+
 def plain_identity(a, b):
     if len(a) == len(b) and (same := sum(x == y for x, y in zip(a, b, strict=True)) / len(a)) > 0.8:
         return same
@@ -438,11 +479,11 @@ def test_hits_of_repeated_words_are_ranked(spark):
         assert [s for _, s, _ in own] == sorted((scores[n] for _, _, n in own), reverse=True) and all(scores[n] == s for _, s, n in own) and len(own) == 3
 
 
-def test_multiple_alignment():
-    got = alignment.star_align(["ACGTACGT", "ACGACGT", "ACGTACGTT", "ACGTACGT"])
-    assert len({len(x) for x in got}) == 1
-    assert [x.replace("-", "") for x in got] == ["ACGTACGT", "ACGACGT", "ACGTACGTT", "ACGTACGT"]
+def test_restored_quality_and_offsets():
     assert alignment.restored_quality("A-CG", "IJK") == "I!JK"
+    primers = {"a": "ACGTTGCAGG", "b": "GTTGCAGG", "c": "TTACGTTGCAGG"}
+    assert alignment.offset_table(primers) == [("a", 2), ("b", 4), ("c", 0)]
+    assert alignment.offset_table({"a": "GGACGTTGCA", "b": "GGACGTTG"}, reverse=True) == [("a", 2), ("b", 0)]
 
 
 def test_barcode_distances(spark):
