@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import argparse
 import os
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readmill import result
@@ -50,6 +51,10 @@ class Run:
         if self.args.log:
             IO.write_log(rows, self.args.log)
 
+    def logged_sets(self, rows: DataFrame, by: str, **columns: Column) -> None:
+        """A log of a row a set: its name, its number of reads, and the given sums, if asked for."""
+        self.logged(rows.groupBy(F.col(by).cast("string").alias("ID")).agg(F.count("*").alias("READS"), *(c.alias(k) for k, c in columns.items())))
+
     def both(self, out: DataFrame, reads: DataFrame, source: str, label: str, *columns: str) -> list[str]:
         """What passed, and what failed and the log if asked for."""
         self.logged(result.log(out, *columns))
@@ -144,6 +149,7 @@ def align_sets(run: Run) -> list[str]:
     if a.div:
         spread = consensus.diversity(out).withColumn("v", A.number_text(F.round("diversity", 6)))
         out = out.join(spread.select("set_id", "v"), "set_id").withColumn("ann", A.add(F.col("ann"), {"DIVERSITY": F.col("v")})).drop("v")
+    run.logged_sets(out, "set_id", LENGTH=F.max(F.length("seq")))
     return [run.write(out, a.s, "align-pass"), *run.fails(result.missing(out, reads), a.s, "align")]
 
 
@@ -151,6 +157,7 @@ def cluster(run: Run) -> list[str]:
     a, reads = run.args, run.read(run.args.s)
     more = dict(ident=a.ident, length_ratio=a.length, cluster_field=a.k or "CLUSTER", prefix=a.prefix)
     out = {"set": lambda: clustering.cluster_sets(reads, a.f[0], start=a.start, end=a.end, **more), "all": lambda: clustering.cluster_all(reads, start=a.start, end=a.end, **more), "barcode": lambda: clustering.cluster_barcodes(reads, a.f[0], **more)}[a.action]()
+    run.logged_sets(out, "set_id" if a.action == "set" else "cluster", CLUSTERS=F.count_distinct("cluster"))
     return [run.write(out, a.s, "cluster-pass"), *run.fails(result.missing(out, reads), a.s, "cluster")]
 
 
@@ -161,14 +168,19 @@ def estimate_error(run: Run) -> list[str]:
 
     if a.action == "barcode":
         found = errors.barcode_distances(reads, a.f[0], a.pad)
-        return [run.table(found, a.s, "distance-barcode"), run.table(threshold(errors.distance_threshold(found)), a.s, "threshold-barcode")]
+        sets = consensus.with_set(reads, a.f[0])
+        run.logged_sets(sets, "set_id")
+        tables = [run.table(found, a.s, "distance-barcode"), run.table(threshold(errors.distance_threshold(found)), a.s, "threshold-barcode")]
+        return [*tables, *run.fails(result.missing(sets, reads), a.s, "error")]
     sets = errors.usable_sets(reads, a.f[0], a.n or 20, a.maxdiv)
     plain = sets.drop("set_n")
     found = consensus.frequency_sets(plain, a.freq) if a.mode == "freq" else consensus.quality_sets(plain, a.q, a.freq)
     letters = errors.compared(sets, found)
     tables = {"position": errors.error_table(letters, "pos"), "quality": errors.error_table(letters, "q"), "set": errors.error_table(letters, "set_n"), "nucleotide": errors.nucleotide_table(letters), "distance-set": errors.set_distances(sets)}
     paths = [run.table(t, a.s, f"error-{k}", "NA") for k, t in tables.items()]
-    return [*paths, run.table(threshold(errors.set_threshold(tables["distance-set"])), a.s, "threshold-set")]
+    run.logged_sets(sets, "set_id")
+    paths.append(run.table(threshold(errors.set_threshold(tables["distance-set"])), a.s, "threshold-set"))
+    return [*paths, *run.fails(result.missing(sets, reads), a.s, "error")]
 
 
 def parse_headers(run: Run) -> list[str]:
@@ -181,7 +193,10 @@ def parse_headers(run: Run) -> list[str]:
         "add": lambda: A.add(ann, dict(zip(a.f, map(F.lit, a.u), strict=True))), "collapse": lambda: A.collapse(ann, act, a.f), "copy": lambda: A.copy(ann, a.f, a.k_list, a.act),
         "delete": lambda: A.delete(ann, a.f), "expand": lambda: A.expand(ann, a.f, a.sep), "merge": lambda: A.merge_fields(ann, a.f, a.k_list[0], act, a.delete), "rename": lambda: A.rename(ann, a.f, a.k_list, a.act),
     }[a.action]()
-    return [run.write(reads.withColumn("ann", new), a.s, "reheader")]
+    # a read without any of the fields that are to be changed is as it was, and counts as failed
+    known = F.lit(True) if a.action == "add" else reduce(lambda x, y: x | y, (A.has(ann, f) for f in a.f))
+    run.logged(reads.select(F.col("read_id").alias("ID"), known.alias("PASS")))
+    return [run.write(reads.withColumn("ann", new), a.s, "reheader"), *run.fails(reads.where(~known), a.s, "reheader")]
 
 
 def convert_headers(run: Run) -> list[str]:
@@ -209,8 +224,14 @@ def split_reads(run: Run) -> list[str]:
 
 def unify_headers(run: Run) -> list[str]:
     a = run.args
-    out = (unify.consensus if a.action == "consensus" else unify.deletion)(run.read(a.s), a.f[0], a.k or "SAMPLE")
-    return [run.write(out, a.s, "unify-pass")]
+    reads, field = run.read(a.s), a.k or "SAMPLE"
+    out = (unify.consensus if a.action == "consensus" else unify.deletion)(reads, a.f[0], field)
+    if a.log:
+        found = consensus.majority(consensus.with_set(reads, a.f[0]), field)
+        alone = F.lit(True) if a.action == "consensus" else F.size("values") == 1
+        texts = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c.upper()) for c in ("values", "counts")]
+        run.logged(found.select(F.col("set_id").alias("ID"), alone.alias("PASS"), F.col("n").alias("READS"), *texts))
+    return [run.write(out, a.s, "unify-pass"), *run.fails(result.missing(out, reads), a.s, "unify")]
 
 
 def parse_log(run: Run) -> list[str]:

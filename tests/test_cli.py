@@ -71,6 +71,34 @@ def test_fails_and_logs(spark, fastq, tmp_path):
     assert path == str(tmp_path / "named.fastq") and len(ids(spark, path)) == 12
 
 
+def blocks(path):
+    """A log's blocks as dictionaries."""
+    text = "".join(p.read_text() for p in sorted(path.glob("*.txt")))
+    return [dict(line.strip().split("> ", 1) if "> " in line else (line.strip().rstrip(">"), "") for line in b.splitlines()) for b in text.split("\n\n") if b.strip()]
+
+
+def test_every_tool_writes_fails_and_logs(spark, fastq, tmp_path):
+    with fastq.open("a") as f:
+        f.write("@plain|OTHER=1\nACGTACGT\n+\nIIIIIIII\n")
+    log = (tmp_path / f"log{k}" for k in range(9))
+    for args, passed, failed, keys in (
+        (["unify", "consensus", "-k", "COUNT"], 12, 1, {"ID", "PASS", "READS", "VALUES", "COUNTS"}), (["unify", "delete", "-k", "COUNT"], 0, 13, {"ID", "PASS", "READS", "VALUES", "COUNTS"}),
+        (["align", "multiple"], 12, 1, {"ID", "READS", "LENGTH"}), (["cluster", "set"], 12, 1, {"ID", "READS", "CLUSTERS"}), (["cluster", "barcode"], 12, 1, {"ID", "READS", "CLUSTERS"}),
+        (["headers", "delete", "-f", "COUNT"], 13, 1, {"ID", "PASS"}),
+    ):
+        at = next(log)
+        good, bad = run(spark, *args, "-s", fastq, "--failed", "--log", at, "--outname", "-".join(args[:2]))
+        assert (len(ids(spark, good)), len(ids(spark, bad))) == (passed, failed), args
+        found = blocks(at)
+        assert set(found[0]) == keys and len(found) == (13 if args[0] == "headers" else 2), args
+        if args == ["unify", "delete", "-k", "COUNT"]:
+            assert all(b["PASS"] == "false" and b["READS"] == "6" for b in found)
+    for action, n in (("set", 7), ("barcode", 3)):
+        at = next(log)
+        paths = run(spark, "error", action, "-s", fastq, "-n", 3, "--failed", "--log", at, "--outname", action)
+        assert len(paths) == n and len(ids(spark, paths[-1])) == 1 and [b["READS"] for b in blocks(at)] == ["6", "6"]
+
+
 def test_delimiters(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">R1;X:1;Y:2\nACGT\n")
     (path,) = run(spark, "headers", "delete", "-f", "X", "-s", tmp_path / "a.fasta", "--delim", ";", ":", ",")
