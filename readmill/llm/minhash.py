@@ -245,49 +245,56 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """doc_id, class_id of every document that is in one class with another id; class_id is the class's smallest id.
 
     Documents are linked where their sets of word shingles have a Jaccard similarity of at least `threshold`; classes are
-    what links connect.  Candidates meet where a band of their signatures agrees; copies (equal words) are one text from
-    then on.  Every text of a candidate group is verified against the group's first one.  What that links (`near`) isn't
-    compared with itself, as it is in one class already; the others (`far`) are compared with all, in cells of two bounded
-    blocks of a group, and only as many links leave a cell as connect what is connected in it.  So no group is in one
-    task and no list of pairs is made; work in a group grows with near times far.  Texts without words are copies of each
-    other; rows with a null id are left out; an id whose rows differ is one document with all its texts.
+    what links connect.  Copies (equal words) are one text from the start.  Texts meet in a bucket where a band of their
+    signatures agrees, and each is verified against its bucket's first text; only verified links connect, so candidates
+    that aren't near never chain into a group.  What a bucket then holds of other components than its first text's (`far`)
+    is compared with all of it that is in another component, in cells of two bounded blocks, and only as many links leave a
+    cell as connect what is connected in it.  So no bucket is in one task, no list of pairs is made, and work in a bucket
+    grows with near times far.  Texts without words are copies of each other; rows with a null id are left out; an id whose
+    rows differ is one document with all its texts.
     """
-    spark = docs.sparkSession
     rows = _named(docs, id_col, text_col)
     known = stored(rows.select(F.col("doc_id").alias("id"), bands(F.col("text")).alias("b")).select("id", "b.same", "b.keys"))
-    buckets = known.select("id", F.explode("keys").alias("key"))
-    low = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
-    met = components(buckets.join(low, "key").where("id > low").select("id", "low").distinct(), "id", "low").withColumnRenamed("root", "grp")
-    texts = stored(known.join(met, known.id == met.node).groupBy("grp", "same").agg(F.min("id").alias("id")))
-    sizes = texts.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
-    ids = stored(texts.join(sizes, "grp", "left_semi").select("grp", "same", "id"))
+    texts = known.groupBy("same").agg(F.min("id").alias("id"), F.min("keys").alias("keys"))
+    buckets = stored(texts.select("same", "id", F.explode("keys").alias("key")))
+    low = buckets.groupBy("key").agg(F.min("same").alias("low"), F.count("*").alias("n")).where("n > 1")
+    met = stored(buckets.join(low, "key"))
+    ids = met.select("id", "same").distinct()
     wanted = ids.select("id").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     words = rows.join(wanted, rows.doc_id == wanted.id, "left_semi").select("doc_id", distinct_shingles(F.col("text")).alias("s"))
     words = words.select("doc_id", "s.same", "s.shingles").dropDuplicates(["doc_id", "same"])
-    sets = stored(ids.join(words, (ids.id == words.doc_id) & (ids.same == words.same)).select("grp", "id", ids.same, "shingles"))
-
-    first = sets.groupBy("grp").agg(F.min_by("shingles", F.struct("id", "same")).alias("of_first"), F.min("id").alias("first"))
-    shared = F.size(F.array_intersect("shingles", "of_first"))
-    alike = F.coalesce(shared / F.nullif(F.size("shingles") + F.size("of_first") - shared, F.lit(0)), F.lit(1.0))
-    star = stored(sets.join(first, "grp").select("grp", "first", "id", "same", (alike >= threshold).alias("near")))
-    counted = star.groupBy("grp").agg(*(F.ceil(F.count_if(F.col("near") if k else ~F.col("near")) / BLOCK_ROWS).cast("int").alias(n) for k, n in ((1, "near_blocks"), (0, "far_blocks"))))
-    crowd = star.join(counted.where("far_blocks > 0"), "grp")
+    sets = stored(ids.join(words, (ids.id == words.doc_id) & (ids.same == words.same)).select(ids.same, "shingles"))
+
+    pairs = met.where("same > low").select("same", "low").distinct().join(sets, "same")
+    of_low = sets.select(F.col("same").alias("low"), F.col("shingles").alias("of_low"))
+    shared = F.size(F.array_intersect("shingles", "of_low"))
+    alike = F.coalesce(shared / F.nullif(F.size("shingles") + F.size("of_low") - shared, F.lit(0)), F.lit(1.0))
+    star = stored(pairs.join(of_low, "low").where(alike >= threshold).select("same", "low"))
+    part = components(star, "same", "low")
+    # a bucket of two has had its only pair compared; in larger ones, texts beside the first one's component may have others
+    root = F.coalesce(F.col("root"), F.col("same"))
+    member = met.where("n > 2").join(part, met.same == part.node, "left").select("key", "low", "same", root.alias("part"))
+    of_first = part.select(F.col("node").alias("low"), F.col("root").alias("low_part"))
+    member = stored(member.join(of_first, "low", "left").select("key", "same", "part", (F.col("part") == F.coalesce("low_part", "low")).alias("near")))
+    counted = member.groupBy("key").agg(*(F.ceil(F.count_if(F.col("near") if k else ~F.col("near")) / BLOCK_ROWS).cast("int").alias(n) for k, n in ((1, "near_blocks"), (0, "far_blocks"))))
+    crowd = member.join(counted.where("far_blocks > 0"), "key")
     n_near, n_far = F.col("near_blocks"), F.col("far_blocks")
-    own = F.when(F.col("near"), F.pmod(F.xxhash64("id", "same"), n_near)).otherwise(n_near + F.pmod(F.xxhash64("id", "same"), n_far)).cast("int")
-    cells = crowd.select("grp", "id", "same", own.alias("own"), F.explode(F.sequence(F.when(F.col("near"), n_near).otherwise(0), n_near + n_far - 1)).alias("other"))
-    cells = cells.join(sets, ["grp", "id", "same"]).select("grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "shingles")
-    found = cells.groupBy("grp", "a", "b").applyInArrow(lambda cell: cell_links(cell, threshold), "a bigint, b bigint")
-    links = star.where("near and id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(found)
-    linked = components(links, "a", "b")
-    # an id that leads several texts of one group (rows of one id that differ) is one node, and so are its texts
-    led = known.join(met, known.id == met.node).join(texts.withColumnRenamed("id", "lead"), ["grp", "same"]).select("id", "lead")
-    of_texts = components(led.where("id <> lead").unionByName(linked.select(F.col("node").alias("id"), F.col("root").alias("lead"))), "id", "lead")
+    own = F.when(F.col("near"), F.pmod(F.xxhash64("same"), n_near)).otherwise(n_near + F.pmod(F.xxhash64("same"), n_far)).cast("int")
+    cells = crowd.select("key", "same", "part", own.alias("own"), F.explode(F.sequence(F.when(F.col("near"), n_near).otherwise(0), n_near + n_far - 1)).alias("other"))
+    cells = cells.join(sets, "same").select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", F.col("same").alias("id"), "part", "shingles")
+    found = cells.groupBy("key", "a", "b").applyInArrow(lambda cell: cell_links(cell, threshold), "a bigint, b bigint")
+    linked = components(star.select(F.col("same").alias("a"), F.col("low").alias("b")).unionByName(found), "a", "b")
+    # back to documents: all of a component's are linked to its least id, and so are the texts of one id whose rows differ
+    class_of = known.join(linked, known.same == linked.node, "left").select("id", F.coalesce("root", "same").alias("root"))
+    least = class_of.groupBy("root").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("root", "least")
+    of_texts = components(class_of.join(least, "root").where("id > least").select("id", "least"), "id", "least")
     return of_texts.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
 
 
 def cell_links(cell: pa.Table, threshold: float) -> pa.Table:
-    """Links between the texts of two blocks (or within one) at a Jaccard similarity of at least threshold, as a forest."""
+    """Links between the texts of two blocks (or within one) at a Jaccard similarity of at least threshold, as a forest; texts
+    that are in one part already aren't compared."""
     own, ids = cell["own"].to_numpy(), cell["id"].to_numpy()
     sets = [np.asarray(x) for x in cell["shingles"].to_numpy()]
     sizes = np.array([len(x) for x in sets])
@@ -296,7 +303,8 @@ def cell_links(cell: pa.Table, threshold: float) -> pa.Table:
     values = np.concatenate([sets[i] for i in homes]) if len(homes) else np.empty(0, np.int32)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], np.repeat(np.arange(len(homes)), sizes[homes])[order]
-    part = {int(i): int(i) for i in ids}
+    parts = cell["part"].to_numpy()
+    part = {int(i): int(i) for i in [*ids, *parts]} | {int(i): int(p) for i, p in zip(ids, parts, strict=True)}
     out: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
@@ -311,7 +319,7 @@ def cell_links(cell: pa.Table, threshold: float) -> pa.Table:
         where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         shared = np.bincount(owner[where], minlength=len(homes))
         both = sizes[homes] + sizes[v] - shared
-        for h in np.flatnonzero((shared >= threshold * both) & (ids[homes] != ids[v])).tolist():
+        for h in np.flatnonzero((shared >= threshold * both) & (parts[homes] != parts[v])).tolist():
             x, y = root(int(ids[homes[h]])), root(int(ids[v]))
             if x != y:
                 part[max(x, y)] = min(x, y)
