@@ -4,13 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from readmill import result
 from readmill.functions import annotation as A
 from readmill.functions import headers as H
 from readmill.functions import sequence as S
 from readmill.operators import alignment, assembly, clustering, collapse, errors
 from readmill.operators import consensus as C
 from readmill.operators import primers as P
-from readmill.operators import reference, split, unify
+from readmill.operators import reference, split, unify, user_functions
 from readmill.schema import READS
 
 
@@ -404,6 +405,25 @@ def test_overlap_qualities():
     assert assembly.merged("ACN-", q([30, 20, 5, 6]), "AGT.", q([20, 30, 10, 9])) == ("AGTN", q([30, 18, 10, 9]))
 
 
+def test_functions_of_ones_own(spark, five):
+    """For reads, for pairs, and for sets' consensus; one for alignments is in test_multiple_alignment_keeps_reads_and_columns."""
+
+    def short(batch):
+        return batch.assign(seq=batch["seq"].str[:3], qual=None, valid=batch["seq"].str.len() > 4, size=batch["seq"].str.len())
+
+    reads = make(spark, ["ACGTACGT", "ACG", "TTTTT"], anns=[[("A", "1")], [], [("A", "2")]])
+    out = user_functions.per_read(reads, short, "valid boolean, size int")
+    assert sorted((r["ord"], r["seq"], r["valid"], r["size"]) for r in out.collect()) == [(0, "ACG", True, 8), (1, "ACG", False, 3), (2, "TTT", True, 5)]
+    assert sorted(r["ord"] for r in result.failed(out, reads).collect()) == [1] and out.where("ord = 2").first()["ann"][0]["v"] == "2"
+    with pytest.raises(Exception, match="lack size"):
+        user_functions.per_read(reads, lambda b: b.assign(valid=True), "valid boolean, size int").collect()
+    mates = spark.createDataFrame([("a", "ACGT", "IIII", "GGTT", "5555"), ("b", "AC", None, "GG", None)], "coord string, h_seq string, h_qual string, t_seq string, t_qual string")
+    got = user_functions.per_pair(mates, lambda b: b.assign(seq=b["h_seq"] + "-" + b["t_seq"], qual=None, valid=b["h_qual"].notna())).collect()
+    assert sorted((r["coord"], r["seq"], r["valid"]) for r in got) == [("a", "ACGT-GGTT", True), ("b", "AC-GG", False)]
+    own = C.build(five.drop("set_id").withColumn("ann", A.pairs({"BARCODE": F.lit("B")})), places_of=lambda sets: sets.groupBy("set_id").agg(F.lit(0).alias("pos"), F.lit("T").alias("ch"), F.lit(7).alias("q")))
+    assert [(r["seq"], r["qual"], r["conscount"]) for r in own.collect()] == [("T", "(", 5)]
+
+
 def test_mid_p():
     p = assembly.mid_p_values(4)
     assert p[4] == pytest.approx(0.25**4 / 2) and p[0] == pytest.approx(1 - 0.75**4 / 2)
