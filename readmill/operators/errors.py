@@ -13,6 +13,7 @@ from readmill.functions import annotation as A
 from readmill.functions import sequence as S
 from readmill.operators import consensus as C
 from readmill.operators import profiles
+from readmill.schema import checkpointed
 
 
 def usable_sets(reads: DataFrame, field: str = "BARCODE", least: int = 20, most_diversity: float | None = None) -> DataFrame:
@@ -140,19 +141,14 @@ def bin_table(length: int, bins: int) -> list[int]:
 def set_distances(sets: DataFrame, bins: int = 50) -> DataFrame:
     """bin, n: histogram of the shares of unequal letters over all pairs of reads of one set, for sets of reads of equal lengths.
 
-    Equal reads of a set are one with a weight, so only distinct ones are compared: by a join in sets of up to BLOCK_ROWS of
-    them, in blocks in larger sets.
+    Equal reads of a set are one with a weight, so only distinct ones are compared: in numpy by the task that has the set, or
+    one block of BLOCK_ROWS of them with another.  Pairs are never rows.
     """
     weighted = sets.groupBy("set_id", F.upper("seq").alias("v")).agg(F.count("*").alias("w"))
     own = weighted.select(F.lit(0).alias("d"), F.length("v").alias("len"), (F.col("w") * (F.col("w") - 1) / 2).cast("bigint").alias("n"))
-    sizes = weighted.groupBy("set_id").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    weighted = weighted.join(sizes, "set_id")
-    x, y = (weighted.where("blocks = 1").alias(k) for k in "xy")
-    pairs = x.join(y, (F.col("x.set_id") == F.col("y.set_id")) & (F.col("x.v") < F.col("y.v")))
-    pairs = pairs.select(S.hamming(F.col("x.v"), F.col("y.v")).alias("d"), F.length("x.v").alias("len"), (F.col("x.w") * F.col("y.w")).alias("n"))
-    crowded = _by_blocks(weighted.where("blocks > 1")).select(F.col("distance").alias("d"), F.col("length").alias("len"), "n")
-    pairs = pairs.unionByName(crowded)
-    counted = own.unionByName(pairs).where("n > 0").groupBy("len", "d").agg(F.sum("n").alias("n"))
+    sizes = weighted.groupBy("set_id").agg(F.count("*").alias("c")).where("c > 1").select("set_id", F.ceil(F.col("c") / BLOCK_ROWS).alias("blocks"))
+    pairs = _by_blocks(weighted.join(sizes, "set_id")).select(F.col("distance").alias("d"), F.col("length").alias("len"), "n")
+    counted = checkpointed(own.unionByName(pairs).where("n > 0").groupBy("len", "d").agg(F.sum("n").alias("n")))
     lengths = [r["len"] for r in counted.select("len").distinct().collect()]  # as many as reads have lengths
     spark = sets.sparkSession
     table = spark.createDataFrame([(k, d, b) for k in lengths for d, b in enumerate(bin_table(k, bins))] or [(0, 0, 0)], "len int, d int, bin int")
