@@ -247,7 +247,26 @@ class Codec:
         self.memo.update((c, self.old[c]) for c in known)
         for batch in by_bytes(chunks - known, INDEX_CHARS):
             marked = [c if c[:1] == "\n" else SPACE + c for c in (c.replace(" ", SPACE) for c in batch)]
-            self.memo.update(zip(batch, self._relax(marked), strict=True))
+            done = self._relax(marked) if len(marked) > 1 or len(marked[0]) <= INDEX_CHARS else [b"".join(x for part in self._parts(marked[0]) for x in self._relax([part]))]
+            self.memo.update(zip(batch, done, strict=True))
+
+    def _parts(self, chunk: str) -> Iterator[str]:
+        """A long chunk in parts of about INDEX_CHARS characters, cut where no edge goes over, so that each relaxes by itself.
+
+        Memory is that of a part, not of the chunk; only where edges overlap for longer is a part as long as that stretch.
+        """
+        begin, reach = 0, self.depth - 1
+        for at in range(0, len(chunk), INDEX_CHARS):
+            low = max(0, at - reach)  # edges that begin before these places may go over them
+            window = chunk[low : at + INDEX_CHARS + reach]
+            letters = self.letter[np.frombuffer(window.encode("utf-32-le", "surrogatepass"), "<u4")]
+            where, piece = self.edges(letters)
+            over = np.bincount(where + 1, minlength=len(window) + 2) - np.bincount(where + self.piece_len[piece], minlength=len(window) + 2)
+            free = np.flatnonzero(np.cumsum(over)[at - low : at - low + min(INDEX_CHARS, len(chunk) - at)] == 0) + at
+            while len(free := free[free >= begin + INDEX_CHARS]):
+                yield chunk[begin : int(free[0])]
+                begin = int(free[0])
+        yield chunk[begin:]
 
     def forget(self) -> None:
         self.memo, self.old = {}, {}

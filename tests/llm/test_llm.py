@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -195,6 +198,32 @@ def test_edges_are_all_occurrences():
     assert sorted((int(i), names[k]) for i, k in zip(where, piece, strict=True)) == want and (np.diff(where) >= 0).all()
 
 
+@pytest.mark.parametrize("index_chars", [50, 1000])
+def test_unbroken_texts_are_cut_where_no_edge_goes_over(monkeypatch, index_chars):
+    monkeypatch.setattr(piece_codec, "INDEX_CHARS", index_chars)
+    rng = np.random.default_rng(3)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["".join(rng.choice(list("etaoinshrdluQXZ09é中"), 4000)), "the" * 900, "x" * 3000, prose(7, 400).replace(" ", ""), "中文字符" * 500 + "é" * 700]
+    one = piece_codec.Codec(MODEL)
+    for text, ids in zip(texts, one.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
+    assert len(list(one._parts(texts[0]))) > 2 and all("".join(one._parts(t)) == t for t in texts)
+
+
+def test_memory_of_an_unbroken_text_is_bounded(tmp_path):
+    """Three million characters without a space: less memory than the 165 MB a million of tables for the whole text."""
+    code = (
+        "import resource, sys, numpy as np, sentencepiece\nfrom readmill.llm import piece_codec\n"
+        f"text = ''.join(np.random.default_rng(1).choice(list('etaoinshrdluQXZ0123456789+/'), 3_000_000)); one = piece_codec.Codec({MODEL!r}); list(one.encode(['warm up']))\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; ids = list(one.encode([text]))[0]\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)\n"
+        f"print(np.frombuffer(ids, '<u4').tolist() == sentencepiece.SentencePieceProcessor(model_file={MODEL!r}).encode(text))\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, timeout=600)
+    used, same = out.stdout.split()
+    assert same == "True" and int(used) < 300
+
+
 def test_piece_round_trip(docs, empty):
     got = piece_codec.round_trip(docs, MODEL).collect()
     assert len(got) == len(TEXTS) + 2
