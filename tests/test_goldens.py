@@ -24,6 +24,7 @@ def q(scores):
     return "".join(chr(x + 33) for x in scores)
 
 
+# Reads, primers and results here and below that operators must match.
 SET = ["CGGCGTAA", "CCNNGTAA", "CGGC--TA", "CGNN--TA", "CGGC--AA"]
 SET_QUAL = [q([30, 40, 20, 20, 20, 20, 40, 40])] * 5
 
@@ -401,6 +402,23 @@ def test_assembly_finds_the_overlap():
     assert not assembly.assemble_pair("ACGT", None, "ACGT", None, 1e-5, 0.3, 8, 1000, False)[6]
 
 
+@pytest.mark.parametrize("scan_reverse", [False, True])
+def test_assembly_of_batches_is_that_of_pairs(scan_reverse):
+    """Mates of many lengths, with unclear letters, without qualities, inside each other, and too short."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for k in range(300):
+        seq = "".join(rng.choice(list("ACGTN-R"), int(rng.integers(4, 50)), p=[0.22, 0.22, 0.22, 0.22, 0.06, 0.03, 0.03]))
+        a, b = sorted(rng.integers(0, len(seq) + 1, 2).tolist())
+        h, t = (seq[:b], seq[a:]) if k % 3 else (seq[a:], seq[:b])
+        t = t if k % 5 else "".join(rng.permutation(list(t)))
+        rows.append((h, q(rng.integers(0, 42, len(h))) if k % 7 else None, t, q(rng.integers(0, 42, len(t))) if k % 11 else None))
+    for alpha, least, most in ((1e-3, 8, 1000), (0.5, 3, 12)):
+        got = assembly.assemble_batch(*map(list, zip(*rows, strict=True)), alpha, 0.3, least, most, scan_reverse)
+        assert got == [assembly.assemble_pair(*r, alpha, 0.3, least, most, scan_reverse) for r in rows]
+    assert sum(r[6] for r in got) > 30
+
+
 def test_overlap_qualities():
     assert assembly.merged("ACN-", q([30, 20, 5, 6]), "AGT.", q([20, 30, 10, 9])) == ("AGTN", q([30, 18, 10, 9]))
 
