@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from readmill.schema import READS
 
@@ -34,7 +34,7 @@ def per_read(reads: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],
     It may leave reads out, change them or give several for one; with `valid` among its columns, readmill.result tells passed
     and failed reads apart.  Batches are of spark.sql.execution.arrow.maxRecordsPerBatch rows, in no given order.
     """
-    schema = StructType([*_parse_datatype_string(READS).fields, *_parse_datatype_string(more).fields])
+    schema = StructType.fromDDL(f"{READS}, {more}")
     rows = reads.select("src", "ord", "read_id", "header", "ann", "seq", "qual")
     return rows.mapInPandas(_checked(function, schema.names), schema)
 
