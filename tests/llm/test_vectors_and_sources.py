@@ -236,7 +236,7 @@ def test_divergence_is_that_of_a_plain_loop(spark, monkeypatch, sources, entries
 
 def test_divergence_ranks_of_terms_end(spark):
     words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(400)]
-    rows = [(i, " ".join(words), "en", "a") for i in range(3)] + [(9, "zz", "en", "b")]
+    rows = [(i, " ".join(words), "en", "a") for i in range(3)] + [(9, "aa aa aa zz", "en", "b")]
     got = divergence.divergence(documents(spark, rows)).toPandas()
     counts = defaultdict(int, got.groupby(["source", "part"]).size().to_dict())
     assert counts["a", "term"] == 200 and counts["b", "term"] == 1 and counts["a", "pair"] == 1
