@@ -353,29 +353,6 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, block_rows):
     assert len(set(got.values())) < len(got) and {r["doc_id"]: r["class_id"] for r in minhash.fingerprints(docs).collect()} == {i: find(i) for i in root}
 
 
-def test_candidates_that_are_not_near_do_not_chain(spark, monkeypatch):
-    """Texts that share a fifth of their shingles with the ones before and after meet in many buckets, but are never one group."""
-    rng = np.random.default_rng(21)
-    words = [f"w{i}" for i in range(5000)]
-    text, rows = list(rng.choice(words, 100)), []
-    for k in range(600):
-        rows.append((k, " ".join(text)))
-        text = text[60:] + list(rng.choice(words, 60))
-    rows += [(1000, rows[5][1] + " end"), (1001, "start " + rows[300][1])]
-    compared = spark.sparkContext.accumulator(0)
-    plain = minhash.cell_links
-
-    def counted(cell, threshold):
-        n = [int((cell["own"].to_numpy() == cell[k][0].as_py()).sum()) for k in "ab"]
-        compared.add(n[0] * n[1])
-        return plain(cell, threshold)
-
-    monkeypatch.setattr(minhash, "cell_links", counted)
-    got = {r["doc_id"]: r["class_id"] for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
-    assert got == {5: 5, 1000: 5, 300: 300, 1001: 300}
-    assert compared.value < 5 * len(rows)
-
-
 # -- 9, neighbours
 
 
