@@ -1,14 +1,15 @@
-"""FASTA and FASTQ files as tables of reads, and back; plain or gzip."""
+"""FASTA and FASTQ files as tables of reads, and back; plain, gzip or block gzip."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
 from readmill.schema import ANN
+from readmill.sources.scan import scan
 
 KINDS = {"fasta": ("fasta", "fna", "fa"), "fastq": ("fastq", "fq"), "table": ("tab", "tsv")}
 
@@ -19,62 +20,33 @@ def file_kind(path: str) -> str:
     return next((k for k, v in KINDS.items() if ext in v), ext)
 
 
-def _records(spark: SparkSession, path: str, start: str, strip: bool = True) -> DataFrame:
-    """src, block, id, ord, body: texts between record starts; plain files are split between records; a gzip file is read by one task and
-    then dealt out.
-
-    ord grows in a file's order: a split's first byte, and a row's place in its task, which is less than a split has bytes.
-    """
-    lines = spark.read.option("lineSep", f"\n{start}").text(path)
-    rows = lines.select(F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), (F.regexp_replace("value", rf"^{start}", "") if strip else F.col("value")).alias("body"))
-    rows = rows.withColumn("ord", F.col("block") + F.col("id").bitwiseAND((1 << 33) - 1))
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if path.endswith(".gz") else rows
-
-
 def _reads(rows: DataFrame, parse: bool, delimiters: tuple[str, str, str]) -> DataFrame:
     ann = A.parse(F.col("header"), delimiters) if parse else F.array().cast(ANN)
     return rows.select("src", "ord", A.read_id(F.col("header"), delimiters).alias("read_id"), "header", ann.alias("ann"), "seq", "qual")
 
 
 def read_fasta(spark: SparkSession, path: str, parse: bool = True, delimiters: tuple[str, str, str] = A.DELIMITERS) -> DataFrame:
-    """Reads of FASTA files; sequences may go over several lines. ord follows the file's order."""
-    rows = _records(spark, path, ">").where(F.trim(F.col("body")) != "")
+    """Reads of FASTA files; sequences may go over several lines. ord follows the file's order.
+
+    Plain files are Spark's text with the records' start as separator; what is packed is read by scan.
+    """
+    if path.endswith(".gz"):
+        return _reads(scan(spark, path, "fasta"), parse, delimiters)
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "^>", "").alias("body"))
+    # a split's first byte, and a row's place in its task, which is less than a split has bytes
+    rows = rows.where(F.trim(F.col("body")) != "").withColumn("ord", F.col("block") + F.col("id").bitwiseAND((1 << 33) - 1))
     head = F.regexp_extract("body", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("body", r"^[^\n]*\n?", ""), r"\s", "")
     return _reads(rows.select("src", "ord", head.alias("header"), seq.alias("seq"), F.lit(None).cast("string").alias("qual")), parse, delimiters)
 
 
-def _fastq_error(what: str, text: Column) -> Column:
-    return F.raise_error(F.concat(F.lit(f"{what}: "), F.left(text, F.lit(200)))).cast("string")
-
-
 def read_fastq(spark: SparkSession, path: str, parse: bool = True, delimiters: tuple[str, str, str] = A.DELIMITERS) -> DataFrame:
-    """Reads of FASTQ files of four lines a record, cut wherever a line begins with @; sequences may be empty.
+    """Reads of FASTQ files; letters and qualities may go over several lines and be empty, blank lines between records are ignored.
 
-    A quality line may begin with @ as well, which leaves a record of three lines and, after it, a piece of one line; such
-    pieces are joined to the record before them, which is the row before or the last row of the file's split before.
-    Blank lines behind a record are ignored.  Anything else that isn't a record, and qualities that are not as many as
-    letters, raise an error when they are read.
+    Plain files and block gzip are read by ranges that get into step with the records by themselves (scan); other gzip files
+    by one task each.  Anything that isn't a record, and qualities that are not as many as letters, raise an error when read.
     """
-    rows = _records(spark, path, "@", strip=False).withColumn("body", F.regexp_replace("body", r"\r$", ""))
-    first = (F.col("block") == 0) & F.col("body").startswith("@") & F.col("body").contains("\n")  # @ before the file's first record
-    rows = rows.withColumn("body", F.when(first, F.substring("body", F.lit(2), F.length("body"))).otherwise(F.col("body"))).withColumn("line", F.split("body", r"\r?\n"))
-    plus = F.coalesce(F.get("line", F.lit(2)).startswith("+"), F.lit(False))
-    rest = lambda n: F.forall(F.slice("line", F.lit(n), F.size("line")), lambda x: F.trim(x) == "")
-    kind = F.when(plus & (F.size("line") > 3) & rest(5), "whole").when(plus & (F.size("line") == 3), "head").when(rest(2), "tail").otherwise(_fastq_error("not a FASTQ record", F.col("body")))
-    rows = rows.withColumn("kind", kind)
-    bounds = rows.groupBy("src", "block").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    bounds = bounds.withColumn("before", F.lag("hi").over(Window.partitionBy("src").orderBy("block"))).select("src", "block", "lo", "before")
-    tails = rows.where("kind = 'tail'").join(bounds, ["src", "block"])
-    tails = tails.select(F.when(F.col("id") > F.col("lo"), F.col("id") - 1).otherwise(F.col("before")).alias("head_id"), F.concat(F.lit("@"), F.col("line")[0]).alias("piece"))
-    heads = rows.where("kind = 'head'").select("id", "src", "ord", "line")
-    joined = heads.join(tails, heads.id == tails.head_id, "full").where("id is not null or trim(piece) <> '@'")
-    lost = _fastq_error("a line without a record", F.col("piece"))
-    joined = joined.select("src", "ord", F.when(F.col("id").isNull(), F.array(lost)).otherwise(F.concat("line", F.array(F.coalesce("piece", F.lit(""))))).alias("line"))
-    whole = rows.where("kind = 'whole'").select("src", "ord", F.slice("line", 1, 4).alias("line")).unionByName(joined)
-    seq, qual = F.col("line")[1], F.col("line")[3]
-    qual = F.when(F.length(seq) == F.length(qual), qual).otherwise(_fastq_error("letters and qualities differ in number", F.col("line")[0]))
-    return _reads(whole.select("src", "ord", F.col("line")[0].alias("header"), seq.alias("seq"), qual.alias("qual")), parse, delimiters)
+    return _reads(scan(spark, path, "fastq"), parse, delimiters)
 
 
 def read_sequences(spark: SparkSession, path: str, parse: bool = True, delimiters: tuple[str, str, str] = A.DELIMITERS) -> DataFrame:
