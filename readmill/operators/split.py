@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
 from readmill.operators.pairing import keyed
+from readmill.operators.parts import opened
 from readmill.schema import checkpointed
 
 
@@ -93,26 +94,10 @@ def sort(reads: DataFrame, field: str, numeric: bool = False) -> DataFrame:
 def sorted_parts(reads: DataFrame, field: str, most: int, numeric: bool = False) -> DataFrame:
     """`part` from 1 of reads in a field's order; ties stay in one part, and a new part opens where the next ties would overfill it.
 
-    Only sizes of ties go through the sequential pass, a row a value, in one sorted partition.
+    Only sizes of ties are looked at in order, by jumps from range to range (parts.opened).  Reads without the field come first.
     """
     value = A.get(F.col("ann"), field)
-    key = F.coalesce(F.nullif(value, F.lit("")).cast("double"), F.lit(0.0)) if numeric else value
-    kind = "double" if numeric else "string"
-    rows = reads.withColumn("_v", key)
-    sizes = rows.groupBy("_v").agg(F.count("*").alias("_c"))
-
-    def deal(batches):
-        import pandas as pd
-
-        part, held = 1, 0
-        for pdf in batches:
-            parts = []
-            for c in pdf["_c"]:
-                if held and held + c > most:
-                    part, held = part + 1, 0
-                held += c
-                parts.append(part)
-            yield pd.DataFrame({"_v": pdf["_v"], "part": parts})
-
-    dealt = sizes.coalesce(1).sortWithinPartitions("_v").mapInPandas(deal, f"_v {kind}, part int")
-    return rows.join(dealt, "_v").drop("_v")
+    rows = reads.withColumn("_v", F.coalesce(F.nullif(value, F.lit("")).cast("double"), F.lit(0.0)) if numeric else value)
+    dealt = opened(rows.groupBy("_v").agg(F.count("*").alias("size")), [F.col("_v")], most)
+    dealt = dealt.select(F.col("_v").alias("_w"), "part")
+    return rows.join(dealt, F.col("_v").eqNullSafe(F.col("_w"))).drop("_v", "_w")
