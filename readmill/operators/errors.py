@@ -66,13 +66,13 @@ def pair_distances(values: DataFrame, value: str, pad: str = "none") -> DataFram
     fill them with N.  Values of up to SUBSET_LENGTH letters are never paired: see _by_subsets.  Longer ones are compared
     in blocks.
     """
-    longest = values.agg(F.max(F.length(value))).first()[0] or 0
-    text = F.col(value)
+    distinct = checkpointed(values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("w")))  # values are made once
+    longest = distinct.agg(F.max(F.length("v"))).first()[0] or 0
     if pad == "none":
-        values = values.where(F.length(value) == longest)
+        weighted = distinct.where(F.length("v") == longest)
     else:
-        text = (F.lpad if pad == "head" else F.rpad)(text, longest, "N")
-    weighted = values.select(text.alias("v")).groupBy("v").agg(F.count("*").alias("w"))
+        padded = (F.lpad if pad == "head" else F.rpad)(F.col("v"), longest, "N")
+        weighted = distinct.where("v is not null").groupBy(padded.alias("v")).agg(F.sum("w").alias("w"))
     if longest <= SUBSET_LENGTH:
         out = _by_subsets(weighted, longest)
     else:
@@ -134,7 +134,8 @@ def _by_blocks(weighted: DataFrame) -> DataFrame:
 
 def barcode_distances(reads: DataFrame, field: str = "BARCODE", pad: str = "none") -> DataFrame:
     """Histogram of the distances of all pairs of barcodes."""
-    return pair_distances(reads.select(A.get(F.col("ann"), field).alias("v")).where("v is not null"), "v", pad)
+    values = reads.select(F.inline(F.array(F.struct(A.get(F.col("ann"), field).alias("v")))))  # so that the filter doesn't make them again
+    return pair_distances(values.where("v is not null"), "v", pad)
 
 
 def bin_table(length: int, bins: int) -> list[int]:
