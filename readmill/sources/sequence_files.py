@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
 from readmill.schema import ANN
+from readmill.sources.blocks import write_blocks
 from readmill.sources.scan import scan
 
 KINDS = {"fasta": ("fasta", "fna", "fa"), "fastq": ("fastq", "fq"), "table": ("tab", "tsv")}
@@ -113,12 +114,22 @@ def record_text(kind: str, header: Column) -> Column:
     return F.concat(F.lit("@"), header, F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.coalesce("qual", F.rpad(F.lit(""), F.length("seq"), "!")))
 
 
-def write_sequences(reads: DataFrame, path: str, kind: str = "fastq", compress: bool = False, by: str | None = None, delimiters: tuple[str, str, str] = A.DELIMITERS) -> None:
-    """Reads as text files in a folder, gzip if asked; by: a folder for each value of a column."""
+def write_sequences(reads: DataFrame, path: str, kind: str = "fastq", compress: bool = False, by: str | None = None, delimiters: tuple[str, str, str] = A.DELIMITERS, ordered: bool = False) -> None:
+    """Reads as text files in a folder; by: a folder for each value of a column.
+
+    compress: block gzip, which is read in ranges again (with `by`, Spark's gzip).  ordered: files that give all reads in
+    their files' order when they are put together by name; rows are sorted by ranges of it.
+    """
+    if ordered:
+        reads = reads.repartitionByRange("src", "ord").sortWithinPartitions("src", "ord")
     header = A.flatten(F.col("read_id"), F.col("ann"), delimiters)
     rows = reads.select(record_text(kind, header).alias("value"), *([by] if by else []))
-    writer = rows.write.option("compression", "gzip" if compress else "none")
-    (writer.partitionBy(by) if by else writer).text(path)
+    if by:
+        rows.write.option("compression", "gzip" if compress else "none").partitionBy(by).text(path)
+    elif compress:
+        write_blocks(rows, path)
+    else:
+        rows.write.text(path)
 
 
 def write_log(logs: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from readmill.sources import blocks as B
 from readmill.sources import scan as R
 from readmill.sources import sequence_files as IO
 
@@ -122,3 +123,31 @@ def test_tables_of_packed_files(spark, tmp_path):
 
 def test_sizes_as_settings_have_them():
     assert [R._bytes(x) for x in ("700", "134217728b", "128MB", "64k", "1g")] == [700, 1 << 27, 1 << 27, 1 << 16, 1 << 30]
+
+
+def test_block_gzip_in_order_and_back(spark, tmp_path):
+    rows = [(h, s, q) for h, s, q in made(3000, 2) if s]
+    (tmp_path / "a.fastq").write_bytes(fastq(rows, 1000))
+    reads = IO.read_fastq(spark, str(tmp_path / "a.fastq"))
+    out = tmp_path / "out.fastq.gz"
+    IO.write_sequences(reads.repartition(5), str(out), compress=True, ordered=True)
+    assert sorted(p.name for p in out.iterdir())[0] == "_SUCCESS" and not list(out.glob("_attempt*"))
+    joined = b"".join(p.read_bytes() for p in sorted(out.glob("part-*")))
+    assert gzip.decompress(joined).decode() == "".join(f"@{h}\n{s}\n+\n{q}\n" for h, s, q in rows)
+    (tmp_path / "one.fastq.gz").write_bytes(joined)
+    assert R.packed_how(f"file://{tmp_path}/one.fastq.gz") == "blocks"
+    assert by_ranges(tmp_path / "one.fastq.gz", 5000, window=1 << 16) == rows
+    assert sorted((r["header"], r["seq"], r["qual"]) for r in IO.read_fastq(spark, str(out)).collect()) == sorted(rows)
+    with pytest.raises(Exception, match="already"):
+        IO.write_sequences(reads, str(out), compress=True)
+
+
+def test_members_hold_long_lines():
+    import pyarrow as pa
+
+    draw = random.Random(4)
+    lines = ["".join(draw.choices("ACGT@!~", k=k)) for k in (0, 10, 200_000, 65_280, 65_279)]
+    parts = list(B.members(iter([pa.RecordBatch.from_pydict({"value": lines})])))
+    assert gzip.decompress(b"".join(parts)).decode() == "\n".join(lines) + "\n" and max(map(len, parts)) <= 1 << 16
+    noise = draw.randbytes(B.MEMBER_TEXT)
+    assert len(B.member(noise)) < 1 << 16 and gzip.decompress(B.member(noise)) == noise
