@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -112,18 +113,16 @@ class Vocabulary:
     def read(self, text: str) -> tuple[Tokens, list[bytes], np.ndarray]:
         """A text's tokens, its rare words, and the head numbers of the others."""
         words = words_of(text)
-        got = list(map(self.index.get, words))
-        got.append(self.index[END])
-        rare = [w for w, g in zip(words, got, strict=False) if g is None]
-        if not rare:
-            head = np.array(got, np.int64)
-            return Tokens(self.row[head], self.cls[head], self.place[head]), rare, head
-        at = np.fromiter((g is None for g in got), bool, len(got))
-        head = np.array([g for g in got if g is not None], np.int64)
-        out = Tokens(np.empty(len(got), np.int32), np.empty(len(got), np.int16), np.full(len(got), -1, np.int16))
-        out.row[~at], out.cls[~at], out.place[~at] = self.row[head], self.cls[head], self.place[head]
-        out.row[at] = [SOFT_CLASSES * CLASS_WORDS + self._ends(w) for w in rare]
-        out.cls[at] = [SOFT_CLASSES + PLAIN_CLASSES + rare_class(w) for w in rare]
+        words.append(END)
+        head = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        out = Tokens(self.row[head], self.cls[head], self.place[head])
+        at = np.flatnonzero(head < 0)
+        rare = [words[i] for i in at.tolist()]
+        if rare:
+            out.row[at] = [SOFT_CLASSES * CLASS_WORDS + self._ends(w) for w in rare]
+            out.cls[at] = [SOFT_CLASSES + PLAIN_CLASSES + rare_class(w) for w in rare]
+            out.place[at] = -1
+            head = head[head >= 0]
         return out, rare, head
 
 

@@ -644,6 +644,31 @@ def test_lm_learns_from_every_token_of_uneven_texts():
     assert gru.log_probabilities(got, texts[-1:])[0] > gru.log_probabilities(p, texts[-1:])[0]
 
 
+def test_lm_windows_of_the_last_streams_get_longer(monkeypatch):
+    v, windows, gradients = small_vocabulary(), [], gru.gradients
+    p = gru.start(lm_scoring.SOFT_CLASSES * gru.CLASS_WORDS + lm_scoring.END_ROWS, v.class_logs, v.word_logs)
+    texts = [v.read(t)[0] for t in ["w1 w2 w3 " * 10] * 200 + ["w4 w5 " * 4000]]
+    monkeypatch.setattr(gru, "gradients", lambda p, row, fresh, cls, place, used, h: windows.append((used.size, used.sum())) or gradients(p, row, fresh, cls, place, used, h))
+    gru.train(p, texts)
+    assert sum(n for _, n in windows) == sum(len(x.row) for x in texts)
+    assert len(windows) < 20 and max(n for n, _ in windows) <= gru.STREAMS * gru.STEPS
+
+
+def test_lm_slopes_and_outputs_where_exponentials_need_a_shift():
+    v = small_vocabulary()
+    rng = np.random.default_rng(6)
+    p = gru.start(lm_scoring.SOFT_CLASSES * gru.CLASS_WORDS + lm_scoring.END_ROWS, v.class_logs, v.word_logs)
+    p = {k: x + rng.normal(0, 0.2, x.shape).astype(np.float32) for k, x in p.items()}
+    x = v.read(" ".join(f"w{i}" for i in rng.integers(0, 900, 47)))[0]
+    at = [a.reshape(16, 3) for a in (x.row, np.zeros(48, bool), x.cls, x.place, np.arange(48) < 40)]
+    h = np.zeros((3, gru.WIDTH), np.float32)
+    shifted = {**p, "bc": p["bc"] + np.float32(500), "bw": p["bw"] - np.float32(500)}  # no softmax changes by that
+    for name, g in gru.gradients(p, *at, h)[0].items():
+        np.testing.assert_allclose(gru.gradients(shifted, *at, h)[0][name], g, rtol=0.02, atol=2e-5, err_msg=name)
+    some = rng.uniform(-1, 1, (48, gru.WIDTH)).astype(np.float32)
+    np.testing.assert_allclose(gru.outputs(shifted, some, x.cls, x.place), gru.outputs(p, some, x.cls, x.place), rtol=1e-3, atol=1e-3)
+
+
 def test_lm_network_learns_from_every_training_text(spark, monkeypatch):
     v, seen, given, train = small_vocabulary(), spark.sparkContext.accumulator(0), [], lm_scoring.train
 
