@@ -85,6 +85,18 @@ def test_words_with_tails_and_lines(tokenizer):
     assert ChunkEncoder(JSON, "length").lengths(texts) == list(map(len, want))
 
 
+def test_words_with_several_signs_share_a_stem(tokenizer, monkeypatch):
+    texts = ["stemword stemword. stemword!! stemword*** stemword's stemword' stemword%%%% é!? \u01c5?! ²) x<|endoftext|> y<| z|>. q\u00a0?! \tw!", "stemword... stemword\n(stemword) 7.) a\u0301!! \u4e2d\u6587!!"]
+    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    one, given = ChunkEncoder(JSON, "ids"), []
+    encode = one.encode_words
+    monkeypatch.setattr(one, "encode_words", lambda words: given.extend(words) or encode(words))
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in one.ids(texts)] == want
+    assert ChunkEncoder(JSON, "length").lengths(texts) == list(map(len, want))
+    assert given.count("stemword") == 1 and not {"stemword!!", "stemword***", "stemword'"} & set(given)
+
+
 def test_long_texts_are_cut_safely(tokenizer, monkeypatch):
     monkeypatch.setattr("readmill.llm.tokens.SEGMENT_CHARS", 50)
     monkeypatch.setattr("readmill.llm.tokens.segments.__defaults__", (50,))
