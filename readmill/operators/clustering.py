@@ -7,13 +7,13 @@ enough equal letters.  The outcome depends on the texts alone, not on how they a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readmill.functions import annotation as A
@@ -21,8 +21,11 @@ from readmill.operators.consensus import with_set
 from readmill.operators.split import numbered
 from readmill.schema import checkpointed
 
-#: Cells of score tables held at a time; texts of a set that one task clusters, and how often, before near pairs are joined.
-CELLS, BATCH, BATCHES = 4_000_000, 1000, 3
+#: Cells of tables and pairs of texts that a task holds at a time; texts that it compares with the centroids at a time.
+CELLS, PAIRS, BLOCK = 4_000_000, 1 << 16, 256
+#: Texts of a set that one task clusters, and how often, before near pairs are listed; texts that a task compares with the
+#: centroids of a batch; letters of a block of texts whose pairs are listed.
+BATCH, BATCHES, DEAL, LETTERS = 20_000, 3, 8_000, 2_400_000
 
 
 @dataclass(frozen=True)
@@ -52,49 +55,92 @@ def in_order(texts: Iterable[str]) -> list[str]:
     return sorted(texts, key=lambda t: (-len(t), t))
 
 
-def _matrix(texts: list[str], width: int) -> np.ndarray:
-    return np.frombuffer("".join(x.ljust(width, "\0") for x in texts).encode("utf-32-le"), "<u4").reshape(len(texts), width)
+def _letters(texts: list[str], size: np.ndarray, width: int) -> np.ndarray:
+    """Rows of letters as numbers from 1, of a byte if there are few; 0 behind a text's end."""
+    codes = np.frombuffer("".join(x.ljust(width, "\0") for x in texts).encode("utf-32-le"), "<u4").reshape(len(texts), width)
+    inside = np.arange(width) < size[:, None]
+    known = np.unique(codes[inside])
+    return np.where(inside, np.searchsorted(known, codes) + 1, 0).astype(np.uint8 if len(known) < 255 else np.uint32)
 
 
 def identities(one: list[str], other: list[str], rule: Rule) -> np.ndarray:
-    """Identity of each pair of texts by the rule; alignments are of match 1, mismatch -1 and gaps rule.gap.
+    """Identity of each pair of texts by the rule; alignments are of match 1, mismatch -1 and gaps rule.gap."""
+    size = np.fromiter(map(len, [*one, *other]), np.int64, len(one) + len(other))
+    letters = _letters([*one, *other], size, int(size.max(initial=1)))
+    return _identities(letters, size, np.arange(len(one)), np.arange(len(one), len(size)), rule)
+
+
+def _identities(letters: np.ndarray, size: np.ndarray, one: np.ndarray, other: np.ndarray, rule: Rule, only_near: bool = False) -> np.ndarray:
+    """Identity of pairs of rows of letters; only_near: 0 instead of one that isn't enough, where that is known before.
 
     Texts of one length with more than 0.8 of their letters equal aren't aligned.  Score tables of many pairs are filled a
     row at a time, and paths are followed back for all at once (a letter pair before a gap).
     """
     out = np.zeros(len(one))
-    n_all, m_all = (np.fromiter(map(len, x), np.int64, len(x)) for x in (one, other))
-    order = np.lexsort((m_all, n_all))  # pairs of like sizes together
+    n_all, m_all = size[one], size[other]
+    order = np.lexsort((m_all, n_all)) if len(one) and (np.ptp(n_all) or np.ptp(m_all)) else np.arange(len(one))  # pairs of like sizes together
     at = 0
     while at < len(order):
-        top, wide = int(n_all[order[at]]), int(m_all[order[at : at + 4096]].max())
-        step = max(1, min(4096, CELLS // ((top + 1) * (wide + 1))))
+        top, wide = int(n_all[order[at]]), int(m_all[order[at : at + PAIRS]].max())
+        step = max(1, min(PAIRS, CELLS // 4 // ((top + 1) * (wide + 1))))
         own = order[at : at + step]
         own = own[n_all[own] <= max(top + 8, top * 1.2)]
         at += len(own)
         n, m = n_all[own], m_all[own]
-        a, b = (_matrix([x[k] for k in own], int(size.max())) for x, size in ((one, n), (other, m)))
+        a, b = letters[one[own], : int(n.max())], letters[other[own], : int(m.max())]
         share, width = np.zeros(len(own)), min(a.shape[1], b.shape[1])
         level = (n == m) & (n > 0)
         if level.any():
-            share[level] = ((a[level, :width] == b[level, :width]) & (np.arange(width) < n[level, None])).sum(axis=1) / n[level]
+            same = a[level, :width] == b[level, :width]
+            share[level] = (same if n.min() == width else same & (np.arange(width) < n[level, None])).sum(axis=1, dtype=np.int32) / n[level]
         todo = np.flatnonzero((share <= 0.8) & (n > 0) & (m > 0)) if rule.aligned else []
         if len(todo):
-            share[todo] = _aligned_share(a[todo], n[todo], b[todo], m[todo], rule)
+            share[todo] = _aligned_share(a[todo], n[todo], b[todo], m[todo], rule, only_near)
         out[own] = share
     return out
 
 
-def _aligned_share(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, rule: Rule) -> np.ndarray:
-    gap, rows = rule.gap, np.arange(len(n))
-    steps = np.arange(b.shape[1] + 1, dtype=np.int32) * gap
-    h = np.empty((a.shape[1] + 1, len(n), b.shape[1] + 1), np.int32)
+@cache
+def _near_scores(most: int, rule: Rule) -> np.ndarray:
+    """Whether an alignment of enough identity may have a score, which with rule.gap for each letter added is a sum over the
+    columns of two letters: 1 + 2 gap for each of m matches and 2 gap - 1 for each of x mismatches."""
+    m, x = np.ogrid[: most + 1, : most + 1]
+    out = np.zeros(most * (1 + 2 * rule.gap) + 1, bool)
+    able = (m + x <= most) & (m > 0) & (rule.shorter | (m >= rule.ident * (m + x) - 1e-9))
+    out[(m * (1 + 2 * rule.gap) + x * (2 * rule.gap - 1))[able]] = True
+    return out
+
+
+def _aligned_share(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, rule: Rule, only_near: bool = False) -> np.ndarray:
+    kind = np.int16 if (a.shape[1] + b.shape[1]) * rule.gap < 1 << 14 else np.int32
+    gap, rows = kind(rule.gap), np.arange(len(n))
+    steps = np.arange(b.shape[1] + 1, dtype=kind) * gap
+    h = np.empty((a.shape[1] + 1, len(n), b.shape[1] + 1), kind)
     h[0] = -steps
     for i in range(1, a.shape[1] + 1):
-        row = np.empty((len(n), b.shape[1] + 1), np.int32)
+        row = np.empty((len(n), b.shape[1] + 1), kind)
         row[:, 0] = -i * gap
-        np.maximum(h[i - 1, :, :-1] + np.where(b == a[:, i - 1, None], 1, -1), h[i - 1, :, 1:] - gap, out=row[:, 1:])
-        h[i] = np.maximum.accumulate(row + steps, axis=1) - steps
+        np.maximum(h[i - 1, :, :-1] + np.where(b == a[:, i - 1, None], kind(1), kind(-1)), h[i - 1, :, 1:] - gap, out=row[:, 1:])
+        row += steps
+        np.maximum.accumulate(row, axis=1, out=row)
+        np.subtract(row, steps, out=h[i])
+    out = np.zeros(len(n))
+    if only_near:  # paths are followed only where the score leaves it open
+        total = h[n, rows, m].astype(np.int64) + rule.gap * (n + m)
+        able = total >= 0
+        able[able] = _near_scores(int(np.minimum(n, m).max()), rule)[total[able]]
+        if rule.shorter:
+            able &= total >= np.ceil(rule.ident * np.minimum(n, m) - 1e-9) * (1 + 2 * rule.gap)
+        keep = np.flatnonzero(able)
+        if len(keep) < len(n):
+            if len(keep):
+                out[keep] = _followed(a[keep], n[keep], b[keep], m[keep], h[:, keep], rule)
+            return out
+    return _followed(a, n, b, m, h, rule)
+
+
+def _followed(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, h: np.ndarray, rule: Rule) -> np.ndarray:
+    gap, rows = rule.gap, np.arange(len(n))
     i, j = n.copy(), m.copy()
     matches, columns, trailing, run, last = (np.zeros(len(n), np.int64) for _ in range(5))  # last: 0 none, 1 pair, 2 and 3 gaps
     while (open_ := (i > 0) | (j > 0)).any():
@@ -114,46 +160,127 @@ def _aligned_share(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, r
     return matches / np.maximum(1, np.minimum(n, m) if rule.shorter else columns - trailing - leading)
 
 
-class Centroids:
-    """Centroids in order, with an index of their words."""
-
-    def __init__(self, rule: Rule) -> None:
-        self.rule = rule
-        self.seqs: list[str] = []
-        self.of_word: dict[str, list[int]] = {}
-
-    def add(self, seq: str) -> None:
-        for w in self.rule.words(seq):
-            self.of_word.setdefault(w, []).append(len(self.seqs))
-        self.seqs.append(seq)
-
-    def find(self, seq: str) -> str | None:
-        """The first centroid that the text is near."""
-        words, rule = self.rule.words(seq), self.rule
-        found = [self.of_word[w] for w in words if w in self.of_word]
-        if not found:
-            return None
-        shared = np.bincount(np.concatenate(found), minlength=len(self.seqs))
-        able = [k for k in np.flatnonzero(shared >= min(rule.shared, len(words))).tolist() if min(len(seq), len(self.seqs[k])) >= rule.length_ratio * max(len(seq), len(self.seqs[k]))]
-        at, size = 0, 16
-        while at < len(able):
-            part = [self.seqs[k] for k in able[at : at + size]]
-            hits = np.flatnonzero(identities([seq] * len(part), part, rule) >= rule.ident)
-            if len(hits):
-                return part[hits[0]]
-            at, size = at + size, min(4 * size, 1024)
-        return None
+class Texts:
+    """Distinct texts in order, as rows of letters, each with its distinct words; a row's number says its place in the order."""
+
+    def __init__(self, texts: list[str], rule: Rule) -> None:
+        self.rule, self.size = rule, np.fromiter(map(len, texts), np.int64, len(texts))
+        width = max(rule.word, int(self.size.max(initial=0)))
+        self.letters = _letters(texts, self.size, width)
+        base = int(self.letters.max(initial=0)) + 1
+        if base**rule.word < 1 << 62:
+            parts = [self._words(at, base) for at in range(0, len(texts), max(1, CELLS // width))]
+        else:  # words of more than 62 bits
+            number: dict[str, int] = {}
+            listed = [[number.setdefault(w, len(number)) for w in rule.words(text)] for text in texts]
+            parts = [(np.full(len(x), k), np.array(x, np.int64)) for k, x in enumerate(listed)]
+        self.row, self.word = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(2))
+        self.words = int(self.word.max(initial=-1)) + 1
+        if self.words > 4 * len(self.word):
+            known, self.word = np.unique(self.word, return_inverse=True)
+            self.words = len(known)
+        self.count = np.bincount(self.row, minlength=len(texts))
+        self.begin = np.r_[0, np.cumsum(self.count)]
+
+    def _words(self, at: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and distinct words of a part of the texts; a word is the number that its letters write."""
+        n, rule = self.size[at : at + max(1, CELLS // self.letters.shape[1])], self.rule
+        letters = self.letters[at : at + len(n)].astype(np.int64)
+        places = letters.shape[1] - rule.word + 1
+        word = np.zeros((len(n), places), np.int64)
+        for k in range(rule.word):
+            word = word * base + letters[:, k : k + places]
+        word[np.arange(places) >= np.maximum(1, n - rule.word + 1)[:, None]] = -1
+        word.sort(axis=1)
+        first = word >= 0
+        first[:, 1:] &= word[:, 1:] != word[:, :-1]
+        return np.nonzero(first)[0] + at, word[first]
+
+    def met(self, queries: np.ndarray, index: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, other) rows that share enough words, sorted, a part of the queries at a time; without an index every pair of queries once."""
+        own = _ranges(self.begin[queries], self.count[queries])
+        row, word = np.repeat(np.arange(len(queries)), self.count[queries]), self.word[own]
+        there = own if index is None else _ranges(self.begin[index], self.count[index])
+        others = queries if index is None else index
+        order = np.argsort(self.word[there], kind="stable")
+        posted = np.repeat(np.arange(len(others)), self.count[others])[order]
+        start = np.r_[0, np.cumsum(np.bincount(self.word[there], minlength=self.words))]
+        lo, hi = start[word], start[word + 1]
+        if index is None:
+            hi = np.empty(len(order), np.int64)
+            hi[order] = np.arange(len(order))  # others of the word before the query itself
+        run = hi - lo
+        ends = np.r_[0, np.cumsum(run)][np.r_[0, np.cumsum(self.count[queries])]]  # words met before each query
+        least = min(self.rule.shared, int(self.count[queries].min(initial=1 << 30)), int(self.count[others].min(initial=1 << 30)))
+        at = 0
+        while at < len(queries):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CELLS // 2, "right")) - 1)
+            part = slice(*np.searchsorted(row, [at, to]))
+            key = np.repeat(row[part] * len(others), run[part]) + posted[_ranges(lo[part], run[part])]
+            key.sort()
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            c = np.diff(np.r_[first, len(key)])
+            key, c = key[first[c >= least]], c[c >= least]
+            query, other = queries[key // len(others)], others[key % len(others)]
+            later = np.maximum(query, other)
+            enough = c >= np.minimum(self.rule.shared, self.count[later])
+            yield query[enough], other[enough]
+            at = to
+
+    def near(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether the later row of each pair is near the earlier one."""
+        later, earlier, rule = np.maximum(one, other), np.minimum(one, other), self.rule
+        out = self.size[later] >= rule.length_ratio * self.size[earlier]
+        if not rule.aligned:
+            out &= self.size[later] == self.size[earlier]
+        todo = np.flatnonzero(out)
+        out[todo] = _identities(self.letters, self.size, later[todo], earlier[todo], rule, True) >= rule.ident
+        return out
+
+    def first(self, queries: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """The first of the heads, which are earlier, that each query is near; -1: none."""
+        out = np.full(len(self.size), -1)
+        for query, head in self.met(queries, heads):
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            at, size = 0, 16 if self.rule.aligned else len(query)
+            while len(query):
+                now = place < at + size
+                hit = self.near(query[now], head[now])
+                found, where = np.unique(query[now][hit], return_index=True)
+                out[found] = head[now][hit][where]
+                left = ~now & (out[query] < 0)
+                query, head, place = query[left], head[left], place[left]
+                at, size = at + size, min(4 * size, 1024)
+        return out[queries]
+
+    def pairs(self, queries: np.ndarray, index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(later, earlier) rows of all near pairs."""
+        found = [(np.maximum(q, o)[hit], np.minimum(q, o)[hit]) for q, o in self.met(queries, index) for hit in [self.near(q, o)]]
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one behind the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def greedy(seqs: list[str], rule: Rule) -> list[str]:
-    """Each text's centroid, by one pass over the distinct texts in order."""
-    heads, centroids = {}, Centroids(rule)
-    for seq in in_order(set(seqs)):
-        heads[seq] = centroids.find(seq)
-        if heads[seq] is None:
-            centroids.add(seq)
-            heads[seq] = seq
-    return [heads[s] for s in seqs]
+    """Each text's centroid, by one pass over the distinct texts in order: BLOCK of them at a time against the centroids before."""
+    order = in_order(set(seqs))
+    texts, head, centroids = Texts(order, rule), np.arange(len(order)), np.zeros(0, np.int64)
+    for at in range(0, len(order), BLOCK):
+        block = np.arange(at, min(at + BLOCK, len(order)))
+        found = texts.first(block, centroids) if len(centroids) else np.full(len(block), -1)
+        head[block[found >= 0]] = found[found >= 0]
+        left = block[found < 0]
+        near: dict[int, list[int]] = {}
+        for later, earlier in sorted(zip(*(x.tolist() for x in texts.pairs(left)), strict=True)):
+            near.setdefault(later, []).append(earlier)
+        for k in left.tolist():
+            head[k] = next((e for e in near.get(k, ()) if head[e] == e), k)
+        centroids = np.r_[centroids, left[head[left] == left]]
+    of = {seq: order[k] for seq, k in zip(order, head.tolist(), strict=True)}
+    return [of[s] for s in seqs]
 
 
 def _trimmed(start: int, end: int | None):
@@ -173,87 +300,109 @@ def _owned(texts: pa.Table, heads: list[str | None]) -> pa.Table:
     return pa.table({"set_id": texts["set_id"], "v": texts["v"], "head": pa.array(heads, pa.string())})
 
 
+def _cluster(rule: Rule) -> Callable[[pa.Table], pa.Table]:
+    def cluster(group: pa.Table) -> pa.Table:
+        return _owned(group, greedy(group["v"].to_pylist(), rule))
+
+    return cluster
+
+
+def _take(rule: Rule) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def take(heads: pa.Table, rest: pa.Table) -> pa.Table:
+        """The first of the heads, all of them earlier, that each text is near."""
+        order, own = in_order(heads["head"].to_pylist()), rest["v"].to_pylist()
+        if not order or not own:
+            return _owned(rest, [None] * len(own))
+        texts = Texts(order + own, rule)
+        found = texts.first(np.arange(len(order), len(texts.size)), np.arange(len(order)))
+        return _owned(rest, [order[k] if k >= 0 else None for k in found.tolist()])
+
+    return take
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys, to a number of tasks that doesn't shrink with their bytes: a few bytes are much work here."""
+    return rows.repartition(3 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _placed(left: DataFrame) -> DataFrame:
+    """Texts with `id`, their place in the order of sets and texts."""
+    return numbered(left, [F.col("set_id"), -F.length("v"), F.col("v")], "id")
+
+
 def owners(values: DataFrame, rule: Rule) -> DataFrame:
     """set_id, v, head of distinct non-empty texts (set_id, v): the centroid that one greedy pass over each set gives them.
 
-    First, for ordinary sets and for dense groups, BATCHES times: a set's next BATCH texts in order are clustered by one
-    task, and the set's other texts, dealt to as many tasks as they need, leave if they are near one of its centroids.
-    What large sets have left then, and by then no dense group leads, is settled by its near pairs: a text whose earlier
-    near texts are all no centroids is one, and those near a centroid are none.  The number of rounds is the depth of
-    that dependency, whatever the number of centroids, and the outcome doesn't depend on BATCH or BATCHES.
+    A set of up to BATCH texts is clustered by one task.  Of larger ones, BATCHES times, the next BATCH texts in order are,
+    and the set's other texts, dealt to as many tasks as they need, leave if they are near one of its centroids.  What is
+    left then, and by then no dense group leads, is settled by its near pairs: a text whose earlier near texts are all no
+    centroids is one, and those near a centroid are none.  The number of rounds is the depth of that dependency, whatever
+    the number of centroids, and the outcome doesn't depend on BATCH or BATCHES.
     """
     left = checkpointed(values.select("set_id", "v").where("v <> ''").distinct())
     parts: list[DataFrame] = []
     for _ in range(BATCHES):
-        place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc(F.length("v")), "v"))
-        batch = left.withColumn("place", place).where(F.col("place") <= BATCH).drop("place")
-
-        def cluster(group: pa.Table) -> pa.Table:
-            return _owned(group, greedy(group["v"].to_pylist(), rule))
-
-        own = checkpointed(batch.groupBy("set_id").applyInArrow(cluster, OWNED))
+        most = left.groupBy("set_id").count().agg(F.max("count")).first()[0] or 0
+        if most <= BATCH:
+            parts.append(_dealt(left, "set_id").groupBy("set_id").applyInArrow(_cluster(rule), OWNED))
+            break
+        placed = _placed(left)
+        sets = placed.groupBy("set_id").agg(F.min("id").alias("from"), F.ceil(F.count("*") / DEAL).cast("int").alias("deals"))
+        placed = checkpointed(placed.join(sets, "set_id").withColumn("first", F.col("id") - F.col("from") < BATCH))
+        own = checkpointed(_dealt(placed.where("first").select("set_id", "v"), "set_id").groupBy("set_id").applyInArrow(_cluster(rule), OWNED))
         parts.append(own)
-        rest = left.join(own, ["set_id", "v"], "left_anti")
-        sizes = rest.groupBy("set_id").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("deals"))
-        rest = rest.join(sizes, "set_id").select("set_id", F.pmod(F.xxhash64("v"), F.col("deals")).cast("int").alias("deal"), "v")
-        sent = own.where("v = head").join(sizes, "set_id").select("set_id", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "head")
-
-        def take(heads: pa.Table, texts: pa.Table) -> pa.Table:
-            centroids = Centroids(rule)
-            for head in in_order(heads["head"].to_pylist()):
-                centroids.add(head)
-            return _owned(texts, list(map(centroids.find, texts["v"].to_pylist())))
-
-        found = checkpointed(sent.groupBy("set_id", "deal").cogroup(rest.groupBy("set_id", "deal")).applyInArrow(take, OWNED))
+        rest = placed.where("not first").select("set_id", F.pmod(F.xxhash64("v"), F.col("deals")).cast("int").alias("deal"), "v")
+        crowded = placed.where("not first").select("set_id", "deals").distinct()
+        sent = own.where("v = head").join(crowded, "set_id").select("set_id", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "head")
+        found = checkpointed(_dealt(sent, "set_id", "deal").groupBy("set_id", "deal").cogroup(_dealt(rest, "set_id", "deal").groupBy("set_id", "deal")).applyInArrow(_take(rule), OWNED))
         parts.append(found.where("head is not null"))
         left = found.where("head is null").select("set_id", "v")
-        if left.isEmpty():
-            break
     else:
-        parts.append(_by_pairs(left, near_pairs(left, rule)))
+        placed = checkpointed(_placed(left))
+        parts.append(_by_pairs(placed, near_pairs(placed, rule)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def near_pairs(left: DataFrame, rule: Rule) -> DataFrame:
-    """set_id, v, earlier: near texts of a set, found by their common words and verified by alignment."""
-    n = rule.word
-    words = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("v") - (n - 1), F.lit(1))), lambda i: F.substring("v", i, n)))
-    rows = left.withColumn("w", words).withColumn("need", F.least(F.size("w"), F.lit(rule.shared)))
-    rows = rows.select("set_id", "v", F.length("v").alias("n"), "need", F.explode("w").alias("w"))
-    other = rows.select("set_id", "w", F.col("v").alias("earlier"), F.col("n").alias("m"))
-    before = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("earlier") < F.col("v")))
-    met = rows.join(other, ["set_id", "w"]).where(before & (F.col("n") >= rule.length_ratio * F.col("m")))
-    candidates = met.groupBy("set_id", "v", "earlier").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need")
+def near_pairs(placed: DataFrame, rule: Rule) -> DataFrame:
+    """id, earlier: near texts (id, set_id, v) of a set, by their ids.
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(identities(batch["v"].to_pylist(), batch["earlier"].to_pylist(), rule) >= rule.ident))
-
-    return candidates.select("set_id", "v", "earlier").mapInArrow(verify, "set_id string, v string, earlier string")
-
-
-def _by_pairs(left: DataFrame, pairs: DataFrame) -> DataFrame:
-    """set_id, v, head of texts by their near pairs: the priority-ordered independent set, by rounds of joins."""
+    A set's texts are dealt to blocks, and a task compares those of two blocks (or one): words in common are counted over
+    lists of the texts that have a word, and texts that share enough are compared.  So pairs that share a word by chance
+    are never rows; a text goes to as many tasks as its set has blocks.
+    """
+    blocks = placed.groupBy("set_id").agg(F.ceil(F.sum(F.length("v")) / LETTERS).cast("int").alias("blocks"))
+    rows = placed.join(blocks, "set_id").select("set_id", "id", "v", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("own"))
+    cells = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("set_id", "id", "v", "own", cells).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def compare(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("id")
+        id_, own = cell["id"].to_numpy(), cell["own"].to_numpy()
+        texts, rows = Texts(cell["v"].to_pylist(), rule), np.arange(len(id_))
+        first = own == own[0]
+        if first.all():  # also the only block of its cell that has texts
+            later, earlier = texts.pairs(rows) if cell["i"][0] == cell["j"][0] else (rows[:0], rows[:0])
+        else:
+            later, earlier = texts.pairs(rows[first], rows[~first])
+        return pa.table({"id": id_[later], "earlier": id_[earlier]})
+
+    return _dealt(rows.select("set_id", "i", "j", "id", "own", "v"), "set_id", "i", "j").groupBy("set_id", "i", "j").applyInArrow(compare, "id bigint, earlier bigint")
+
+
+def _by_pairs(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """set_id, v, head of texts (id, set_id, v) by their near pairs: the priority-ordered independent set, by rounds of joins."""
     edges = checkpointed(pairs)
-    open_, todo, centroids = left, edges, left.limit(0)
+    todo, gone = edges, edges.select("id").limit(0)
     while not todo.isEmpty():
-        blocked = todo.select("set_id", "v").distinct()
-        new = checkpointed(open_.join(blocked, ["set_id", "v"], "left_anti"))
-        gone = todo.join(new.withColumnRenamed("v", "earlier"), ["set_id", "earlier"], "left_semi").select("set_id", "v").distinct()
-        centroids = centroids.unionByName(new)
-        open_ = checkpointed(open_.join(new, ["set_id", "v"], "left_anti").join(gone, ["set_id", "v"], "left_anti"))
+        # centroids that something is near: texts that are in no pair any more but as the earlier one
+        new = checkpointed(todo.select(F.col("earlier").alias("id")).distinct().join(todo.select("id").distinct(), "id", "left_anti"))
+        near = checkpointed(todo.join(new.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select("id").distinct())
+        gone, closed = gone.unionByName(near), new.unionByName(near)
         # only pairs of two open texts still say something
-        todo = checkpointed(todo.join(open_, ["set_id", "v"], "left_semi").join(open_.withColumnRenamed("v", "earlier"), ["set_id", "earlier"], "left_semi"))
-    centroids = checkpointed(centroids.unionByName(open_))
-    first = F.max(F.struct(F.length("earlier").alias("n"), _descending("earlier").alias("d"), "earlier"))
-    near = edges.join(centroids.withColumnRenamed("v", "earlier"), ["set_id", "earlier"], "left_semi").groupBy("set_id", "v").agg(first.alias("f"))
-    near = near.join(centroids, ["set_id", "v"], "left_anti").select("set_id", "v", F.col("f.earlier").alias("head"))
-    return near.unionByName(centroids.select("set_id", "v", F.col("v").alias("head")))
-
-
-def _descending(text: str) -> Column:
-    """Something that sorts texts of one length the other way round."""
-    return F.transform(F.split(text, ""), lambda c: -F.ascii(c))
+        todo = checkpointed(todo.join(closed, "id", "left_anti").join(closed.withColumnRenamed("id", "earlier"), "earlier", "left_anti"))
+    first = edges.join(gone.withColumnRenamed("id", "earlier"), "earlier", "left_anti").groupBy("id").agg(F.min("earlier").alias("first"))
+    heads = placed.select(F.col("id").alias("first"), F.col("v").alias("head"))
+    return placed.join(first, "id", "left").withColumn("first", F.coalesce("first", "id")).join(heads, "first").select("set_id", "v", "head")
 
 
 def cluster_sets(
@@ -284,12 +433,12 @@ def cluster_distinct(values: DataFrame, value: str, rule: Rule) -> DataFrame:
 
 def cluster_all(reads: DataFrame, ident: float = 0.9, length_ratio: float = 0.0, start: int = 0, end: int | None = None, cluster_field: str = "CLUSTER", prefix: str = "", **how) -> DataFrame:
     """Reads with a cluster of the whole table's sequences (named by its least member)."""
-    rows = reads.withColumn("_s", _trimmed(start, end))
+    rows = reads.select("*", F.inline(F.array(F.struct(_trimmed(start, end).alias("_s")))))  # made once, whatever filters it
     return _labelled(rows, cluster_distinct(rows, "_s", Rule(ident, length_ratio, **how)), ["_s"], cluster_field, prefix).drop("_s")
 
 
 def cluster_barcodes(reads: DataFrame, field: str = "BARCODE", ident: float = 0.9, length_ratio: float = 0.0, cluster_field: str = "CLUSTER", prefix: str = "", **how) -> DataFrame:
     """Reads with a cluster of their barcodes, of which only distinct ones are compared; one common word of 3 letters is enough."""
-    rows = reads.withColumn("_s", A.get(F.col("ann"), field)).where("_s is not null")
+    rows = with_set(reads, field).withColumnRenamed("set_id", "_s")
     rule = Rule(ident, length_ratio, **{"word": 3, "shared": 1} | how)
     return _labelled(rows, cluster_distinct(rows, "_s", rule), ["_s"], cluster_field, prefix).drop("_s")

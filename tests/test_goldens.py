@@ -386,6 +386,20 @@ def test_clusters_of_sets_have_one_order_and_numbering(spark, monkeypatch, batch
         assert {r["seq"]: r["cluster"] for r in got if r["set_id"] == b} == {s: number[h] for s, h in heads.items()}
 
 
+def test_near_pairs_have_no_rows_for_words_met_by_chance(spark, monkeypatch):
+    """Words in common are counted within tasks, also over several blocks; the pairs are those of plain comparisons."""
+    monkeypatch.setattr(clustering, "LETTERS", 800)
+    seqs, rule = clustering.in_order(set(families(40))), clustering.Rule(0.9, word=5, shared=4)
+    left = spark.createDataFrame([(k, "", s) for k, s in enumerate(seqs)], "id long, set_id string, v string")
+    pairs = clustering.near_pairs(left, rule)
+    assert "array_distinct" not in pairs._jdf.queryExecution().toString()
+    want = set()
+    for k, s in enumerate(seqs):
+        enough = [j for j in range(k) if len(rule.words(s) & rule.words(seqs[j])) >= min(4, len(rule.words(s)))]
+        want |= {(k, j) for j in enough if plain_identity(s, seqs[j]) >= 0.9}
+    assert {(r["id"], r["earlier"]) for r in pairs.collect()} == want and len(want) > 100
+
+
 def test_cluster_sets_leave_out_empty(spark):
     anns = [[("BARCODE", b)] for b in "XXY"]
     got = clustering.cluster_sets(make(spark, ["ACGTACGT", "ACG", "ACGTACGT"], anns=anns), start=4).collect()
