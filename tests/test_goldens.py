@@ -1,5 +1,7 @@
 """Known results of single operators."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -400,6 +402,20 @@ def test_near_pairs_have_no_rows_for_words_met_by_chance(spark, monkeypatch):
     assert {(r["id"], r["earlier"]) for r in pairs.collect()} == want and len(want) > 100
 
 
+def test_many_barcodes_cluster_in_time():
+    """Thousands of barcodes, in seconds: pairs are compared together, not a barcode at a time."""
+    rng = np.random.default_rng(8)
+    seqs = clustering.in_order({"".join(x) for x in rng.choice(list("ACGT"), (4000, 8))})
+    rule, start = dict(ident=0.85, word=3, shared=1), time.perf_counter()
+    heads, by_place = (clustering.greedy(seqs, clustering.Rule(**rule, aligned=aligned)) for aligned in (True, False))
+    assert time.perf_counter() - start < 10
+    letters = np.array([list(s.encode()) for s in seqs], np.uint8)
+    own = [k for k, h in enumerate(by_place) if h == seqs[k]]
+    far = (letters[:, None] != letters[own][None]).sum(axis=2)
+    assert by_place == [seqs[own[k]] for k in (far <= 1).argmax(axis=1)] and len(own) > 1000
+    assert all(plain_identity(s, h) >= 0.85 for s, h in list(zip(seqs, heads, strict=True))[::50])
+
+
 def test_cluster_sets_leave_out_empty(spark):
     anns = [[("BARCODE", b)] for b in "XXY"]
     got = clustering.cluster_sets(make(spark, ["ACGTACGT", "ACG", "ACGTACGT"], anns=anns), start=4).collect()
