@@ -578,3 +578,80 @@ def test_empty_sequences(spark):
     assert [tuple(x) for x in r] == [(0, 0, []), (0, 0, [0, 0])]
 
 
+
+
+def shared_words(spark):
+    rng = np.random.default_rng(21)
+    refs = [("".join(rng.choice(list("ACGT"), 40)), f"r{k}") for k in range(60)]
+    refs += [(t[:20] + "A" + t[21:], f"s{n}") for t, n in refs[:20]] + [("ACGTACGTACGTACGTAAAA", "u")]
+    mates = [(f"c{k}", refs[int(rng.integers(0, 81))][0][: int(rng.integers(4, 30))] + "N", "".join(rng.choice(list("ACGT"), 8)) + refs[int(rng.integers(0, 81))][0][10:]) for k in range(120)]
+    mates += [(f"d{k}", refs[k][0][:25], refs[k][0][12:]) for k in range(20)] + [("short", "AC", "ACGTACGTACGT")]
+    return mates, refs, spark.createDataFrame(mates, "coord string, h_seq string, t_seq string"), spark.createDataFrame(refs, "seq string, name string")
+
+
+def plain_seeds(text, refs, n=4):
+    out = {}
+    for seq, name in refs:
+        shifts = [j - i for i in range(len(text) - n + 1) for j in range(len(seq) - n + 1) if text[i : i + n] == seq[j : j + n] and "N" not in text[i : i + n]]
+        if shifts:
+            out[name] = (len(shifts), min(set(shifts), key=lambda x: (-shifts.count(x), x)))
+    return out
+
+
+def test_seeds_by_blocks_and_deals(spark, monkeypatch):
+    """No row for a word: what a deal of reads shares with a block of references is counted by a task."""
+    monkeypatch.setattr(reference, "BLOCK_LETTERS", 900)
+    monkeypatch.setattr(reference, "DEAL_LETTERS", 2000)
+    mates, refs, _, known = shared_words(spark)
+    queries = spark.createDataFrame([(c, h) for c, h, _ in mates], "query string, seq string")
+    for n in (4, 12):
+        got = {(r["query"], r["name"]): (r["shared"], r["shift"]) for r in reference.seeds(queries, known, n).collect()}
+        assert got == {(c, name): v for c, h, _ in mates for name, v in plain_seeds(h, refs, n).items()}
+
+
+def test_common_references_by_blocks_and_deals(spark, monkeypatch):
+    monkeypatch.setattr(reference, "BLOCK_LETTERS", 900)
+    monkeypatch.setattr(reference, "DEAL_LETTERS", 2000)
+    mates, refs, rows, known = shared_words(spark)
+    want = {c: sorted(set(plain_seeds(h, refs)) & set(plain_seeds(t, refs))) for c, h, t in mates}
+    got = {r["coord"]: (r["n"], r["first"]) for r in reference.common_references(rows, known, 4).collect()}
+    assert got == {c: (len(x), x[0]) for c, x in want.items() if x}
+
+
+@pytest.mark.parametrize("block", [900, 1 << 30])
+def test_only_references_of_both_mates_are_extended(spark, monkeypatch, block):
+    """Those that both have among their best, whatever the blocks; and the same common hit as by all hits of each."""
+    monkeypatch.setattr(reference, "BLOCK_LETTERS", block)
+    monkeypatch.setattr(reference, "DEAL_LETTERS", 2000)
+    mates, refs, rows, known = shared_words(spark)
+    most = lambda text: {n for n, _ in sorted(plain_seeds(text, refs).items(), key=lambda x: (-x[1][0], x[0]))[:5]}
+    pairs = spark.createDataFrame([(k, h, t) for k, (_, h, t) in enumerate(mates)], "pair long, h_seq string, t_seq string")
+    got = {(r["pair"], r["name"]) for r in reference.candidates(pairs, known, 5, 4).collect()}
+    assert got == {(k, n) for k, (_, h, t) in enumerate(mates) for n in most(h) & most(t)} and len(got) > 20
+    texts = sorted({x for m in mates for x in m[1:]})
+    hits = reference.hits(spark.createDataFrame(list(enumerate(texts)), "query bigint, seq string"), known, 1e-2, 5).collect()
+    best = {}
+    for r in hits:
+        best.setdefault(texts[r["query"]], {})[r["name"]] = (r["evalue"], r["name"])
+    want = {(h, t): min(both) for _, h, t in mates if (both := [best[h][n] for n in best.get(h, {}) if n in best.get(t, {})])}
+    found = {(r["h_seq"], r["t_seq"]): (r["h_evalue"], r["name"]) for r in reference.common_hits(rows, known, 1e-2, 5).collect()}
+    assert found == want and len(want) > 10
+
+
+def test_bound_of_extensions():
+    """What is left out by words of four letters can't have the score."""
+    rng = np.random.default_rng(4)
+    targets = ["".join(rng.choice(list("ACGTN"), 60)) for _ in range(600)]
+    reads = []
+    for t in targets:
+        x = list(t[10:45])
+        for _ in range(int(rng.integers(0, 7))):
+            i, kind = int(rng.integers(0, len(x))), int(rng.integers(0, 3))
+            x[i : i + (kind != 1)] = rng.choice(list("ACGT"), int(kind != 2)).tolist()
+        reads.append("".join(x))
+    shifts = np.full(600, 10)
+    score = reference.extended(reads, targets, shifts)[0]
+    for least in (8.0, 14.5, 20.0):
+        kept = reference.able(reads, targets, shifts, np.full(600, least))
+        assert kept[score >= least].all()
+    assert reference.able(reads, targets[::-1], shifts, np.full(600, 20.0)).mean() < 0.2
